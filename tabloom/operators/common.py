@@ -20,28 +20,26 @@ def salted_lookup(big: DataFrame, small: DataFrame, key: str, spread: Column, ho
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def dense_index(rows: DataFrame, group: str, order: str, out: str, fan_out: int = 1 << 14) -> DataFrame:
-    """Number the rows of each group 0, 1, 2, ... by a unique non-negative integer column.
+def dense_index(rows: DataFrame, group: list[str], order: str, out: str, fan_out: int = 1 << 14) -> DataFrame:
+    """Number the rows of each group 0, 1, 2, ... by an integer column that is unique in the group.
 
     A plain window would sort a whole group in one task. Here rows are numbered inside ranges of ``order`` no longer
-    than ``fan_out``, and ranges get their offsets from running counts of counts, in two more levels of the same fan-out, so
-    no task ever holds more than ``fan_out`` rows of one group (up to ``fan_out`` ** 3 rows per group).
+    than ``fan_out``, and the ranges get their offsets from running counts on two coarser levels, so a task holds at most
+    ``fan_out`` rows of one group below the top level (which has one row per ``fan_out`` ** 2 of the order's span).
     """
-    at = F.col(order).cast("long")
-    numbered = rows.withColumn("_b0", F.floor(at / fan_out).cast("long"))
-    counts = numbered.groupBy(group, "_b0").agg(F.count(F.lit(1)).alias("_n0"))
-    counts = counts.withColumn("_b1", F.floor(F.col("_b0") / fan_out).cast("long"))
-    upper = counts.groupBy(group, "_b1").agg(F.sum("_n0").alias("_n1"))
-
     def running(value: str, parts: list[str], by: str) -> Column:
         frame = W.partitionBy(*parts).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
         return F.coalesce(F.sum(value).over(frame), F.lit(0))
 
-    upper = upper.withColumn("_o1", running("_n1", [group], "_b1")).drop("_n1")
-    offsets = (counts.join(upper, [group, "_b1"])
-               .withColumn("_offset", F.col("_o1") + running("_n0", [group, "_b1"], "_b0"))
-               .select(group, "_b0", "_offset"))
-    inside = F.row_number().over(W.partitionBy(group, "_b0").orderBy(order)) - 1
-    return (numbered.withColumn("_in", inside).join(offsets, [group, "_b0"])
+    numbered = rows.withColumn("_b0", F.floor(F.col(order).cast("long") / fan_out).cast("long"))
+    counts = numbered.groupBy(*group, "_b0").agg(F.count(F.lit(1)).alias("_n0"))
+    counts = counts.withColumn("_b1", F.floor(F.col("_b0") / fan_out).cast("long"))
+    upper = counts.groupBy(*group, "_b1").agg(F.sum("_n0").alias("_n1"))
+    upper = upper.withColumn("_o1", running("_n1", group, "_b1")).drop("_n1")
+    offsets = (counts.join(upper, [*group, "_b1"])
+               .withColumn("_offset", F.col("_o1") + running("_n0", [*group, "_b1"], "_b0"))
+               .select(*group, "_b0", "_offset"))
+    inside = F.row_number().over(W.partitionBy(*group, "_b0").orderBy(order)) - 1
+    return (numbered.withColumn("_in", inside).join(offsets, [*group, "_b0"])
             .withColumn(out, (F.col("_offset") + F.col("_in")).cast("long"))
             .drop("_b0", "_in", "_offset"))

@@ -126,15 +126,13 @@ def header_list(detected: DataFrame) -> DataFrame:
     return detected.select("file_id", F.posexplode("headers").alias("src_pos", "source"))
 
 
-def preview_rows(grid: DataFrame, header_rows: DataFrame) -> DataFrame:
-    """Header row and the two after it, labelled; ``header_rows`` is (file_id, header_row_index).
-
-    Joined on (file_id, row_idx), so a large file is spread by row and only three rows per file match.
-    """
+def preview_rows(grid: DataFrame, header_rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Header row and the two after it within the sample, labelled; ``header_rows`` is (file_id, header_row_index)."""
     wanted = header_rows.where(F.col("header_row_index") >= 0).select("file_id", F.explode(F.array(*[
         F.struct((F.col("header_row_index") + k).cast("long").alias("row_idx"), F.lit(label).alias("label"))
         for k, label in enumerate(("Header Row", "Data Row 1", "Data Row 2"))])).alias("w"))
-    return grid.join(wanted.select("file_id", "w.row_idx", "w.label"), ["file_id", "row_idx"]).select(
+    wanted = wanted.select("file_id", "w.row_idx", "w.label")
+    return head_sample(grid, sample_rows).join(wanted, ["file_id", "row_idx"]).select(
         "file_id", "row_idx", "label", "cells")
 
 

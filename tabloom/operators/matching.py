@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
 from ..lexicon import Lexicon
-from .common import salted_lookup
+from .common import dense_index, salted_lookup
 
 AMBIGUITY_GAP = 0.05
 GRAMMAR_BONUS = 0.10
@@ -73,10 +73,16 @@ def pair_rows(headers: DataFrame, scored: DataFrame, lexicon: Lexicon) -> DataFr
 def pair_ranks(pairs: DataFrame) -> DataFrame:
     """Rank of each pair in its file: score down, then source position, then signature order.
 
-    Ranks are a report over the pairs of one file; assignment does not need them.
+    The rank is the number of pairs with a higher score (running counts over the distinct scores of the file) plus the
+    place among equal scores, so a file with very many headers is not sorted in one task.
     """
-    order = W.partitionBy("file_id").orderBy(F.desc("score"), "src_pos", "sig_pos")
-    return pairs.withColumn("rank", F.row_number().over(order))
+    higher = W.partitionBy("file_id").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)
+    levels = (pairs.groupBy("file_id", "score").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(higher), F.lit(0))).drop("_n"))
+    keyed = pairs.withColumn("_at", F.col("src_pos").cast("long") * 1024 + F.col("sig_pos"))
+    placed = dense_index(keyed, ["file_id", "score"], "_at", "_place").drop("_at")
+    ranked = placed.join(levels, ["file_id", "score"])
+    return ranked.withColumn("rank", F.col("_before") + F.col("_place") + 1).drop("_before", "_place")
 
 
 def mark_ambiguous(joined: DataFrame, threshold: float) -> DataFrame:
@@ -104,16 +110,23 @@ def grammar_bonus(source: Column, sig_pos: Column, lexicon: Lexicon) -> Column:
     return F.when(~X.explicit_measure(source) & fits, F.lit(GRAMMAR_BONUS)).otherwise(F.lit(0.0))
 
 
-def assign(headers: DataFrame, scored: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
+def assign(headers: DataFrame, scored: DataFrame, lexicon: Lexicon, threshold: float = 0.5,
+           filled: DataFrame | None = None) -> DataFrame:
     """One-to-one mapping per file: 26 rows per file (file_id, target_pos, target_id, sources, confidence).
 
     Candidates are taken in one fixed order (clear sources by score; then each ambiguous source in the order of its
     best pair, by score with grammar bonus), skipping used sources and targets. At most 25 sources can be taken by other
     targets, so in that order only the first 26 sources of a target can ever win it: the rest are dropped before
     the per-file fold, which therefore sees at most 26 x 26 candidates however many headers a file has.
+    ``filled`` (file_id, filled array<string>) names targets that are not on offer.
     """
     n = len(lexicon.signatures)
     joined = salted_lookup(file_sources(headers), scored.select("source", "candidates"), "source", F.col("file_id"))
+    if filled is not None:
+        ids = X.strings(list(lexicon.signatures))
+        joined = salted_lookup(joined, filled, "file_id", F.col("source")).withColumn(
+            "candidates", F.filter("candidates", lambda c: ~F.coalesce(
+                F.array_contains("filled", F.get(ids, c["sig_pos"])), F.lit(False)))).drop("filled")
     rows = mark_ambiguous(joined, threshold).select(
         "file_id", "source", "src_pos", "ambiguous", "top", F.explode_outer("ranked").alias("c"))
     rows = rows.select("file_id", "source", "src_pos", "ambiguous", "top",

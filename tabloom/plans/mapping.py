@@ -1,11 +1,20 @@
-"""Whole mapping jobs: choose a matcher, fall back, reuse what was confirmed before."""
+"""Whole mapping jobs: choose a matcher, fall back to the next, reuse what was confirmed before."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
 
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions.text import fingerprint
 from ..lexicon import Lexicon
+from ..operators.common import salted_lookup
+from ..operators.detect import detect_headers, header_list
+from ..operators.lexical import alias_match
 from ..operators.matching import assign, score_sources
+from ..operators.reshape import reshape
+from ..operators.review import held_sources
+from ..session import scratch_dir
 
 APP_THRESHOLD = 0.4
 
@@ -13,3 +22,116 @@ APP_THRESHOLD = 0.4
 def map_headers(headers: DataFrame, lexicon: Lexicon, threshold: float = 0.5, mode: str = "standard") -> DataFrame:
     """Map (file_id, src_pos, source) to the targets; ``mode`` is ``standard`` or ``deep``."""
     return assign(headers, score_sources(headers, lexicon, mode), lexicon, threshold)
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a written table in the shared folder: computed once, and safe when executors are lost."""
+    path = scratch_dir(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def score_with(matcher: str, headers: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(source, candidates) from any matcher; ``alias`` gives at most one candidate per header."""
+    if matcher != "alias":
+        return score_sources(headers, lexicon, matcher).select("source", "candidates")
+    found = alias_match(headers, lexicon.alias_table(headers.sparkSession))
+    position = F.map_from_arrays(F.array(*[F.lit(t) for t in lexicon.signatures]),
+                                 F.array(*[F.lit(i) for i in range(len(lexicon.signatures))]))
+    one = F.struct(F.try_element_at(position, F.col("target_id")).alias("sig_pos"), F.col("score").alias("score"))
+    return found.where("target_id is not null").select("source", F.array(one).alias("candidates"))
+
+
+def map_with_fallback(headers: DataFrame, lexicon: Lexicon, matchers: Sequence[str] = ("standard", "deep", "alias"),
+                      threshold: float = 0.5) -> DataFrame:
+    """Run matchers in turn; each later one sees only files that still miss a mandatory target, only their headers not
+    yet placed, and only their free targets. Adds ``matcher`` to the mapping.
+
+    Every stage is written once, because the next stage and the result both read it.
+    """
+    required = [t.target_id for t in lexicon.targets if t.required]
+    result = None
+    todo, filled = headers, None
+    for step, matcher in enumerate(matchers):
+        got = assign(todo, score_with(matcher, todo, lexicon), lexicon, threshold, filled).withColumn(
+            "matcher", F.when(F.size("sources") > 0, F.lit(matcher)))
+        if result is not None:
+            later = got.select("file_id", "target_id", F.col("sources").alias("_s"), F.col("confidence").alias("_c"),
+                               F.col("matcher").alias("_m"))
+            empty = F.size("sources") == 0
+            got = result.join(later, ["file_id", "target_id"], "left").select(
+                "file_id", "target_pos", "target_id",
+                F.when(empty, F.coalesce("_s", "sources")).otherwise(F.col("sources")).alias("sources"),
+                F.when(empty, F.coalesce("_c", "confidence")).otherwise(F.col("confidence")).alias("confidence"),
+                F.when(empty, F.col("_m")).otherwise(F.col("matcher")).alias("matcher"))
+        if step == len(matchers) - 1:
+            return got
+        result = stored(got, "mapping")
+        open_files = result.groupBy("file_id").agg(
+            F.collect_list(F.when(F.size("sources") > 0, F.col("target_id"))).alias("filled"),
+            F.count_if(F.col("target_id").isin(required) & (F.size("sources") == 0)).alias("missing"))
+        open_files = open_files.where("missing > 0").select("file_id", "filled")
+        loose = headers.join(held_sources(result).select("file_id", "source"), ["file_id", "source"], "left_anti")
+        todo = salted_lookup(loose, open_files.select("file_id"), "file_id", F.col("source"), "inner")
+        filled = open_files
+    return result
+
+
+# --- reuse of confirmed mappings ---
+
+def with_fingerprint(detected: DataFrame) -> DataFrame:
+    """Detected files with the hash of their header layout."""
+    return detected.withColumn("fingerprint", fingerprint(F.col("headers")))
+
+
+def confirmed_profiles(mapping: DataFrame, detected: DataFrame, saved_at, client_id: str = "") -> DataFrame:
+    """Confirmed mappings as profiles (client_id, fingerprint, slots, saved_at).
+
+    A slot stores column positions, so it fits any file with the same layout even if names differ in case or spacing.
+    """
+    per_file = mapping.where(F.size("sources") > 0).groupBy("file_id").agg(
+        F.array_sort(F.collect_list(F.struct("target_pos", "target_id", "sources", "confidence"))).alias("filled"))
+    rows = with_fingerprint(detected).select("file_id", "fingerprint", "headers").join(per_file, "file_id")
+    slots = F.transform("filled", lambda s: F.struct(
+        s["target_pos"].alias("target_pos"), s["target_id"].alias("target_id"),
+        F.transform(s["sources"], lambda n: (F.array_position("headers", n) - 1).cast("int")).alias("columns"),
+        s["confidence"].alias("confidence")))
+    # Files of one layout agree up to their text; the first file id settles which one is kept.
+    picked = rows.groupBy("fingerprint").agg(F.min_by(slots, "file_id").alias("slots"))
+    return picked.select(F.lit(client_id).alias("client_id"), "fingerprint", "slots",
+                         F.lit(saved_at).cast("timestamp").alias("saved_at"))
+
+
+def save_profiles(profiles: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """Profiles with newer ones replacing older ones of the same client and layout."""
+    return profiles.unionByName(confirmed).groupBy("client_id", "fingerprint").agg(
+        F.max_by("slots", "saved_at").alias("slots"), F.max("saved_at").alias("saved_at"))
+
+
+def cache_hits(detected: DataFrame, profiles: DataFrame, client_id: str = "") -> DataFrame:
+    """Detected files with their fingerprint and the slots of a matching profile, null when there is none."""
+    own = profiles.where(F.col("client_id") == client_id).select("fingerprint", "slots")
+    return salted_lookup(with_fingerprint(detected), own, "fingerprint", F.col("file_id"))
+
+
+def reuse_or_map(detected: DataFrame, profiles: DataFrame, lexicon: Lexicon, threshold: float = 0.5,
+                 mode: str = "standard", client_id: str = "") -> DataFrame:
+    """Mapping per file, from a stored profile where the layout is known, else worked out; ``reused`` says which."""
+    found = cache_hits(detected, profiles, client_id).where("header_row_index >= 0")
+    wanted = F.array(*[F.struct(F.lit(i).alias("target_pos"), F.lit(t.target_id).alias("target_id"))
+                       for i, t in enumerate(lexicon.targets)])
+    hits = found.where("slots is not null").select("file_id", "headers", "slots", F.explode(wanted).alias("w"))
+    slot = F.get(F.filter("slots", lambda s: s["target_id"] == F.col("w.target_id")), F.lit(0))
+    reused = hits.withColumn("slot", slot).select(
+        "file_id", "w.target_pos", "w.target_id",
+        F.coalesce(F.transform("slot.columns", lambda c: F.get("headers", c)),
+                   F.array().cast("array<string>")).alias("sources"),
+        F.coalesce("slot.confidence", F.lit(0.0)).alias("confidence"), F.lit(True).alias("reused"))
+    fresh = map_headers(header_list(found.where("slots is null")), lexicon, threshold, mode)
+    return reused.unionByName(fresh.withColumn("reused", F.lit(False)))
+
+
+def onboard(grid: DataFrame, lexicon: Lexicon, threshold: float = APP_THRESHOLD, mode: str = "standard") -> DataFrame:
+    """Raw grids to typed rows: detect, map, reshape. Files without a confident header are left out."""
+    detected = detect_headers(grid, lexicon).where("state = 'confident'")
+    return reshape(grid, detected, map_headers(header_list(detected), lexicon, threshold, mode), lexicon)

@@ -49,9 +49,7 @@ def drop_blank_rows(rows: DataFrame) -> DataFrame:
 
 def number_rows(rows: DataFrame) -> DataFrame:
     """Dense ``row_idx`` per file over all rows, by ``line_no`` (unique per file)."""
-    first = rows.groupBy("file_id").agg(F.min("line_no").alias("_first"))
-    shifted = rows.join(first, "file_id").withColumn("_line", F.col("line_no") - F.col("_first"))
-    return dense_index(shifted, "file_id", "_line", "row_idx").drop("_first", "_line")
+    return dense_index(rows, ["file_id"], "line_no", "row_idx")
 
 
 def head_rows(rows: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
