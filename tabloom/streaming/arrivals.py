@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.errors import AnalysisException
 
 from ..lexicon import Lexicon
+from ..operators.common import salted_lookup
 from ..operators.detect import detect_headers, header_list
 from ..operators.reshape import reshape
 from ..plans.mapping import APP_THRESHOLD, map_headers
@@ -51,7 +52,7 @@ def handle_batch(grid: DataFrame, batch_id: int, out: str, lexicon: Lexicon, thr
     known = _table(spark, f"{out}/detected")
     if known is not None:
         seen = known.where(F.col("batch_id") != batch_id).select("file_id").distinct()
-        grid = grid.join(seen, "file_id", "left_anti")
+        grid = salted_lookup(grid, seen, "file_id", F.col("row_idx"), "left_anti")
     detected = detect_headers(grid, lexicon).withColumn(
         "error", F.when(F.col("header_row_index") < 0, F.lit("no header row found")))
     detected.write.mode("overwrite").parquet(f"{out}/detected/batch_id={batch_id}")
