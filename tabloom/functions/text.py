@@ -106,25 +106,25 @@ def lemmas(tokens: Column, lexicon: Lexicon) -> Column:
         return tokens
     longest = min(3, max(len(p.split(" ")) for p in phrases))
     table = F.map_from_arrays(strings(list(phrases)), F.array(*[strings(base) for base in phrases.values()]))
-    size = F.size(tokens)
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
 
-    def run(i: Column, n: int) -> Column:
-        text = F.get(tokens, i)
+    def run(row: Column, i: Column, n: int) -> Column:
+        text = F.get(row, i)
         for k in range(1, n):
-            text = F.concat(text, F.lit(" "), F.get(tokens, i + k))  # null past the end, so no match there
+            text = F.concat(text, F.lit(" "), F.get(row, i + k))  # null past the end, so no match there
         return bind(F.try_element_at(table, text), lambda base: F.when(
             base.isNotNull(), F.struct(F.lit(n).alias("taken"), base.alias("words"))))
 
-    def step(s: Column, i: Column) -> Column:
-        itself = F.struct(F.lit(1).alias("taken"), F.array(F.get(tokens, i)).alias("words"))
-        choice = F.coalesce(*[run(i, n) for n in range(longest, 0, -1)], itself)
+    def step(row: Column, s: Column, i: Column) -> Column:
+        itself = F.struct(F.lit(1).alias("taken"), F.array(F.get(row, i)).alias("words"))
+        choice = F.coalesce(*[run(row, i, n) for n in range(longest, 0, -1)], itself)
         moved = bind(choice, lambda c: F.struct(
             (i + c["taken"]).alias("next"), F.concat(s["out"], c["words"]).alias("out")))
         return F.when(i < s["next"], s).otherwise(moved)
 
-    folded = F.aggregate(F.sequence(F.lit(0), size - 1), start, step, lambda s: s["out"])
-    return F.when(size == 0, tokens).otherwise(folded)
+    # The row's tokens are bound first: the optimiser would otherwise copy their expression into every step.
+    return bind(tokens, lambda row: F.when(F.size(row) == 0, row).otherwise(F.aggregate(
+        F.sequence(F.lit(0), F.size(row) - 1), start, lambda s, i: step(row, s, i), lambda s: s["out"])))
 
 
 def without_stop_words(tokens: Column, lexicon: Lexicon) -> Column:
@@ -180,14 +180,16 @@ def signature_scores(tokens: Column, lexicon: Lexicon) -> Column:
     """
     zero = F.struct(F.lit(0.0).alias("matched"), F.lit(0.0).alias("added"))
 
-    def score(signature: Column) -> Column:
-        sums = F.aggregate(tokens, zero, lambda s, t: bind(token_outcome(t, signature), lambda o: F.struct(
+    def score(row: Column, signature: Column) -> Column:
+        sums = F.aggregate(row, zero, lambda s, t: bind(token_outcome(t, signature), lambda o: F.struct(
             (s["matched"] + o["matched"]).alias("matched"), (s["added"] + o["added"]).alias("added"))))
         value = bind(sums, lambda s: bind(signature["total"] + s["added"] - s["matched"], lambda d: F.when(
             d <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), s["matched"] / d))))
         return F.struct(signature["sig_pos"].alias("sig_pos"), value.alias("score"))
 
-    return F.filter(F.transform(signature_literal(lexicon), score), lambda p: p["score"] > 0)
+    # Bound once per header, not once per signature.
+    return bind(tokens, lambda row: F.filter(
+        F.transform(signature_literal(lexicon), lambda signature: score(row, signature)), lambda p: p["score"] > 0))
 
 
 # --- the lexical matcher's normal forms ---

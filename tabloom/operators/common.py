@@ -20,6 +20,15 @@ def salted_lookup(big: DataFrame, small: DataFrame, key: str, spread: Column, ho
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def computed_here(rows: DataFrame, column: str, value: Column) -> DataFrame:
+    """Add a costly column at this point of the plan.
+
+    Spark pushes filters on derived columns below the ``distinct`` that was meant to save the work, and would then run the
+    expression on every input row. A generated column cannot be pushed, so it is worked out once per row of ``rows``.
+    """
+    return rows.select("*", F.explode_outer(F.array(value)).alias(column))
+
+
 def dense_index(rows: DataFrame, group: list[str], order: str, out: str, fan_out: int = 1 << 14) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... by an integer column that is unique in the group.
 

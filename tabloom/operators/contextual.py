@@ -93,8 +93,8 @@ def contextual_counts(grid: DataFrame, sample_rows: int = SAMPLE_ROWS, keep: tup
             .withColumn("repeated", F.array_distinct(repeated))
             .withColumn("strong", F.size(strong))
             .withColumn("weak", F.size(touched) - F.col("strong"))
-            .withColumn("series_cells", F.size(F.filter(F.transform(likely, lambda c: c["k"]),
-                                                        lambda k: ~F.array_contains("repeated", k))))
+            .withColumn("series_cells", bind(F.col("repeated"), lambda again: F.size(F.filter(
+                F.transform(likely, lambda c: c["k"]), lambda k: ~F.array_contains(again, k)))))
             .withColumn("texts", F.size(F.filter("types", lambda t: t == "string")))
             .withColumn("duplicates", F.size(filled_keys) - F.size(F.array_distinct(filled_keys)))
             .withColumn("is_series", series_flag(F.col("cells"), F.col("types")))

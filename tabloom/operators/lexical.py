@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as X
+from .common import computed_here
 
 
 def alias_keys(aliases: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def trigram_matches(sources: DataFrame, aliases: DataFrame) -> DataFrame:
     named = alias_keys(aliases).withColumn("grams", X.trigrams(F.col("cleansed")))
     postings = named.select("key_pos", "alias_pos", "target_id", "alias", F.size("grams").alias("alias_grams"),
                             F.explode("grams").alias("gram"))
-    distinct = sources.select("source").distinct().withColumn("grams", X.trigrams(X.cleanse(F.col("source"))))
+    distinct = computed_here(sources.select("source").distinct(), "grams", X.trigrams(X.cleanse(F.col("source"))))
     grams = distinct.select("source", F.size("grams").alias("source_grams"), F.explode("grams").alias("gram"))
     shared = grams.join(postings, "gram").groupBy("source", "key_pos", "alias_pos").agg(
         F.count(F.lit(1)).alias("shared"), F.first("source_grams").alias("source_grams"),

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
+from ..functions.cells import bind
 from ..lexicon import Lexicon
-from .common import dense_index, salted_lookup
+from .common import computed_here, dense_index, salted_lookup
 
 AMBIGUITY_GAP = 0.05
 GRAMMAR_BONUS = 0.10
@@ -19,12 +20,12 @@ MODES = ("standard", "deep")
 
 def distinct_words(sources: DataFrame, camel: bool) -> DataFrame:
     """Distinct words over all header texts."""
-    return sources.select(F.explode(X.words(F.col("source"), camel)).alias("word")).distinct()
+    return sources.select(F.explode_outer(X.words(F.col("source"), camel)).alias("word")).where("word is not null").distinct()
 
 
 def segment_words(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(word, segments): the deep segmentation of each distinct word."""
-    return words.select("word", X.deep_segments(F.col("word"), lexicon).alias("segments"))
+    return computed_here(words.select("word"), "segments", X.deep_segments(F.col("word"), lexicon))
 
 
 def deep_tokens(sources: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -44,15 +45,15 @@ def tokenise(sources: DataFrame, lexicon: Lexicon, mode: str = "standard") -> Da
     if mode == "deep":
         cut = deep_tokens(sources, lexicon)
     else:
-        cut = sources.select("source", X.standard_tokens(F.col("source"), lexicon).alias("tokens"))
+        cut = computed_here(sources.select("source"), "tokens", X.standard_tokens(F.col("source"), lexicon))
     return (cut.withColumn("lemmas", X.lemmas(F.col("tokens"), lexicon))
             .withColumn("kept", X.without_stop_words(F.col("lemmas"), lexicon)))
 
 
 def score_sources(sources: DataFrame, lexicon: Lexicon, mode: str = "standard") -> DataFrame:
     """(source, tokens, lemmas, kept, candidates): candidates are the (sig_pos, score) pairs above 0."""
-    return (tokenise(sources.select("source").distinct(), lexicon, mode)
-            .withColumn("candidates", X.signature_scores(X.weighted(F.col("kept"), lexicon), lexicon)))
+    tokens = tokenise(sources.select("source").distinct(), lexicon, mode)
+    return computed_here(tokens, "candidates", X.signature_scores(X.weighted(F.col("kept"), lexicon), lexicon))
 
 
 def file_sources(headers: DataFrame) -> DataFrame:
@@ -178,9 +179,9 @@ def match_log(mapping: DataFrame, scored: DataFrame, lexicon: Lexicon) -> DataFr
         "file_id", "target_pos", "target_id", "confidence", F.get("sources", F.lit(0)).alias("source"))
     joined = salted_lookup(pairs, scored.select("source", "tokens", "lemmas", "kept"), "source", F.col("file_id"))
     signature = F.get(X.signature_literal(lexicon), F.try_element_at(position, F.col("target_id")))
-    rows = joined.withColumn("signature", signature).withColumn("outcomes", F.transform(
-        X.weighted(F.col("kept"), lexicon), lambda t: F.struct(
-            t["token"].alias("token"), X.token_outcome(t, F.col("signature")).alias("result"))))
+    outcomes = bind(signature, lambda sig: F.transform(X.weighted(F.col("kept"), lexicon), lambda t: F.struct(
+        t["token"].alias("token"), X.token_outcome(t, sig).alias("result"))))
+    rows = joined.withColumn("signature", signature).withColumn("outcomes", outcomes)
 
     def total(name):
         return F.aggregate("outcomes", F.lit(0.0), lambda s, o: s + o["result"][name])

@@ -54,6 +54,17 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select([out(f) for f in df.schema.fields])
 
 
+def comparable(df: DataFrame) -> DataFrame:
+    """-1 for absent whole numbers and false for absent flags: engines differ in how they print those."""
+    def out(field) -> Column:
+        kind = field.dataType.simpleString()
+        col = F.col(field.name)
+        if kind in ("int", "bigint"):
+            return F.coalesce(col, F.lit(-1)).alias(field.name)
+        return F.coalesce(col, F.lit(False)).alias(field.name) if kind == "boolean" else col
+    return df.select([out(f) for f in df.schema.fields])
+
+
 def query(name: str):
     def wrap(fn):
         QUERIES[name] = lambda spark, sf_dir: plain(fn(spark, sf_dir))
@@ -304,13 +315,13 @@ def _():
 DETECTED = ["file_id", "header_row_index", "headers", "confidence", "keyword_confidence", "vertical_keyword_score",
             "is_pivoted", "state"]
 DETECTED_SQL = ("SELECT file_id, header_row_index, array_to_string(names, '|') AS headers, confidence, keyword_confidence, "
-                "vertical_keyword_score, is_pivoted, state FROM detected")
+                "coalesce(vertical_keyword_score, -1) AS vertical_keyword_score, is_pivoted, state FROM detected")
 
 
 def _detect(name, spark_grid, sql_grid):
     @query(name)
     def _(spark, d):
-        return D.detect_headers(spark_grid(spark, d), lexicon()).select(*DETECTED)
+        return comparable(D.detect_headers(spark_grid(spark, d), lexicon()).select(*DETECTED))
 
     @oracle(name)
     def _():
@@ -351,7 +362,7 @@ def choices(spark, d):
 @query("rescore_choice")
 def _(spark, d):
     scores = D.score_choice(statement_head(spark, d), choices(spark, d), lexicon())
-    return scores.select("file_id", "row_idx", "headers", "confidence", "keyword_confidence", "vertical_keyword_score", "is_pivoted")
+    return comparable(scores.select("file_id", "row_idx", "headers", "confidence", "keyword_confidence", "vertical_keyword_score", "is_pivoted"))
 
 
 @oracle("rescore_choice")
@@ -362,10 +373,10 @@ def _():
     c.add("chosen", "SELECT 'c' || c_custkey AS file_id, c_custkey % 6 AS row_idx FROM customer")
     c.add("starts", "SELECT c.* FROM chosen c JOIN s_rows s ON s.file_id = c.file_id AND s.row_idx = c.row_idx")
     Q.vertical(c, "starts")
-    return c.sql(f"""SELECT c.file_id, c.row_idx, array_to_string({Q.NAMES}, '|') AS headers, s.score AS confidence,
-      k.keyword_score AS keyword_confidence,
-      CASE WHEN s.score IS NULL THEN NULL WHEN k.keyword_score < 50 THEN v.vertical_score ELSE 0 END AS vertical_keyword_score,
-      CASE WHEN s.score IS NULL THEN NULL ELSE k.keyword_score < 50 AND v.vertical_score >= 50 AND v.repeats = 0 END AS is_pivoted
+    return c.sql(f"""SELECT c.file_id, c.row_idx, array_to_string({Q.NAMES}, '|') AS headers, coalesce(s.score, -1) AS confidence,
+      coalesce(k.keyword_score, -1) AS keyword_confidence,
+      CASE WHEN s.score IS NULL THEN -1 WHEN k.keyword_score < 50 THEN v.vertical_score ELSE 0 END AS vertical_keyword_score,
+      coalesce(k.keyword_score < 50 AND v.vertical_score >= 50 AND v.repeats = 0, false) AS is_pivoted
       FROM chosen c LEFT JOIN s_rows s ON s.file_id = c.file_id AND s.row_idx = c.row_idx
       LEFT JOIN k_rows k ON k.file_id = c.file_id AND k.row_idx = c.row_idx LEFT JOIN v_files v ON v.file_id = c.file_id""")
 
@@ -610,7 +621,7 @@ def _stages(name, mode):
         (Q.deep_tokens if mode == "deep" else Q.standard_tokens)(c, Q.line_headers(c), lexicon())
         Q.lemma_tables(c)
         return c.sql("SELECT l.source, array_to_string(toks, '|') AS tokens, array_to_string(lems, '|') AS lemmas, "
-                     "array_to_string(kept, '|') AS kept FROM lemma l JOIN kept k ON l.source = k.source")
+                     "array_to_string(kept_toks, '|') AS kept FROM lemma l JOIN kept k ON l.source = k.source")
 
 
 _stages("lemmas", "standard")
@@ -621,7 +632,7 @@ _stages("deep_tokens", "deep")
 def _(spark, d):
     words = M.distinct_words(distinct_sources(spark, d), camel=False)
     at = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("offset"))
-    return at.withColumn("m", X.deep_move(F.col("word"), F.col("offset"), lexicon())).where("m is not null").select(
+    return M.computed_here(at, "m", X.deep_move(F.col("word"), F.col("offset"), lexicon())).where("m is not null").select(
         "word", "offset", "m.taken", "m.token")
 
 
@@ -658,7 +669,7 @@ def _():
     Q.standard_tokens(c, Q.line_headers(c), lexicon())
     Q.lemma_tables(c)
     return c.sql("SELECT token, count(*) AS uses, coalesce(any_value(n), 0) AS n_signatures, round(coalesce(1.0 / any_value(n), 0.2)::DOUBLE, 6) AS weight "
-                 "FROM (SELECT unnest(kept) AS token FROM kept) LEFT JOIN (SELECT word, count(DISTINCT target_id) AS n FROM sig "
+                 "FROM (SELECT unnest(kept_toks) AS token FROM kept) LEFT JOIN (SELECT word, count(DISTINCT target_id) AS n FROM sig "
                  "GROUP BY word) s ON s.word = token GROUP BY token")
 
 
@@ -681,7 +692,7 @@ def _():
 def _(spark, d):
     inverse, signatures = _lexicon_frames(spark)
     known = lex.vocabulary_table(lexicon().stop_word_table(spark), lexicon().synonym_table(spark), signatures)
-    return M.distinct_words(distinct_sources(spark, d), camel=True).join(known, "word", "left")
+    return comparable(M.distinct_words(distinct_sources(spark, d), camel=True).join(known, "word", "left"))
 
 
 @oracle("vocabulary")
@@ -689,7 +700,7 @@ def _():
     c = Q.Ctes()
     Q.lexicon_tables(c, lexicon())
     Q.placed_words(c, Q.line_headers(c), True)
-    return c.sql("SELECT DISTINCT p.word, v.pos AS vocab_pos FROM placed p LEFT JOIN vocab v ON p.word = v.word")
+    return c.sql("SELECT DISTINCT p.word, coalesce(v.pos, -1) AS vocab_pos FROM placed p LEFT JOIN vocab v ON p.word = v.word")
 
 
 @query("typo_variants")
@@ -745,7 +756,7 @@ def _(spark, d):
     tokens = kept_tokens(spark, d).select("token").distinct()
     weighted = F.get(X.weighted(F.array("token"), lexicon()), F.lit(0))
     rows = tokens.withColumn("w", weighted).select("token", "w", F.explode(X.signature_literal(lexicon())).alias("s"))
-    return rows.withColumn("o", X.token_outcome(F.col("w"), F.col("s"))).where("o.outcome = 'fuzzy'").select(
+    return M.computed_here(rows, "o", X.token_outcome(F.col("w"), F.col("s"))).where("o.outcome = 'fuzzy'").select(
         "token", "s.sig_pos", "o.against", "o.similarity")
 
 
@@ -836,7 +847,7 @@ def _():
     c.add("sums", """SELECT source, sig_pos, sum(added ORDER BY tpos) AS a, sum(matched ORDER BY tpos) AS m,
       array_to_string(list(concat_ws(':', word, outcome, against) ORDER BY tpos), '|') AS outcomes FROM outcome GROUP BY ALL""")
     return c.sql("""SELECT k.file_id, t.target_id, k.source, array_to_string(l.toks, '|') AS tokens,
-      array_to_string(l.lems, '|') AS lemmas, array_to_string(p.kept, '|') AS kept, round(g.total::DOUBLE, 6) AS target_weight,
+      array_to_string(l.lems, '|') AS lemmas, array_to_string(p.kept_toks, '|') AS kept, round(g.total::DOUBLE, 6) AS target_weight,
       round(s.a, 6) AS input_weight, round(s.m, 6) AS matched_weight, s.outcomes
       FROM taken k JOIN target t ON t.sig_pos = k.sig_pos JOIN lemma l ON l.source = k.source JOIN kept p ON p.source = k.source
       JOIN sig_total g ON g.sig_pos = k.sig_pos JOIN sums s ON s.source = k.source AND s.sig_pos = k.sig_pos""")
@@ -977,12 +988,12 @@ def _():
 
 @query("source_availability")
 def _(spark, d):
-    return V.source_availability(I.line_headers(spark, d), line_mapping(spark, d))
+    return comparable(V.source_availability(I.line_headers(spark, d), line_mapping(spark, d)))
 
 
 @oracle("source_availability")
 def _():
-    return mapping_ctes().sql("""SELECT f.file_id, f.src_pos, f.source, m.target_id, m.target_pos + 1 AS position
+    return mapping_ctes().sql("""SELECT f.file_id, f.src_pos, f.source, m.target_id, coalesce(m.target_pos + 1, -1) AS position
       FROM fs f LEFT JOIN mapping m ON m.file_id = f.file_id AND m.source = f.source""")
 
 
@@ -1356,7 +1367,7 @@ def _(spark, d):
     stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
     A.run_arrivals(stream, out, f"{out}-checkpoint", lexicon(), to_grid=lambda batch: G.head_rows(I.event_lines(batch)),
                    available_now=True, typed_rows=False).awaitTermination()
-    return spark.read.parquet(f"{out}/detected").select(*DETECTED)
+    return comparable(spark.read.parquet(f"{out}/detected").select(*DETECTED))
 
 
 SQL["stream_detect"] = lambda: SQL["detect_events"]()

@@ -16,8 +16,13 @@ def q(text: str) -> str:
 
 
 def values(rows) -> str:
-    return ", ".join("(" + ", ".join(q(v) if isinstance(v, str) else ("NULL" if v is None else repr(v)) for v in row) + ")"
-                     for row in rows)
+    def text(v):
+        return q(v) if isinstance(v, str) else f"{v}::BIGINT" if isinstance(v, int) else f"{v!r}::DOUBLE"
+    return ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
+
+
+# Read by recursive steps or several times over; without this DuckDB works them out anew each time.
+STORED = {"cand", "moves", "tokens", "ed", "mapping", "taken", "detected", "s_rows", "pairs", "scores", "outcome", "sims", "bonus"}
 
 
 class Ctes:
@@ -28,7 +33,8 @@ class Ctes:
     def add(self, name: str, body: str) -> "Ctes":
         if name.split("(")[0] not in self.names:
             self.names.add(name.split("(")[0])
-            self.parts.append(f"{name} AS ({body})")
+            kept = "MATERIALIZED " if name.split("(")[0] in STORED else ""
+            self.parts.append(f"{name} AS {kept}({body})")
         return self
 
     def sql(self, final: str) -> str:
@@ -303,7 +309,7 @@ def lexicon_tables(c: Ctes, lexicon: Lexicon) -> None:
     c.add("stop(word)", "VALUES " + values([(w,) for w in lexicon.stop_words]))
     c.add("syn(phrase, base)", "VALUES " + values([(p, " ".join(b)) for p, b in lexicon.synonyms.items()]))
     rows = [(i, t, j, w, lexicon.weights[w]) for i, (t, ws) in enumerate(lexicon.signatures.items()) for j, w in enumerate(ws)]
-    c.add("sig(sig_pos, target_id, at, word, weight)", "VALUES " + values(rows))
+    c.add("sig(sig_pos, target_id, tok_pos, word, weight)", "VALUES " + values(rows))
     c.add("weight(word, weight)", "VALUES " + values(list(lexicon.weights.items())))
     totals = []
     for i, ws in enumerate(lexicon.signatures.values()):
@@ -399,26 +405,27 @@ def lemma_tables(c: Ctes) -> None:
       SELECT source, toks, 1 AS i, []::VARCHAR[] AS lems FROM tokens
       UNION ALL
       SELECT l.source, l.toks, l.i + CASE WHEN s3.base IS NOT NULL THEN 3 WHEN s2.base IS NOT NULL THEN 2 ELSE 1 END,
-        l.lems || string_split(coalesce(s3.base, s2.base, s1.base), ' ') || CASE WHEN coalesce(s3.base, s2.base, s1.base)
-          IS NULL THEN [l.toks[l.i]] ELSE [] END
+        l.lems || CASE WHEN coalesce(s3.base, s2.base, s1.base) IS NULL THEN [l.toks[l.i]]
+          ELSE string_split(coalesce(s3.base, s2.base, s1.base), ' ') END
       FROM lem_walk l
       LEFT JOIN syn s3 ON s3.phrase = l.toks[l.i] || ' ' || l.toks[l.i + 1] || ' ' || l.toks[l.i + 2]
       LEFT JOIN syn s2 ON s2.phrase = l.toks[l.i] || ' ' || l.toks[l.i + 1]
       LEFT JOIN syn s1 ON s1.phrase = l.toks[l.i] WHERE l.i <= len(l.toks)""")
     c.add("lemma", "SELECT source, toks, lems FROM lem_walk WHERE i = len(toks) + 1")
-    c.add("kept", "SELECT source, list_filter(lems, lambda t: NOT list_contains((SELECT list(word) FROM stop), t)) AS kept FROM lemma")
+    c.add("kept", "SELECT source, list_filter(lems, lambda t: NOT list_contains(words, t)) AS kept_toks FROM lemma, "
+                  "(SELECT list(word) AS words FROM stop)")
 
 
 def pair_scores(c: Ctes) -> None:
     """``outcome`` per (source, token, signature) and ``scores`` (source, sig_pos, score) above 0."""
-    c.add("kept_words", "SELECT source, i AS tpos, kept[i] AS word FROM (SELECT *, unnest(generate_series(1, len(kept))) AS i FROM kept)")
+    c.add("kept_words", "SELECT source, i AS tpos, kept_toks[i] AS word FROM (SELECT *, unnest(generate_series(1, len(kept_toks))) AS i FROM kept)")
     c.add("sims", f"""
       SELECT w.word, s.sig_pos, bool_or(w.word = s.word) AS exact,
         max(CASE WHEN abs(len(w.word) - len(s.word)) <= {TOKEN_GAP} THEN {SIMILARITY.format(a='w.word', b='s.word')} ELSE 0 END) AS sim,
         arg_max(s.weight, struct_pack(a := CASE WHEN abs(len(w.word) - len(s.word)) <= {TOKEN_GAP}
-          THEN {SIMILARITY.format(a='w.word', b='s.word')} ELSE 0 END, b := -s.at)) AS sw,
+          THEN {SIMILARITY.format(a='w.word', b='s.word')} ELSE 0 END, b := -s.tok_pos)) AS sw,
         arg_max(s.word, struct_pack(a := CASE WHEN abs(len(w.word) - len(s.word)) <= {TOKEN_GAP}
-          THEN {SIMILARITY.format(a='w.word', b='s.word')} ELSE 0 END, b := -s.at)) AS against
+          THEN {SIMILARITY.format(a='w.word', b='s.word')} ELSE 0 END, b := -s.tok_pos)) AS against
       FROM (SELECT DISTINCT word FROM kept_words) w, sig s GROUP BY ALL""")
     c.add("outcome", f"""
       SELECT k.source, k.tpos, k.word, s.sig_pos, CASE WHEN exact THEN 'exact' WHEN sim >= {FUZZY_BAR} THEN 'fuzzy' ELSE 'noise' END AS outcome,
@@ -461,7 +468,7 @@ def mapping(c: Ctes, headers: str, lexicon: Lexicon, mode: str, threshold: float
         CASE WHEN ambiguous THEN -top ELSE -score END, src_pos, CASE WHEN ambiguous THEN -(score + extra) ELSE 0 END,
         -score, sig_pos) AS ord FROM bonus""")
     c.add("walk", """
-      SELECT DISTINCT file_id, 0::BIGINT AS n, []::INTEGER[] AS sigs, []::VARCHAR[] AS srcs, []::DOUBLE[] AS conf FROM fs
+      SELECT DISTINCT file_id, 0::BIGINT AS n, []::BIGINT[] AS sigs, []::VARCHAR[] AS srcs, []::DOUBLE[] AS conf FROM fs
       UNION ALL
       SELECT w.file_id, w.n + 1,
         CASE WHEN list_contains(sigs, k.sig_pos) OR list_contains(srcs, k.source) THEN sigs ELSE sigs || [k.sig_pos] END,
