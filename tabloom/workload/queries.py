@@ -1275,10 +1275,10 @@ RESHAPED = ["supplier_id", "supplier_name", "currency", "payment_method", "payme
 
 def reshape_ctes():
     c = statement_mapping_ctes()
-    c.add("at", """SELECT m.file_id, m.target_id, list_position(d.names, m.source) AS col, d.header_row_index FROM mapping m
+    c.add("placed_at", """SELECT m.file_id, m.target_id, list_position(d.names, m.source) AS col, d.header_row_index FROM mapping m
       JOIN detected d ON d.file_id = m.file_id WHERE m.source IS NOT NULL AND d.state = 'confident'""")
     c.add("vals", f"""SELECT g.file_id, g.row_idx, a.target_id, nullif({Q.trim('g.cells[a.col]')}, '') AS v FROM statement_grid g
-      JOIN at a ON a.file_id = g.file_id WHERE g.row_idx > a.header_row_index""")
+      JOIN placed_at a ON a.file_id = g.file_id WHERE g.row_idx > a.header_row_index""")
     c.add("wide", "SELECT g.file_id, g.row_idx, " + ", ".join(
         f"max(v) FILTER (target_id = '{t}') AS {t}" for t in lexicon().target_ids) +
         " FROM (SELECT g.file_id, g.row_idx FROM statement_grid g JOIN detected d ON d.file_id = g.file_id WHERE d.state = 'confident' "
