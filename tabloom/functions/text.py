@@ -17,8 +17,22 @@ TOKEN_GAP = 3
 VOCABULARY_GAP = 2
 
 
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_strings(values: list[str]) -> str:
+    return f"array({', '.join(map(sql_text, values))})" if values else "cast(array() as array<string>)"
+
+
 def strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    """Literal array; one parsed text is far quicker to build than one call per word."""
+    return F.expr(sql_strings(values))
+
+
+def among(value: Column, words: list[str]) -> Column:
+    """Membership in a literal list; long lists become a hash set."""
+    return value.isin(words) if len(words) > 1000 else F.array_contains(strings(words), value)
 
 
 def words(text: Column, camel: bool = True) -> Column:
@@ -41,10 +55,10 @@ def dictionary_split(word: Column, lexicon: Lexicon) -> Column:
     known = lexicon.vocabulary
     single = F.array(word)
     cuts = F.filter(F.sequence(F.lit(1), F.length(word) - 1), lambda i: (
-        F.substring(word, F.lit(1), i).isin(known) & F.substring(word, i + 1, F.length(word)).isin(known)))
+        among(F.substring(word, F.lit(1), i), known) & among(F.substring(word, i + 1, F.length(word)), known)))
     parts = bind(F.get(cuts, F.lit(0)), lambda cut: F.when(cut.isNull(), single).otherwise(
         F.array(F.substring(word, F.lit(1), cut), F.substring(word, cut + 1, F.length(word)))))
-    return F.when(word.isin(known) | (F.length(word) < 2), single).otherwise(parts)
+    return F.when(among(word, known) | (F.length(word) < 2), single).otherwise(parts)
 
 
 def standard_tokens(text: Column, lexicon: Lexicon) -> Column:
@@ -59,8 +73,8 @@ def deep_move(word: Column, at: Column, lexicon: Lexicon) -> Column:
     """
     known = lexicon.vocabulary
     longest = max(len(w) for w in known)
-    near = F.array(*[strings([w for w in known if abs(len(w) - n) <= VOCABULARY_GAP])
-                     for n in range(longest + VOCABULARY_GAP + 1)])
+    near = F.expr("array(" + ", ".join(sql_strings([w for w in known if abs(len(w) - n) <= VOCABULARY_GAP])
+                                       for n in range(longest + VOCABULARY_GAP + 1)) + ")")
     rest = F.length(word) - at
     lengths = F.when(rest >= MIN_SLICE, F.sequence(
         F.least(rest, F.lit(longest + VOCABULARY_GAP)), F.lit(MIN_SLICE), F.lit(-1)))
@@ -75,7 +89,7 @@ def deep_move(word: Column, at: Column, lexicon: Lexicon) -> Column:
     nothing = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("taken"), F.lit("").alias("token"))
     fuzzy = F.aggregate(lengths, nothing, lambda best, n: bind(slice_of(n), lambda piece: F.aggregate(
         F.get(near, n), best, lambda b, candidate: better(b, n, piece, candidate))))
-    exact = F.get(F.filter(lengths, lambda n: slice_of(n).isin(known)), F.lit(0))
+    exact = F.get(F.filter(lengths, lambda n: among(slice_of(n), known)), F.lit(0))
     return bind(exact, lambda n: F.when(n.isNotNull(), F.struct(n.alias("taken"), slice_of(n).alias("token")))
                 .when(lengths.isNotNull(), bind(fuzzy, lambda f: F.when(
                     f["score"] >= FUZZY_BAR, F.struct(f["taken"].alias("taken"), f["token"].alias("token"))))))
@@ -105,7 +119,7 @@ def lemmas(tokens: Column, lexicon: Lexicon) -> Column:
     if not phrases:
         return tokens
     longest = min(3, max(len(p.split(" ")) for p in phrases))
-    table = F.map_from_arrays(strings(list(phrases)), F.array(*[strings(base) for base in phrases.values()]))
+    table = F.expr(f"map_from_arrays({sql_strings(list(phrases))}, array({', '.join(map(sql_strings, phrases.values()))}))")
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
 
     def run(row: Column, i: Column, n: int) -> Column:
@@ -128,12 +142,13 @@ def lemmas(tokens: Column, lexicon: Lexicon) -> Column:
 
 
 def without_stop_words(tokens: Column, lexicon: Lexicon) -> Column:
-    return F.filter(tokens, lambda t: ~t.isin(lexicon.stop_words)) if lexicon.stop_words else tokens
+    return F.filter(tokens, lambda t: ~among(t, lexicon.stop_words)) if lexicon.stop_words else tokens
 
 
 def weighted(tokens: Column, lexicon: Lexicon) -> Column:
     """Tokens with their weights."""
-    table = F.map_from_arrays(strings(list(lexicon.weights)), F.array(*[F.lit(w) for w in lexicon.weights.values()]))
+    table = F.expr(f"map_from_arrays({sql_strings(list(lexicon.weights))}, "
+                   f"array({', '.join(f'{w!r}D' for w in lexicon.weights.values())}))")
     return F.transform(tokens, lambda t: F.struct(
         t.alias("token"), F.coalesce(F.try_element_at(table, t), F.lit(UNKNOWN_WEIGHT)).alias("weight")))
 
@@ -145,10 +160,9 @@ def signature_literal(lexicon: Lexicon) -> Column:
         total = 0.0
         for token in tokens:
             total += lexicon.weights[token]
-        out.append(F.struct(F.lit(pos).alias("sig_pos"), F.lit(total).alias("total"), F.array(*[
-            F.struct(F.lit(t).alias("token"), F.lit(lexicon.weights[t]).alias("weight")) for t in tokens
-        ]).alias("tokens")))
-    return F.array(*out)
+        parts = ", ".join(f"named_struct('token', {sql_text(t)}, 'weight', {lexicon.weights[t]!r}D)" for t in tokens)
+        out.append(f"named_struct('sig_pos', {pos}, 'total', {total!r}D, 'tokens', array({parts}))")
+    return F.expr(f"array({', '.join(out)})")
 
 
 def token_outcome(token: Column, signature: Column) -> Column:

@@ -102,10 +102,13 @@ def mark_ambiguous(joined: DataFrame, threshold: float) -> DataFrame:
 
 def grammar_bonus(source: Column, sig_pos: Column, lexicon: Lexicon) -> Column:
     """Extra score for an ambiguous header: plural names lean to counts, singular ones to amounts."""
+    def flags(found):
+        return F.expr(f"array({', '.join(str(f).lower() for f in found)})")
+
     labels = {t.target_id: t.label.lower() for t in lexicon.targets}
     order = [labels[t] for t in lexicon.signatures]
-    counts = F.array(*[F.lit(any(w in label for w in ("number", "count", "transaction"))) for label in order])
-    amounts = F.array(*[F.lit(any(w in label for w in ("amount", "value"))) for label in order])
+    counts = flags(any(w in label for w in ("number", "count", "transaction")) for label in order)
+    amounts = flags(any(w in label for w in ("amount", "value")) for label in order)
     plural = X.is_plural(source)
     fits = (plural & F.get(counts, sig_pos)) | (~plural & F.get(amounts, sig_pos))
     return F.when(~X.explicit_measure(source) & fits, F.lit(GRAMMAR_BONUS)).otherwise(F.lit(0.0))
@@ -160,9 +163,9 @@ def assign(headers: DataFrame, scored: DataFrame, lexicon: Lexicon, threshold: f
 def complete(files: DataFrame, lexicon: Lexicon) -> DataFrame:
     """All targets for every file, with empty sources and 0 where nothing was taken; ``taken`` is an array."""
     position = {t: i for i, t in enumerate(lexicon.signatures)}
-    slots = F.array(*[F.struct(F.lit(i).alias("target_pos"), F.lit(t.target_id).alias("target_id"),
-                               F.lit(position.get(t.target_id, -1)).alias("sig_pos"))
-                      for i, t in enumerate(lexicon.targets)])
+    slots = F.expr("array(" + ", ".join(
+        f"named_struct('target_pos', {i}, 'target_id', {X.sql_text(t.target_id)}, 'sig_pos', {position.get(t.target_id, -1)})"
+        for i, t in enumerate(lexicon.targets)) + ")")
     rows = files.select("file_id", "taken", F.explode(slots).alias("slot"))
     hit = F.filter("taken", lambda t: t["sig_pos"] == F.col("slot.sig_pos"))
     return rows.withColumn("hit", hit).select(
@@ -173,8 +176,7 @@ def complete(files: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def match_log(mapping: DataFrame, scored: DataFrame, lexicon: Lexicon) -> DataFrame:
     """How each mapped pair came about: token stages, what became of each token, and the sums."""
-    position = F.map_from_arrays(X.strings(list(lexicon.signatures)),
-                                 F.array(*[F.lit(i) for i in range(len(lexicon.signatures))]))
+    position = F.expr(f"map_from_arrays({X.sql_strings(list(lexicon.signatures))}, sequence(0, {len(lexicon.signatures) - 1}))")
     pairs = mapping.where(F.size("sources") > 0).select(
         "file_id", "target_pos", "target_id", "confidence", F.get("sources", F.lit(0)).alias("source"))
     joined = salted_lookup(pairs, scored.select("source", "tokens", "lemmas", "kept"), "source", F.col("file_id"))
