@@ -132,6 +132,9 @@ def reuse_or_map(detected: DataFrame, profiles: DataFrame, lexicon: Lexicon, thr
 
 
 def onboard(grid: DataFrame, lexicon: Lexicon, threshold: float = APP_THRESHOLD, mode: str = "standard") -> DataFrame:
-    """Raw grids to typed rows: detect, map, reshape. Files without a confident header are left out."""
-    detected = detect_headers(grid, lexicon).where("state = 'confident'")
+    """Raw grids to typed rows: detect, map, reshape. Files without a confident header are left out.
+
+    The detections (one row per file) are written once: mapping and reshaping both read them.
+    """
+    detected = stored(detect_headers(grid, lexicon), "detected").where("state = 'confident'")
     return reshape(grid, detected, map_headers(header_list(detected), lexicon, threshold, mode), lexicon)

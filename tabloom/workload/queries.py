@@ -1206,8 +1206,8 @@ def _():
     return c.sql(f"SELECT file_id, {fingerprint_sql('names')} AS fingerprint FROM detected")
 
 
-def statement_profiles(spark, d):
-    confirmed = statement_detected(spark, d).where("state = 'confident' and substring(file_id, -1, 1) in ('0', '1', '2')")
+def statement_profiles(detected):
+    confirmed = detected.where("state = 'confident' and substring(file_id, -1, 1) in ('0', '1', '2')")
     mapped = P.map_headers(D.header_list(confirmed), lexicon(), THRESHOLD)
     return P.confirmed_profiles(mapped, confirmed, "2024-01-01 00:00:00")
 
@@ -1225,7 +1225,9 @@ def statement_mapping_ctes():
 
 @query("cache_hits")
 def _(spark, d):
-    hits = P.cache_hits(statement_detected(spark, d), P.save_profiles(statement_profiles(spark, d), statement_profiles(spark, d)))
+    detected = P.stored(statement_detected(spark, d), "detected")
+    profiles = statement_profiles(detected)
+    hits = P.cache_hits(detected, P.save_profiles(profiles, profiles))
     return hits.select("file_id", "fingerprint", F.col("slots").isNotNull().alias("hit"))
 
 
@@ -1236,7 +1238,8 @@ def _():
 
 @query("reuse_or_map")
 def _(spark, d):
-    return P.reuse_or_map(statement_detected(spark, d), statement_profiles(spark, d), lexicon(), THRESHOLD)
+    detected = P.stored(statement_detected(spark, d), "detected")
+    return P.reuse_or_map(detected, statement_profiles(detected), lexicon(), THRESHOLD)
 
 
 @oracle("reuse_or_map")
@@ -1264,7 +1267,7 @@ def _():
 
 
 def statement_reshape(spark, d):
-    detected = statement_detected(spark, d).where("state = 'confident'")
+    detected = P.stored(statement_detected(spark, d), "detected").where("state = 'confident'")
     mapped = P.map_headers(D.header_list(detected), lexicon(), THRESHOLD)
     return statement_grid(spark, d), detected, mapped
 
@@ -1300,13 +1303,16 @@ def reject_list_sql():
 @query("reshape")
 def _(spark, d):
     grid, detected, mapped = statement_reshape(spark, d)
-    return R.reshape(grid, detected, mapped, lexicon()).select("file_id", "row_idx", *RESHAPED, "rejects", F.size("missing").alias("n_missing"))
+    return comparable(R.reshape(grid, detected, mapped, lexicon()).select(
+        "file_id", "row_idx", *RESHAPED, "rejects", F.size("missing").alias("n_missing")))
 
 
 @oracle("reshape")
 def _():
     missing = " + ".join(f"CASE WHEN {t.target_id} IS NULL THEN 1 ELSE 0 END" for t in lexicon().targets if t.required)
-    cast = ", ".join(f"({cast_sql(t)}){'::DOUBLE' if t.startswith('total_amount') else ''} AS {t}" for t in RESHAPED)
+    whole = ("transaction_count", "total_purchase_orders")
+    cast = ", ".join(f"coalesce({cast_sql(t)}, -1) AS {t}" if t in whole else
+                     f"({cast_sql(t)}){'::DOUBLE' if t.startswith('total_amount') else ''} AS {t}" for t in RESHAPED)
     return reshape_ctes().sql(f"SELECT file_id, row_idx, {cast}, array_to_string({reject_list_sql()}, '|') AS rejects, "
                               f"({missing})::BIGINT AS n_missing FROM wide")
 
