@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.cells import clean, filled_type
+from ..functions.cells import bind, clean, filled_type
+from ..functions.text import strings
 from ..lexicon import Lexicon
-from .common import salted_lookup
+from .common import computed_here, salted_lookup
 from .structure import head_sample
 
 SPARK_TYPES = {"integer": "bigint", "decimal": "decimal(18,2)", "string": "string", "alphanumeric": "string"}
@@ -27,14 +28,13 @@ def reshape_plan(detected: DataFrame, mapping: DataFrame, lexicon: Lexicon,
     usable = detected.where("header_row_index >= 0").select("file_id", "header_row_index", "headers")
     joined = usable.join(slots, "file_id", "left")
 
-    def columns(target_id: str) -> Column:
-        slot = F.get(F.filter("slots", lambda s: s["target_id"] == target_id), F.lit(0))
-        places = F.filter(F.transform(slot["sources"], lambda s: F.array_position("headers", s)), lambda p: p > 0)
-        return F.struct(F.transform(places, lambda p: (p - 1).cast("int")).alias("columns"),
-                        slot["separator"].alias("separator"))
+    def slot_of(target: Column) -> Column:
+        return bind(F.get(F.filter("slots", lambda s: s["target_id"] == target), F.lit(0)), lambda slot: F.struct(
+            F.transform(F.filter(F.transform(slot["sources"], lambda s: F.array_position("headers", s)), lambda p: p > 0),
+                        lambda p: (p - 1).cast("int")).alias("columns"),
+            slot["separator"].alias("separator")))
 
-    return joined.select("file_id", "header_row_index", F.struct(
-        *[columns(t).alias(t) for t in lexicon.target_ids]).alias("plan"))
+    return joined.select("file_id", "header_row_index", F.transform(strings(lexicon.target_ids), slot_of).alias("plan"))
 
 
 def cast_value(value: Column, data_type: str) -> Column:
@@ -53,18 +53,14 @@ def source_values(grid: DataFrame, plan: DataFrame, lexicon: Lexicon) -> DataFra
     rows = salted_lookup(grid.select("file_id", "row_idx", "cells"), plan, "file_id", F.col("row_idx"), "inner")
     data = rows.where(F.col("row_idx") > F.col("header_row_index"))
 
-    def text(target: str) -> Column:
-        columns = F.col(f"plan.{target}.columns")
-        parts = F.filter(F.transform(columns, lambda c: F.nullif(clean(F.get("cells", c)), F.lit(""))), lambda v: v.isNotNull())
-        return F.when(F.size(parts) > 0, F.array_join(parts, "\u0001"))
+    def joined(slot: Column) -> Column:
+        parts = F.filter(F.transform(slot["columns"], lambda c: F.nullif(clean(F.get("cells", c)), F.lit(""))),
+                         lambda v: v.isNotNull())
+        return bind(parts, lambda p: F.when(F.size(p) > 0, F.call_function("array_join", p, slot["separator"])))
 
-    def merged(target: str) -> Column:
-        # One source is the common case; several are joined by the plan's separator.
-        joined = text(target)
-        return F.when(F.size(F.col(f"plan.{target}.columns")) > 1, F.replace(
-            joined, F.lit("\u0001"), F.col(f"plan.{target}.separator"))).otherwise(joined)
-
-    return data.select("file_id", "row_idx", *[merged(t).alias(t) for t in lexicon.target_ids])
+    filled = computed_here(data.select("file_id", "row_idx", "cells", "plan"), "_values", F.transform("plan", joined))
+    return filled.select("file_id", "row_idx", *[
+        F.get("_values", F.lit(i)).alias(t) for i, t in enumerate(lexicon.target_ids)])
 
 
 def typed(values: DataFrame, lexicon: Lexicon) -> DataFrame:
