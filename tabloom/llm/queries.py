@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, licenses
+from . import archives, exact, jaccard, licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_ngram_jaccard")
+def _(spark, d):
+    return jaccard.jaccard_join(table(spark, d, "documents"))
+
+
+@query("op5_warc")
+def _(spark, d):
+    return archives.pages_through_warc(table(spark, d, "pages"))
+
+
 @query("op6_license_scan")
 def _(spark, d):
     return licenses.scan(table(spark, d, "documents"))
