@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, exact, jaccard, licenses
+from . import archives, exact, jaccard, licenses, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_substring_dedup")
+def _(spark, d):
+    return repeats.remove_repeats(table(spark, d, "documents"))
+
+
 @query("op3_ngram_jaccard")
 def _(spark, d):
     return jaccard.jaccard_join(table(spark, d, "documents"))
