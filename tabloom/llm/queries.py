@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, exact, jaccard, licenses, repeats
+from . import archives, exact, jaccard, licenses, repeats, sketches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +43,11 @@ def _(spark, d):
     return licenses.scan(table(spark, d, "documents"))
 
 
+@query("op8_fingerprints")
+def _(spark, d):
+    return sketches.fingerprints(table(spark, d, "documents"))
+
+
 @query("op9_exact_dedup")
 def _(spark, d):
     return exact.exact_duplicates(table(spark, d, "documents"))
