@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, exact, jaccard, licenses, repeats, sketches
+from . import archives, exact, jaccard, licenses, repeats, sketches, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,11 @@ def _(spark, d):
     return jaccard.jaccard_join(table(spark, d, "documents"))
 
 
+@query("op4_toxicity")
+def _(spark, d):
+    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query("op5_warc")
 def _(spark, d):
     return archives.pages_through_warc(table(spark, d, "pages"))
