@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, exact, jaccard, licenses, repeats, sketches, toxicity
+from . import archives, exact, jaccard, licenses, packing, repeats, sketches, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,6 +48,11 @@ def _(spark, d):
     return licenses.scan(table(spark, d, "documents"))
 
 
+@query("op7_packing")
+def _(spark, d):
+    return packing.pack(table(spark, d, "documents"))
+
+
 @query("op8_fingerprints")
 def _(spark, d):
     return sketches.fingerprints(table(spark, d, "documents"))
