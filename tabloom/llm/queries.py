@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, exact, jaccard, licenses, packing, repeats, sketches, toxicity
+from . import archives, exact, jaccard, licenses, mixing, packing, repeats, sketches, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +28,11 @@ def _(spark, d):
     return repeats.remove_repeats(table(spark, d, "documents"))
 
 
+@query("op2_mixing")
+def _(spark, d):
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query("op3_ngram_jaccard")
 def _(spark, d):
     return jaccard.jaccard_join(table(spark, d, "documents"))
