@@ -135,9 +135,12 @@ def confidence_tier(confidence: Column, high: float = 0.9, medium: float = 0.7)
 
 
 def readable_size(n_bytes: Column) -> Column:
-    """``0 Bytes``, ``1.5 KB``, ... up to GB; two decimals, trailing zeros dropped."""
+    """``0 Bytes``, ``1.5 KB``, ... up to GB; two decimals, trailing zeros dropped. Whole numbers only, halves go up."""
     step = (F.when(n_bytes < 1024, 0).when(n_bytes < 1024 ** 2, 1).when(n_bytes < 1024 ** 3, 2).otherwise(3))
-    scaled = F.round((n_bytes / F.pow(F.lit(1024.0), step)).cast("decimal(38,18)"), 2)
-    text = F.regexp_replace(F.regexp_replace(scaled.cast("decimal(38,2)").cast("string"), "0+$", ""), "\\.$", "")
+    size = F.get(F.array(*[F.lit(1024 ** k).cast("long") for k in range(4)]), step)
+    hundredths = F.floor((n_bytes.cast("decimal(38,0)") * 100 + F.floor(size / 2)) / size).cast("long")
+    part = F.lpad((hundredths % 100).cast("string"), 2, "0")
+    text = F.concat(F.floor(hundredths / 100).cast("string"), F.when(hundredths % 100 == 0, "").otherwise(
+        F.concat(F.lit("."), F.rtrim(part, F.lit("0")))))
     unit = F.get(F.array(*[F.lit(u) for u in ("Bytes", "KB", "MB", "GB")]), step)
     return F.when(n_bytes == 0, F.lit("0 Bytes")).otherwise(F.concat(text, F.lit(" "), unit))

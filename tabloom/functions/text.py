@@ -1,7 +1,7 @@
 """Column expressions over header text: words, dictionary cuts, base tokens, trigrams.
 
 Everything is an expression over one header, so the whole chain runs in one narrow stage over distinct headers.
-The lexicon is bounded (``lexicon.MAX_WORDS``) and becomes literals: ``isin`` turns into a hash-set test.
+The lexicon is configuration and becomes literals: ``isin`` turns into a hash-set test.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ def strings(values: list[str]) -> Column:
 
 
 def among(value: Column, words: list[str]) -> Column:
-    """Membership in a literal list; long lists become a hash set."""
-    return value.isin(words) if len(words) > 1000 else F.array_contains(strings(words), value)
+    """Membership in a literal list, which Spark turns into a hash set."""
+    return value.isin(words)
 
 
 def words(text: Column, camel: bool = True) -> Column:
@@ -228,7 +228,7 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 
 def search_tokens(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.lower(text), "\\s+"), lambda t: F.regexp_replace(t, "[^a-z0-9]", "")),
+    return F.filter(F.transform(F.split(F.lower(text), f"[{WHITE_SPACE}]+"), lambda t: F.regexp_replace(t, "[^a-z0-9]", "")),
                     lambda t: t != "")
 
 
@@ -237,8 +237,8 @@ def typo_variant(text: Column) -> Column:
 
 
 def fingerprint(headers: Column) -> Column:
-    """SHA-256 over the normalised header names; equal for files with the same layout."""
-    normal = F.transform(headers, lambda h: F.regexp_replace(F.lower(h), "[^a-z0-9]+", ""))
+    """SHA-256 over the header names, lower-cased, letters and digits of every script; equal for files of one layout."""
+    normal = F.transform(headers, lambda h: F.regexp_replace(F.lower(h), "[^\\p{L}\\p{N}]+", ""))
     return F.sha2(F.concat_ws("|", normal), 256)
 
 

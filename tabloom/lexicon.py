@@ -1,20 +1,20 @@
 """Word lists that drive header recognition and matching.
 
 A lexicon is configuration, not data: it is sized by the target schema (tens of fields, hundreds of words), held
-on the driver and shipped inside expressions. ``MAX_WORDS`` enforces that; alias dictionaries larger than
-``MAX_INLINE_ALIASES`` are matched by joining :meth:`Lexicon.alias_table` instead (see ``operators.keywords``).
+on the driver and shipped inside expressions. Alias dictionaries that are data are given as a table and joined instead
+(see ``operators.keywords``).
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-MAX_WORDS = 20_000
-MAX_INLINE_ALIASES = 20_000
 UNKNOWN_WEIGHT = 0.2
 
 # The target schema (id, label, required, type) in its fixed order.
@@ -80,83 +80,79 @@ SIGNATURES = {
     "annual_target_spend": "annual target spend",
 }
 
-# This package's own default synonyms: base token -> comma-separated phrases. Later bases win a shared phrase.
-DEFAULT_SYNONYMS = {
-    "supplier": "vendor, seller, merchant, payee, creditor, supp",
-    "name": "company, business, organisation, organization, title",
-    "alias": "dba, nickname, trading name, also known as, short name",
-    "legal": "registered, statutory, incorporated, entity",
-    "id": "number, code, identifier, ref, num, no",
-    "street": "address, road, avenue, addr, building",
-    "city": "town, municipality, village",
-    "state": "province, region, county",
-    "postal": "zip, zipcode, postcode, pincode",
-    "country": "nation, ctry",
-    "phone": "telephone, tel, mobile, cell, contact number",
-    "email": "mail, email address, emailaddress",
-    "tax": "vat, gst, tin, ein, taxid",
-    "terms": "net, credit terms, conditions, due days",
-    "method": "mode, type, channel, instrument",
-    "currency": "ccy, curr, fx",
-    "number": "count, qty, quantity, tally, volume, freq",
-    "total": "sum, overall, gross, aggregate",
-    "amount": "amt, value, cost, balance, spend",
-    "invoices": "invoice, inv, bill, bills, billing",
-    "purchase orders": "po, pos, orders, requisitions",
-    "paid": "settled, cleared, remitted, completed",
-    "due": "payable, owed, unpaid, upcoming, expected",
-    "open": "outstanding, pending, unsettled, unresolved",
-    "transaction": "txn, trans, activity",
-    "payment": "payments, pay, pmt",
-    "annual": "yearly, ytd, per year, annum",
-    "target": "budget, goal, planned, projected, expected",
-    "spend": "expenditure, outlay, spending",
+# This package's own defaults: for the words of the target labels, words that suppliers' files use in their stead.
+# Base words with their other number, and the aliases of whole targets, follow from these by the rules below.
+STAND_INS = {
+    "supplier": ["vendor", "seller", "contractor", "provider"],
+    "id": ["identifier", "code", "ref", "no"],
+    "name": ["company", "firm"],
+    "alias": ["nickname", "trading"],
+    "legal": ["registered", "official"],
+    "street": ["road", "building", "addr"],
+    "city": ["town", "locality"],
+    "state": ["province", "county"],
+    "postal": ["zip", "postcode"],
+    "country": ["nation"],
+    "phone": ["telephone", "mobile", "tel"],
+    "email": ["mail"],
+    "tax": ["vat"],
+    "payment": ["remittance", "pay"],
+    "terms": ["conditions"],
+    "method": ["mode", "instrument"],
+    "currency": ["ccy", "curr"],
+    "total": ["overall", "sum"],
+    "number": ["count", "quantity", "qty"],
+    "invoices": ["bills"],
+    "purchase orders": ["orders", "po", "pos"],
+    "paid": ["settled"],
+    "due": ["payable", "owed"],
+    "open": ["outstanding", "pending"],
+    "transaction": ["txn", "booking"],
+    "amount": ["value", "amt", "balance"],
+    "annual": ["yearly"],
+    "target": ["planned", "budget"],
+    "spend": ["spending", "outlay"],
 }
+#: At most so many words of a label are replaced in one alias.
+REPLACED = 2
 
-# This package's own default alias rule. Every target gets its label plus all "head tail" combinations and the
-# stand-alone phrases after the bar.
-_SUPPLIER = "supplier, vendor, seller, payee, merchant, creditor, supp"
-DEFAULT_ALIAS_RULES = {
-    "supplier_id": (_SUPPLIER, "id, number, no, num, code, ref, key", "account id, company id, partner id"),
-    "supplier_name": (_SUPPLIER, "name, title, description", "company name, business name, account name"),
-    "supplier_alias": (_SUPPLIER, "alias, nickname, short name", "alias, dba, trade name, trading as, known as"),
-    "supplier_legal_name": (_SUPPLIER, "legal name, registered name", "legal name, registered name, legal entity name"),
-    "street_address": ("street, mailing, office, billing, supplier, vendor", "address", "street, address, address line 1"),
-    "city_state": ("city, town, state, province", "name", "city, town, state, province, region, city and state"),
-    "postal_code": ("postal, zip, post, pin", "code, number", "zip, postcode, postal"),
-    "country": ("country, nation", "name, code", "country, nation, ctry"),
-    "phone_number": ("phone, telephone, mobile, cell, contact, fax", "number, no", "phone, telephone, mobile, tel, fax"),
-    "email_address": ("email, e-mail, contact, billing, vendor, supplier", "email, address, mail", "email, e-mail, mail"),
-    "tax_id": ("tax, vat, gst, taxpayer", "id, number, no, code, ref", "ein, tin, vat, gstin"),
-    "payment_terms": ("payment, pay, credit, invoice, vendor, supplier", "terms", "terms, net days, due days"),
-    "payment_method": ("payment, pay, settlement, remittance", "method, mode, type", "wire, ach, check"),
-    "currency": ("invoice, payment, local, base", "currency", "currency, currency code, curr, ccy, fx"),
-    "total_invoices": ("invoice, bill, inv", "count, quantity, volume", "total invoices, number of invoices"),
-    "total_purchase_orders": ("po, order, purchase order", "count, quantity, volume", "total purchase orders, number of orders"),
-    "total_payments_paid": ("paid, settled, cleared", "count", "total payments paid, payments made"),
-    "total_payments_due": ("due, unpaid, overdue, payable", "count", "total payments due, payments due"),
-    "total_payments_open": ("open, outstanding, unsettled", "count, payment count", "total payments open, open payments"),
-    "transaction_count": ("transaction, txn, record, entry", "count, volume", "transactions, total transactions"),
-    "total_amount_invoices": ("invoice, invoiced, billed", "total, amount, value", "total amount invoices, total amount of invoices"),
-    "total_amount_purchase_orders": ("po, order, ordered", "total, amount, value", "total amount of purchase orders"),
-    "total_amount_payments_paid": ("paid, settled, cleared", "amount, total", "total amount of payments paid, amount paid"),
-    "total_amount_payments_due": ("due, unpaid, overdue, payable", "amount, total, balance", "total amount of payments due, amount due"),
-    "total_amount_payments_open": ("open, outstanding, unsettled", "amount, total, balance", "total amount of payments open"),
-    "annual_target_spend": ("annual, yearly, target, planned", "spend, budget", "annual target spend, spend goal"),
-}
 
+def other_number(word: str) -> list[str]:
+    """Plural of a singular word and the other way round, for words of four letters or more."""
+    if len(word) < 4 or word.endswith(("ss", "us")):
+        return []
+    return [word[:-1]] if word.endswith("s") else [word[:-1] + "ies"] if word.endswith("y") else [word + "s"]
 
-def _items(text: str) -> list[str]:
-    return [part.strip() for part in text.split(",") if part.strip()]
 
+def default_synonyms() -> dict[str, list[str]]:
+    """Base -> stand-ins and other numbers; a phrase that is a base itself stays one."""
+    out = {}
+    for base, words in STAND_INS.items():
+        every = [x for w in [base, *words] for x in [w, *other_number(w)]]
+        out[base] = [w for w in dict.fromkeys(every) if w != base and w not in STAND_INS]
+    return out
 
-def aliases_from_rules(rules: dict[str, tuple[str, str, str]]) -> dict[str, list[str]]:
-    """Expand (heads, tails, extras) rules into phrase lists."""
+
+def default_aliases() -> dict[str, list[str]]:
+    """For each target its label, with up to REPLACED of its words replaced; "total number of x" is "x count" as well, and
+    a word that only one label has stands for its target alone."""
     out = {}
-    for target, (heads, tails, extras) in rules.items():
-        combined = [f"{head} {tail}" for head in _items(heads) for tail in _items(tails)]
-        label = target.replace("_", " ")
-        out[label] = list(dict.fromkeys([label, *_items(extras), *combined]))
+    in_labels = Counter(w for _, label, _, _ in TARGETS for w in set(label.lower().split()))
+    borrowed = {w for words in STAND_INS.values() for w in words}
+    for target, label, _, _ in TARGETS:
+        text = " ".join(w for w in label.lower().split() if w not in STOP_WORDS)
+        parts = text.replace("purchase orders", "purchase_orders").replace("payments", "payment").split()
+        parts = [p.replace("_", " ") for p in parts]
+        phrases = [text]
+        for words in product(*[[w, *STAND_INS.get(w, [])] for w in parts]):
+            changed = sum(w != p for w, p in zip(words, parts, strict=True))
+            if changed <= REPLACED:
+                phrases.append(" ".join(words))
+                if parts[0] == "total":
+                    phrases.append(" ".join([*words[2:], words[1]]))
+        own = [p for p in parts if in_labels[p] == 1 and p not in borrowed]
+        phrases += [w for p in own for w in [p, *STAND_INS.get(p, [])]]
+        out[target.replace("_", " ")] = list(dict.fromkeys([label.lower(), *phrases]))
     return out
 
 
@@ -178,10 +174,6 @@ class Lexicon:
     raw_signatures: dict[str, list[str]]
     aliases: dict[str, list[str]] = field(default_factory=dict)
 
-    def __post_init__(self):
-        if len(self.vocabulary) > MAX_WORDS:
-            raise ValueError(f"a lexicon holds at most {MAX_WORDS} words, got {len(self.vocabulary)}")
-
     # --- derived values used as literals inside expressions ---
 
     @cached_property
@@ -260,8 +252,7 @@ def lemmatised_signatures(signatures: DataFrame, inverse: DataFrame) -> DataFram
         inverse.select(F.col("synonym").alias("token"), "base_token"), "token", "left")
     words = joined.select("sig_pos", "target_id", "token_pos",
                           F.posexplode(F.split(F.coalesce("base_token", "token"), " ")).alias("word_pos", "word"))
-    return words.select("sig_pos", "target_id", (F.col("token_pos") * 100 + F.col("word_pos")).alias("token_pos"),
-                        F.col("word").alias("token"))
+    return words.select("sig_pos", "target_id", "token_pos", "word_pos", F.col("word").alias("token"))
 
 
 def token_weights(lemmatised: DataFrame) -> DataFrame:
@@ -273,16 +264,16 @@ def token_weights(lemmatised: DataFrame) -> DataFrame:
 def vocabulary_table(stop_words: DataFrame, synonyms: DataFrame, lemmatised: DataFrame) -> DataFrame:
     """Distinct words in order of first appearance: stop words, then bases with synonyms, then signature tokens."""
     parts = (
-        stop_words.select("word", F.struct(F.lit(0).alias("part"), F.col("word_pos").alias("a"), F.lit(0).alias("b")).alias("at"))
+        stop_words.select("word", F.struct(F.lit(0).alias("part"), F.col("word_pos").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")).alias("at"))
         .unionByName(synonyms.select(F.col("base_token").alias("word"),
-                                     F.struct(F.lit(1).alias("part"), F.col("base_pos").alias("a"), F.lit(-1).alias("b")).alias("at")))
+                                     F.struct(F.lit(1).alias("part"), F.col("base_pos").alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("c")).alias("at")))
         .unionByName(synonyms.select(F.col("synonym").alias("word"),
-                                     F.struct(F.lit(1).alias("part"), F.col("base_pos").alias("a"), F.col("syn_pos").alias("b")).alias("at")))
+                                     F.struct(F.lit(1).alias("part"), F.col("base_pos").alias("a"), F.col("syn_pos").alias("b"), F.lit(0).alias("c")).alias("at")))
         .unionByName(lemmatised.select(F.col("token").alias("word"),
-                                       F.struct(F.lit(2).alias("part"), F.col("sig_pos").alias("a"), F.col("token_pos").alias("b")).alias("at")))
+                                       F.struct(F.lit(2).alias("part"), F.col("sig_pos").alias("a"), F.col("token_pos").alias("b"), F.col("word_pos").alias("c")).alias("at")))
     )
     first = parts.groupBy("word").agg(F.min("at").alias("at"))
-    # The vocabulary is bounded by MAX_WORDS, so one ordered window over it is small.
+    # A vocabulary is a word list of the configuration, not data: one ordered window over it is small.
     return first.select("word", (F.row_number().over(W.orderBy("at")) - 1).alias("vocab_pos"))
 
 
@@ -296,9 +287,9 @@ def default_lexicon() -> Lexicon:
     return Lexicon(
         targets=default_targets(),
         stop_words=list(STOP_WORDS),
-        base_tokens={base: _items(text) for base, text in DEFAULT_SYNONYMS.items()},
+        base_tokens=default_synonyms(),
         raw_signatures={target: words.split() for target, words in SIGNATURES.items()},
-        aliases=aliases_from_rules(DEFAULT_ALIAS_RULES),
+        aliases=default_aliases(),
     )
 
 

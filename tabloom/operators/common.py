@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import scratch_dir
+
 SALTS = 8
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a written table in the shared folder: computed once, and safe when executors are lost."""
+    path = scratch_dir(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def salted_lookup(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "left",
                   salts: int = SALTS) -> DataFrame:
     """Join ``big`` to ``small`` (one row per key) so that a hot key is spread over ``salts`` tasks.
 
-    ``small`` is repeated once per salt; it is already reduced to one row per key, so this stays far below the size of
-    ``big``. No broadcast is forced: Spark broadcasts ``small`` by itself when it measures it below
+    ``small`` has one row per key and is repeated once per salt. No broadcast is forced: Spark broadcasts ``small`` by itself when it measures it below
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
     """
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))

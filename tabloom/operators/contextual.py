@@ -1,6 +1,7 @@
 """The two older detectors: a point system over the next rows, and its keyword-led variant.
 
-Same shape as ``structure``: rows stay whole, one shuffle on ``file_id``, at most ``sample_rows`` rows per file.
+They score all rows of a file (or the first ``sample_rows``). Rows stay whole and are shuffled once: by file and range of
+RANGE rows, each range with the five rows after it, so a long file is worked on in many places.
 """
 
 from __future__ import annotations
@@ -10,17 +11,18 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.cells import bind, clamp, clean, header_names, is_typed
 from ..lexicon import Lexicon
 from .keywords import row_keyword_columns
-from .structure import CONTEXT_ROWS, SAMPLE_ROWS, below_cell, head_sample, typed_rows, with_context
+from .structure import CONTEXT_ROWS, below_cell, typed_rows
 
 ACCEPT = 50
+RANGE = 2000
 PIVOT_STAGE_ROWS = 20
 
 
 def number_value(cleaned: Column, kind: Column) -> Column:
     """Numeric value of a number cell, epoch milliseconds of a date cell, else null.
 
-    Dates are read as year-month-day or month/day/year; other date-like texts have no value. Binary, octal and
-    hexadecimal numbers are converted.
+    Dates are read as year-month-day or month/day/year, where a year of two digits is 1950 to 2049; other date-like
+    texts have no value. Binary, octal and hexadecimal numbers are converted.
     """
     unsigned = F.substring(cleaned, F.lit(3), F.length(cleaned))
     prefix = F.lower(F.substring(cleaned, 1, 2))
@@ -30,14 +32,18 @@ def number_value(cleaned: Column, kind: Column) -> Column:
               .otherwise(cleaned.try_cast("double")))
     iso = F.regexp_extract(cleaned, "^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})$", 0)
     us = F.regexp_extract(cleaned, "^([0-9]{1,2})[-/]([0-9]{1,2})[-/]([0-9]{4})$", 0)
+    short = F.regexp_extract(cleaned, "^([0-9]{1,2})[-/]([0-9]{1,2})[-/]([0-9]{2})$", 0)
     parts = F.split(cleaned, "[-/]")
 
-    def epoch(y: int, m: int, d: int) -> Column:
-        text = F.concat_ws("-", F.lpad(F.get(parts, F.lit(y)), 4, "0"), F.lpad(F.get(parts, F.lit(m)), 2, "0"),
+    def epoch(year: Column, m: int, d: int) -> Column:
+        text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(F.get(parts, F.lit(m)), 2, "0"),
                            F.lpad(F.get(parts, F.lit(d)), 2, "0"))
         return F.unix_date(text.try_cast("date")).cast("double") * 86400000.0
 
-    date = F.when(iso != "", epoch(0, 1, 2)).when(us != "", epoch(2, 0, 1))
+    last = F.get(parts, F.lit(2))
+    full = F.concat(F.when(last >= "50", "19").otherwise("20"), last)
+    date = (F.when(iso != "", epoch(F.get(parts, F.lit(0)), 1, 2)).when(us != "", epoch(last, 0, 1))
+            .when(short != "", epoch(full, 0, 1)))
     return F.when(kind == "number", number).when(kind == "date", date)
 
 
@@ -62,15 +68,28 @@ def series_flag(cells: Column, types: Column) -> Column:
     return F.coalesce(bind(values, judge), F.lit(False))
 
 
-def contextual_counts(grid: DataFrame, sample_rows: int = SAMPLE_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+def with_following(typed: DataFrame) -> DataFrame:
+    """Add the types of the next five rows (``below``), how many rows follow among them, and whether any has data."""
+    number = F.floor(F.col("row_idx") / RANGE)
+    early = F.when((number > 0) & (F.col("row_idx") % RANGE < CONTEXT_ROWS), F.struct((number - 1).alias("n"), F.lit(True).alias("guest")))
+    placed = typed.withColumn("_r", F.explode(F.array_compact(F.array(F.struct(number.alias("n"), F.lit(False).alias("guest")), early))))
+    by_row = W.partitionBy("file_id", "_r.n").orderBy("row_idx")
+    ahead = by_row.rowsBetween(1, CONTEXT_ROWS)
+    return (placed
+            .withColumn("below", F.array(*[F.lead("types", k).over(by_row) for k in range(1, CONTEXT_ROWS + 1)]))
+            .withColumn("following", F.count(F.lit(1)).over(ahead))
+            .withColumn("data_below", F.coalesce(F.max("filled").over(ahead) > 0, F.lit(False)))
+            .where("NOT _r.guest").drop("_r"))
+
+
+def contextual_counts(grid: DataFrame, sample_rows: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row what the point system needs, for both pivot settings.
 
     ``strong`` and ``weak`` count text cells earning the boundary and the plain points; ``series_cells`` counts typed
     cells unique in their row with at least 60 % typed cells below.
     """
-    rows = with_context(typed_rows(head_sample(grid, sample_rows)))
+    rows = with_following(typed_rows(grid if sample_rows is None else grid.where(F.col("row_idx") < sample_rows)))
     width_below = F.array(*[F.size(F.get("below", F.lit(k))) for k in range(CONTEXT_ROWS)])
-    following = F.count(F.lit(1)).over(W.partitionBy("file_id").orderBy("row_idx").rowsBetween(1, CONTEXT_ROWS))
 
     def under(i: Column) -> Column:
         cells = F.array(*[below_cell(F.col("below"), k, i) for k in range(CONTEXT_ROWS)])
@@ -81,7 +100,7 @@ def contextual_counts(grid: DataFrame, sample_rows: int = SAMPLE_ROWS, keep: tup
             F.coalesce(below_cell(F.col("below"), 0, i) == "string", F.lit(False)).alias("text_first"))
 
     judged = F.transform("types", lambda t, i: F.struct(t.alias("t"), F.get("keys", i).alias("k"), under(i).alias("u")))
-    rows = rows.withColumn("following", following).withColumn("_c", judged)
+    rows = rows.withColumn("_c", judged)
     strong = F.filter("_c", lambda c: (c["t"] == "string") & (c["u"]["typed"] > c["u"]["text"]) & ~c["u"]["text_first"])
     touched = F.filter("_c", lambda c: (c["t"] == "string") & (c["u"]["typed"] + c["u"]["text"] > 0))
     likely = F.filter("_c", lambda c: is_typed(c["t"]) & (c["u"]["present"] > 0)
@@ -98,7 +117,7 @@ def contextual_counts(grid: DataFrame, sample_rows: int = SAMPLE_ROWS, keep: tup
             .withColumn("texts", F.size(F.filter("types", lambda t: t == "string")))
             .withColumn("duplicates", F.size(filled_keys) - F.size(F.array_distinct(filled_keys)))
             .withColumn("is_series", series_flag(F.col("cells"), F.col("types")))
-            .select("file_id", "row_idx", *keep, "keys", "last_row", "filled", "numeric_cells", "texts", "strong", "weak",
+            .select("file_id", "row_idx", *keep, "keys", "filled", "numeric_cells", "texts", "strong", "weak",
                     "series_cells", "duplicates", "is_series", "following", "data_below"))
 
 
@@ -126,9 +145,9 @@ def points(scaling: bool, pivot_aware: bool) -> Column:
     return total.cast("int")
 
 
-def contextual_scores(grid: DataFrame, scaling: bool = True, sample_rows: int = SAMPLE_ROWS,
+def contextual_scores(grid: DataFrame, scaling: bool = True, sample_rows: int | None = None,
                       keep: tuple[str, ...] = ()) -> DataFrame:
-    """(file_id, row_idx, plain_score, pivot_score, is_series) for every sampled row."""
+    """(file_id, row_idx, plain_score, pivot_score, is_series) for every row."""
     return (contextual_counts(grid, sample_rows, keep)
             .withColumn("plain_score", points(scaling, False)).withColumn("pivot_score", points(scaling, True)))
 
@@ -137,11 +156,11 @@ def _first_best(order: list[Column], payload: Column, candidate: Column) -> Colu
     return F.max_by(F.when(candidate, payload), F.when(candidate, F.struct(*order, -F.col("row_idx"))))
 
 
-def detect_headers_contextual(grid: DataFrame, scaling: bool = True, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def detect_headers_contextual(grid: DataFrame, scaling: bool = True, sample_rows: int | None = None) -> DataFrame:
     """Two stages: the plain score if its best reaches 50; else the pivot-aware score if that reaches 50 and is higher;
     else the plain best, whatever it is."""
     scored = contextual_scores(grid, scaling, sample_rows, keep=("cells",))
-    candidate = F.col("row_idx") < F.col("last_row")
+    candidate = F.col("following") > 0  # the last row never stands
     files = scored.groupBy("file_id").agg(
         _first_best([F.col("plain_score")], F.struct(F.col("plain_score").alias("s"), "row_idx", "cells"), candidate).alias("plain"),
         _first_best([F.col("pivot_score")], F.struct(F.col("pivot_score").alias("s"), "row_idx", "cells"), candidate).alias("pivot"))
@@ -154,7 +173,7 @@ def detect_headers_contextual(grid: DataFrame, scaling: bool = True, sample_rows
 
 
 def detect_headers_ranked(grid: DataFrame, aliases: Lexicon | DataFrame, keyword_first: bool = False,
-                          sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+                          sample_rows: int | None = None) -> DataFrame:
     """Keyword-led variant: rows ranked by (keyword, points) or (points, keyword).
 
     Accepted when the leading score reaches 50. Else rows among the first 20 are ranked with the pivot-aware points; that
@@ -162,7 +181,7 @@ def detect_headers_ranked(grid: DataFrame, aliases: Lexicon | DataFrame, keyword
     Context scaling is on.
     """
     scored = row_keyword_columns(contextual_scores(grid, True, sample_rows, keep=("cells",)), aliases)
-    candidate = F.col("row_idx") < F.col("last_row")
+    candidate = F.col("following") > 0  # the last row never stands
     early = candidate & (F.col("row_idx") < PIVOT_STAGE_ROWS)
 
     def stage(score: str, among: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cells import half_up, leading_block
-from ..lexicon import MAX_INLINE_ALIASES, Lexicon
+from ..lexicon import Lexicon
+from .common import salted_lookup, stored
 
 VERTICAL_ROWS = 200
 
@@ -17,18 +18,18 @@ def _percent(matches: Column, cells: Column) -> Column:
 def mark_known(rows: DataFrame, keys: str, aliases: Lexicon | DataFrame, out: str) -> DataFrame:
     """Add ``out``: for each key of the array column ``keys``, whether it is a known name.
 
-    A lexicon small enough to sit in the plan is tested in place. An alias table, or a larger lexicon, is joined: distinct
-    keys meet the alias table on the key (Spark picks the join by size), and rows get back the array of their known keys
-    through one more join per (row, key). ``rows`` must be unique by (file_id, row_idx).
+    A lexicon sits in the plan and is tested in place. An alias table is joined: the rows are written once; their
+    distinct keys meet the table, so a name in every row is looked up once; rows then collect their known keys through a
+    salted lookup. ``rows`` must be unique by (file_id, row_idx).
     """
     if isinstance(aliases, Lexicon):
-        if len(aliases.keywords) <= MAX_INLINE_ALIASES:
-            known = aliases.keywords or [""]
-            return rows.withColumn(out, F.transform(keys, lambda k: F.coalesce(k.isin(known), F.lit(False))))
-        aliases = aliases.alias_table(rows.sparkSession)
+        known = aliases.keywords or [""]
+        return rows.withColumn(out, F.transform(keys, lambda k: F.coalesce(k.isin(known), F.lit(False))))
+    rows = stored(rows, "keyword-rows")
     names = aliases.select(F.lower("alias").alias("_key")).distinct()
     cells = rows.select("file_id", "row_idx", F.explode(F.array_distinct(keys)).alias("_key")).where("_key is not null")
-    hits = (cells.join(names, "_key", "left_semi").groupBy("file_id", "row_idx")
+    found = cells.select("_key").distinct().join(names, "_key", "left_semi")
+    hits = (salted_lookup(cells, found, "_key", F.xxhash64("file_id", "row_idx"), "inner").groupBy("file_id", "row_idx")
             .agg(F.collect_set("_key").alias("_hits")))
     joined = rows.join(hits, ["file_id", "row_idx"], "left")
     return joined.withColumn(out, F.transform(keys, lambda k: F.coalesce(

@@ -8,7 +8,6 @@ from ..functions.cells import bind, clean, filled_type
 from ..functions.text import strings
 from ..lexicon import Lexicon
 from .common import computed_here, salted_lookup
-from .structure import head_sample
 
 SPARK_TYPES = {"integer": "bigint", "decimal": "decimal(18,2)", "string": "string", "alphanumeric": "string"}
 DEFAULT_SEPARATOR = " "
@@ -93,9 +92,10 @@ def rejected_values(values: DataFrame, lexicon: Lexicon) -> DataFrame:
 def masked_sample(grid: DataFrame, header_rows: DataFrame, n_rows: int = 10) -> DataFrame:
     """The first data rows with e-mail addresses and money-like numbers replaced by fixed dummies.
 
-    A sample is taken right below the header, so only the head of each file is joined.
+    The sample is taken right below the header, wherever that is.
     """
-    near = head_sample(grid).join(header_rows.where("header_row_index >= 0").select("file_id", "header_row_index"), "file_id")
+    heads = header_rows.where("header_row_index >= 0").select("file_id", "header_row_index")
+    near = salted_lookup(grid, heads, "file_id", F.col("row_idx"), "inner")
     rows = near.where((F.col("row_idx") > F.col("header_row_index"))
                       & (F.col("row_idx") <= F.col("header_row_index") + n_rows))
 

@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import fingerprint
 from ..lexicon import Lexicon
-from ..operators.common import salted_lookup
+from ..operators.common import salted_lookup, stored
 from ..operators.detect import detect_headers, header_list
 from ..operators.lexical import alias_match
 from ..operators.matching import assign, score_sources
 from ..operators.reshape import reshape
 from ..operators.review import held_sources
-from ..session import scratch_dir
 
 APP_THRESHOLD = 0.4
 
@@ -24,13 +23,6 @@ def map_headers(headers: DataFrame, lexicon: Lexicon, threshold: float = 0.5, mo
     return assign(headers, score_sources(headers, lexicon, mode), lexicon, threshold)
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a written table in the shared folder: computed once, and safe when executors are lost."""
-    path = scratch_dir(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def score_with(matcher: str, headers: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(source, candidates) from any matcher; ``alias`` gives at most one candidate per header."""
     if matcher != "alias":

@@ -2,40 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..operators.common import dense_index
+from ..functions.cells import bind
+from ..operators.common import computed_here, dense_index
 from ..operators.structure import SAMPLE_ROWS
+from .ledger import MAX_BYTES, reject_reason
 
-MAX_CSV_COLUMNS = 512
+# Delimiters a file may use, most usual first, as regular expressions.
+DELIMITERS = [",", "\\t", "\\|", ";"]
+GUESS_LINES = 10
+_QUOTED = '"(?:[^"]++|"")*+"'
 
 
-def read_csv_grids(spark: SparkSession, path: str, max_columns: int = MAX_CSV_COLUMNS) -> DataFrame:
-    """Header-less CSV files as (file_id, line_no, cells).
+def _cell(delimiter: Column) -> Column:
+    """A cell: quoted text (and what follows it up to the delimiter), else anything up to the delimiter.
 
-    Spark infers the width from the first line and would cut wider rows, so the schema is explicit and all text; the raw
-    record restores trailing empty cells, which Spark reads like absent ones. Empty lines are dropped by the reader and
-    comma-only lines are kept. Files are read whole by one task each: admission limits them to 10 MiB.
-    A record with more than ``max_columns`` cells fails the read rather than losing cells.
+    Possessive quantifiers keep the matcher from recursing or stepping back, whatever the length of a record.
     """
-    names = [f"c{i}" for i in range(max_columns)]
-    schema = ", ".join(f"{n} string" for n in names) + ", _raw string"
-    rows = (spark.read.schema(schema).option("header", False).option("multiLine", True).option("mode", "PERMISSIVE")
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .option("escape", '"').option("emptyValue", "").option("nullValue", "")
-            .option("columnNameOfCorruptRecord", "_raw").option("maxColumns", max_columns + 1)
-            .csv(path)
-            .select(F.col("_metadata.file_path").alias("file_id"), F.monotonically_increasing_id().alias("line_no"),
-                    F.array(*names).alias("cells"), "_raw"))
-    # Cells up to the last filled one, or to the last comma outside quotes.
-    filled = F.array_max(F.transform("cells", lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(F.lit(0))))
-    unquoted = F.regexp_replace("_raw", '"[^"]*"', "")
-    width = F.greatest(filled, F.coalesce(F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1,
-                                          F.lit(1)))
-    too_wide = F.raise_error(F.concat(F.lit("more than "), F.lit(max_columns).cast("string"), F.lit(" columns in "),
-                                      F.col("file_id")))
-    cells = F.when(width > max_columns, too_wide.cast("array<string>")).otherwise(F.slice("cells", F.lit(1), width))
-    return rows.select("file_id", "line_no", cells.alias("cells"))
+    plain = F.concat(F.lit("[^"), delimiter, F.lit("\\r\\n]*+"))
+    return F.concat(F.lit(f"(?:{_QUOTED}"), plain, F.lit("|"), plain, F.lit(")"))
+
+
+def guess_delimiter(text: Column) -> Column:
+    """The delimiter that cuts the first lines into the steadiest number of cells, two or more; a comma if none does.
+
+    Quoted stretches do not count. Ties go to the one with more cells, then to the more usual one.
+    """
+    lines = F.slice(F.filter(F.split(F.regexp_replace(text, "(?m)(^|[,;|\\t])" + _QUOTED, "$1"), "\\r\\n|\\n|\\r"), lambda x: F.trim(x) != ""), 1, GUESS_LINES)
+
+    def judged(lines: Column, at: int) -> Column:
+        counts = F.transform(lines, lambda x: F.size(F.split(x, DELIMITERS[at])))
+        steps = F.aggregate(counts, F.struct(F.get(counts, F.lit(0)).alias("last"), F.lit(0).alias("sum")), lambda s, n: F.struct(
+            n.alias("last"), (s["sum"] + F.abs(n - s["last"])).alias("sum")))["sum"]
+        average = F.aggregate(counts, F.lit(0), lambda s, n: s + n) / F.greatest(F.size(counts), F.lit(1))
+        return F.when(average >= 2, F.struct(steps.alias("steps"), (-average).alias("few"), F.lit(at).alias("at")))
+
+    best = bind(lines, lambda x: F.array_min(F.array_compact(F.array(*[judged(x, k) for k in range(len(DELIMITERS))]))))
+    return F.get(F.array(*[F.lit(x) for x in DELIMITERS]), F.coalesce(best["at"], F.lit(0)))
+
+
+def _files(spark: SparkSession, path: str, max_bytes: int, extensions: list[str] | None) -> DataFrame:
+    """(file_id, error, text): every file below ``path`` once; the text of files that are not admitted is not read."""
+    listed = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    name, size = F.col("_metadata.file_name"), F.col("_metadata.file_size")
+    reason = reject_reason(name, size, F.lit(""), max_bytes, extensions)
+    good = listed.where(reason.isNull()).select(
+        F.col("_metadata.file_path").alias("file_id"), F.lit(None).cast("string").alias("error"),
+        F.regexp_replace("value", "^\ufeff", "").alias("text"))
+    bad = listed.where(reason.isNotNull()).select(F.col("_metadata.file_path").alias("file_id"), reason.alias("error"),
+                                                  F.lit(None).cast("string").alias("text"))
+    return good.unionByName(bad)
+
+
+def _records(files: DataFrame) -> DataFrame:
+    """Adds ``records``, an array of cell arrays, and ``error`` for texts that cannot be cut."""
+    named = computed_here(files, "_d", guess_delimiter(F.col("text")))
+    cell = _cell(F.col("_d"))
+    lines = F.filter(F.regexp_extract_all("text", F.concat(cell, F.lit("(?:"), F.col("_d"), cell, F.lit(")*+")), F.lit(0)), lambda r: r != "")
+    sign = F.when(F.col("_d") == "\\t", "\t").when(F.col("_d") == "\\|", "|").otherwise(F.col("_d"))
+
+    def cells(record: Column) -> Column:
+        found = F.regexp_extract_all(F.concat(F.col("_sign"), record), F.concat(F.col("_d"), F.lit("("), cell, F.lit(")")), F.lit(1))
+        return F.transform(found, lambda c: F.nullif(F.when(c.rlike(f"^{_QUOTED}"), F.replace(F.concat(
+            F.regexp_extract(c, '^"((?:[^"]++|"")*+)"', 1), F.regexp_extract(c, f"^{_QUOTED}(.*)$", 1)), F.lit('""'), F.lit('"'))).otherwise(c), F.lit("")))
+
+    cut = computed_here(named.withColumn("_sign", sign), "_lines", lines)
+    open_quote = F.exists("_lines", lambda r: F.regexp_replace(F.concat(F.col("_sign"), r), F.concat(F.col("_d"), F.lit(_QUOTED)), "").rlike(
+        '(^|[,;|\t])"[^"]*$'))
+    error = (F.when(F.col("_rejected").isNotNull(), F.col("_rejected")).when(F.size("_lines") == 0, "no rows")
+             .when(open_quote, "a quoted cell does not end"))
+    judged = computed_here(cut.withColumnRenamed("error", "_rejected"), "error", error)
+    return judged.withColumn("records", F.when(F.col("error").isNull(), F.transform("_lines", cells))).select("file_id", "error", "records")
+
+
+def read_csv_grids(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, extensions: list[str] | None = None) -> DataFrame:
+    """Header-less CSV files as (file_id, line_no, row_idx, cells); the delimiter is guessed for each file.
+
+    Only admitted files are read, each whole by one task, which the admission limit ``max_bytes`` keeps small; cells are
+    cut by expressions, any number a row. Rows are numbered as they are cut, so nothing is shuffled. Empty lines are
+    dropped, lines of delimiters alone are kept. Files that cannot be read give no rows here but one in ``read_errors``.
+    """
+    cut = _records(_files(spark, path, max_bytes, extensions)).where("error IS NULL")
+    rows = cut.select("file_id", F.posexplode("records").alias("at", "cells"))
+    return rows.select("file_id", F.col("at").cast("long").alias("line_no"), F.col("at").cast("long").alias("row_idx"), "cells")
+
+
+def read_errors(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, extensions: list[str] | None = None) -> DataFrame:
+    """(file_id, error) of the files that ``read_csv_grids`` gives no rows for."""
+    return _records(_files(spark, path, max_bytes, extensions)).where("error IS NOT NULL").select("file_id", "error")
 
 
 def read_sheet_grids(spark: SparkSession, path: str) -> DataFrame:
@@ -79,7 +134,7 @@ def cells_of(grid: DataFrame) -> DataFrame:
 
 def read_alias_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """JSON object {key: [phrases]} as (key_pos, target_key, alias_pos, alias)."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = text.select(F.from_json("value", "map<string,array<string>>").alias("m"))
     keys = parsed.select(F.posexplode(F.map_entries("m")).alias("key_pos", "e"))
     return keys.select("key_pos", F.col("e.key").alias("target_key"),

@@ -23,9 +23,11 @@ def extension(name: Column) -> Column:
     return F.lower(F.coalesce(F.nullif(F.regexp_extract(name, r"(\.[^.]*)$", 1), F.lit("")), name))
 
 
-def reject_reason(name: Column, length: Column, mime_type: Column) -> Column:
-    allowed = extension(name).isin(EXTENSIONS) | F.coalesce(mime_type.isin(MIME_TYPES), F.lit(False))
-    return (F.when(length > MAX_BYTES, F.concat(F.lit("'"), name, F.lit("' exceeds the 10 MB limit.")))
+def reject_reason(name: Column, length: Column, mime_type: Column, max_bytes: int = MAX_BYTES,
+                  extensions: list[str] | None = None) -> Column:
+    # The wording of both reasons.
+    allowed = extension(name).isin(extensions or EXTENSIONS) | F.coalesce(mime_type.isin(MIME_TYPES), F.lit(False))
+    return (F.when(length > max_bytes, F.concat(F.lit("'"), name, F.lit("' exceeds the 10 MB limit.")))
             .when(~allowed, F.concat(F.lit("'"), name, F.lit("' is an invalid file type."))))
 
 

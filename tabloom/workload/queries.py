@@ -97,6 +97,10 @@ def event_head(spark, d):
     return G.head_rows(I.event_lines(I.table(spark, d, "events")))
 
 
+def event_grid(spark, d):
+    return G.number_rows(I.event_lines(I.table(spark, d, "events")))
+
+
 def line_mapping(spark, d, mode="standard"):
     return P.map_headers(I.line_headers(spark, d), lexicon(), THRESHOLD, mode)
 
@@ -168,13 +172,13 @@ def _():
 
 @query("row_fill")
 def _(spark, d):
-    return S.typed_rows(S.head_sample(statement_head(spark, d))).select("file_id", "row_idx", "filled", "numeric_cells")
+    return S.typed_rows(statement_grid(spark, d)).select("file_id", "row_idx", "filled", "numeric_cells")
 
 
 @oracle("row_fill")
 def _():
     c = Q.Ctes()
-    Q.typed(c, Q.statement_grid(c))
+    Q.typed(c, Q.statement_grid(c), sample=False)
     return c.sql("SELECT file_id, row_idx, filled, numeric_cells FROM t_rows")
 
 
@@ -195,7 +199,7 @@ def _():
 
 @query("first_type_below")
 def _(spark, d):
-    rows = S.with_context(S.typed_rows(S.head_sample(statement_head(spark, d))))
+    rows = O.with_following(S.typed_rows(statement_grid(spark, d)))
     return rows.select("file_id", "row_idx", F.posexplode("cells").alias("col_idx", "value"), "below").select(
         "file_id", "row_idx", "col_idx", S.first_type_below(F.col("below"), F.col("col_idx")).alias("type_below"))
 
@@ -203,19 +207,19 @@ def _(spark, d):
 @oracle("first_type_below")
 def _():
     c = Q.Ctes()
-    Q.structural(c, Q.statement_grid(c))
+    Q.structural(c, Q.statement_grid(c), sample=False)
     return c.sql("SELECT file_id, row_idx, col_idx, below AS type_below FROM s_cells")
 
 
 @query("has_data_below")
 def _(spark, d):
-    return S.with_context(S.typed_rows(S.head_sample(I.document_grid(spark, d)))).select("file_id", "row_idx", "data_below")
+    return O.with_following(S.typed_rows(I.document_grid(spark, d))).select("file_id", "row_idx", "data_below")
 
 
 @oracle("has_data_below")
 def _():
     c = Q.Ctes()
-    Q.structural(c, Q.document_grid(c))
+    Q.structural(c, Q.document_grid(c), sample=False)
     return c.sql("SELECT file_id, row_idx, data_below FROM s_below")
 
 
@@ -273,17 +277,17 @@ def _():
 
 @query("keyword_scores")
 def _(spark, d):
-    return K.score_keywords(statement_head(spark, d), lexicon())
+    return K.score_keywords(statement_grid(spark, d), lexicon())
 
 
 @query("keyword_scores_by_join")
 def _(spark, d):
-    return K.score_keywords(statement_head(spark, d), lexicon().alias_table(spark))
+    return K.score_keywords(statement_grid(spark, d), lexicon().alias_table(spark))
 
 
 def _keyword_sql():
     c = Q.Ctes()
-    Q.typed(c, Q.statement_grid(c))
+    Q.typed(c, Q.statement_grid(c), sample=False)
     Q.keyword_rows(c, lexicon())
     return c.sql("SELECT file_id, row_idx, block, matches AS keyword_matches, keyword_score FROM k_rows")
 
@@ -412,7 +416,7 @@ def _():
 
 @query("contextual_scores")
 def _(spark, d):
-    return O.contextual_scores(event_head(spark, d)).select("file_id", "row_idx", "plain_score", "pivot_score")
+    return O.contextual_scores(event_grid(spark, d)).select("file_id", "row_idx", "plain_score", "pivot_score")
 
 
 @oracle("contextual_scores")
@@ -424,7 +428,7 @@ def _():
 
 @query("contextual_scores_unscaled")
 def _(spark, d):
-    return O.contextual_scores(statement_head(spark, d), scaling=False).select("file_id", "row_idx", "plain_score", "pivot_score")
+    return O.contextual_scores(statement_grid(spark, d), scaling=False).select("file_id", "row_idx", "plain_score", "pivot_score")
 
 
 @oracle("contextual_scores_unscaled")
@@ -436,7 +440,7 @@ def _():
 
 @query("monotonic_rows")
 def _(spark, d):
-    return O.contextual_scores(event_head(spark, d)).where("is_series").select("file_id", "row_idx")
+    return O.contextual_scores(event_grid(spark, d)).where("is_series").select("file_id", "row_idx")
 
 
 @oracle("monotonic_rows")
@@ -448,7 +452,7 @@ def _():
 
 @query("detect_contextual")
 def _(spark, d):
-    return O.detect_headers_contextual(event_head(spark, d))
+    return O.detect_headers_contextual(event_grid(spark, d))
 
 
 @oracle("detect_contextual")
@@ -470,7 +474,7 @@ def _():
 def _ranked(name, keyword_first):
     @query(name)
     def _(spark, d):
-        return O.detect_headers_ranked(statement_head(spark, d), lexicon(), keyword_first)
+        return O.detect_headers_ranked(statement_grid(spark, d), lexicon(), keyword_first)
 
     @oracle(name)
     def _():
@@ -1010,7 +1014,7 @@ def _():
 
 @query("report_rows")
 def _(spark, d):
-    return V.report_rows(I.line_headers(spark, d), line_mapping(spark, d)).drop("percent")
+    return V.report_rows(I.line_headers(spark, d), line_mapping(spark, d))
 
 
 @oracle("report_rows")
@@ -1167,8 +1171,10 @@ def _(spark, d):
 def _():
     return f"""WITH {LEDGER_SQL}, x AS (SELECT file_name, length, CASE WHEN length < 1024 THEN 0 WHEN length < 1048576 THEN 1
       WHEN length < 1073741824 THEN 2 ELSE 3 END AS step FROM ledger)
-      SELECT file_name, CASE WHEN length = 0 THEN '0 Bytes' ELSE regexp_replace(regexp_replace(CAST(CAST(round(CAST(length / pow(1024, step)
-      AS DECIMAL(38,18)), 2) AS DECIMAL(38,2)) AS VARCHAR), '0+$', ''), '\\.$', '') || ' ' || ['Bytes', 'KB', 'MB', 'GB'][step + 1] END AS size_text FROM x"""
+      , y AS (SELECT *, [1, 1024, 1048576, 1073741824][step + 1] AS unit FROM x)
+      , z AS (SELECT *, (length * 100 + unit // 2) // unit AS h FROM y)
+      SELECT file_name, CASE WHEN length = 0 THEN '0 Bytes' ELSE (h // 100)::VARCHAR || CASE h % 100 WHEN 0 THEN ''
+        ELSE '.' || rtrim(lpad((h % 100)::VARCHAR, 2, '0'), '0') END || ' ' || ['Bytes', 'KB', 'MB', 'GB'][step + 1] END AS size_text FROM z"""
 
 
 @query("file_status")
@@ -1191,7 +1197,7 @@ def _():
 # --- reuse and reshaping ---
 
 def fingerprint_sql(names):
-    return (f"sha256(array_to_string(list_transform({names}, lambda h: regexp_replace(lower(h), '[^a-z0-9]+', '', 'g')), '|'))")
+    return (f"sha256(array_to_string(list_transform({names}, lambda h: regexp_replace(lower(h), '[^\\p{{L}}\\p{{N}}]+', '', 'g')), '|'))")
 
 
 @query("fingerprint")
@@ -1251,7 +1257,7 @@ def _():
 
 @query("masked_sample")
 def _(spark, d):
-    grid = statement_head(spark, d)
+    grid = statement_grid(spark, d)
     return R.masked_sample(grid, D.detect_headers(grid, lexicon()))
 
 
@@ -1262,7 +1268,7 @@ def _():
     mask = (f"CASE WHEN ({Q.cell_type('x')}) = 'number' AND contains(x, '.') THEN '999.99' "
             "ELSE regexp_replace(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', 'user@example.com', 'g') END")
     return c.sql(f"""SELECT g.file_id, g.row_idx, {joined(f'list_transform(g.cells, lambda x: {mask})')} AS cells
-      FROM t_sample g JOIN detected d ON g.file_id = d.file_id WHERE header_row_index >= 0 AND g.row_idx > header_row_index
+      FROM statement_grid g JOIN detected d ON g.file_id = d.file_id WHERE header_row_index >= 0 AND g.row_idx > header_row_index
       AND g.row_idx <= header_row_index + 10""")
 
 

@@ -143,9 +143,9 @@ def keyword_table(c: Ctes, lexicon: Lexicon) -> None:
     c.add("kw(k)", "VALUES " + values([(k,) for k in lexicon.keywords]))
 
 
-def typed(c: Ctes, grid: str) -> None:
-    """``t_sample``, ``t_cells``, ``t_rows``, ``t_file``."""
-    c.add("t_sample", f"SELECT file_id, row_idx, cells FROM {grid} WHERE row_idx < 200")
+def typed(c: Ctes, grid: str, sample: bool = True) -> None:
+    """``t_sample`` (all rows unless ``sample``), ``t_cells``, ``t_rows``, ``t_file``."""
+    c.add("t_sample", f"SELECT file_id, row_idx, cells FROM {grid}" + (" WHERE row_idx < 200" if sample else ""))
     c.add("t_cells", f"""
       SELECT *, {cell_type('value')} AS t, nullif(lower({trim('value')}), '') AS k FROM (
         SELECT file_id, row_idx, i - 1 AS col_idx, cells[i] AS value FROM
@@ -157,9 +157,9 @@ def typed(c: Ctes, grid: str) -> None:
     c.add("t_file", "SELECT file_id, greatest(max(filled), 1) AS width, max(row_idx) AS last_row FROM t_rows GROUP BY file_id")
 
 
-def structural(c: Ctes, grid: str) -> None:
+def structural(c: Ctes, grid: str, sample: bool = True) -> None:
     """``s_rows``: structural counts and score of every row."""
-    typed(c, grid)
+    typed(c, grid, sample)
     c.add("s_cells", """
       SELECT file_id, row_idx, col_idx, t, k, count(*) OVER (PARTITION BY file_id, row_idx, k) AS same,
         first_value(nullif(t, 'empty') IGNORE NULLS) OVER (PARTITION BY file_id, col_idx ORDER BY row_idx
@@ -252,11 +252,14 @@ def detected(c: Ctes, grid: str, lexicon: Lexicon) -> str:
 
 def contextual(c: Ctes, grid: str, scaling: bool = True) -> None:
     """``o_rows``: plain and pivot-aware points of every row."""
-    typed(c, grid)
+    typed(c, grid, sample=False)
     date = f"""CASE WHEN regexp_matches({trim('value')}, '^[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}$') THEN
         try_cast(replace({trim('value')}, '/', '-') AS DATE)
       WHEN regexp_matches({trim('value')}, '^[0-9]{{1,2}}[-/][0-9]{{1,2}}[-/][0-9]{{4}}$') THEN
-        try_cast(regexp_replace({trim('value')}, '^([0-9]+)[-/]([0-9]+)[-/]([0-9]+)$', '\\3-\\1-\\2') AS DATE) END"""
+        try_cast(regexp_replace({trim('value')}, '^([0-9]+)[-/]([0-9]+)[-/]([0-9]+)$', '\\3-\\1-\\2') AS DATE)
+      WHEN regexp_matches({trim('value')}, '^[0-9]{{1,2}}[-/][0-9]{{1,2}}[-/][0-9]{{2}}$') THEN
+        try_cast(CASE WHEN right({trim('value')}, 2) >= '50' THEN '19' ELSE '20' END ||
+          regexp_replace({trim('value')}, '^([0-9]+)[-/]([0-9]+)[-/]([0-9]+)$', '\\3-\\1-\\2') AS DATE) END"""
     c.add("o_values", f"""
       SELECT file_id, row_idx, col_idx, t, v, lag(v) OVER (PARTITION BY file_id, row_idx ORDER BY col_idx) AS before FROM (
         SELECT *, CASE WHEN t = 'number' THEN try_cast({trim('value')} AS DOUBLE)

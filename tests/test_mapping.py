@@ -21,11 +21,18 @@ def test_labels_map_to_themselves(header_rows, lexicon):
         assert all(r.sources == [lexicon.targets[r.target_pos].label] for r in got)
 
 
-def test_number_quirk(header_rows, lexicon):
-    headers = header_rows({t.target_id: [t.label] for t in lexicon.targets})
-    pairs = pair_rows(headers, score_sources(headers, lexicon), lexicon).where("file_id = target_id").collect()
-    below = {r.target_id for r in pairs if r.score < 1}
-    assert "transaction_count" in below
+def test_signature_words_are_replaced_once(lexicon):
+    from dataclasses import replace
+    odd = replace(lexicon, base_tokens={"id": ["number"], "number": ["count"]})
+    assert odd.signatures["transaction_count"] == ["transaction", "id"]
+    assert odd.signatures["supplier_id"] == ["supplier", "id"]
+
+
+def test_more_signatures_than_fit_a_small_number(spark):
+    rows = [("f", f"h{i}", i, k, 0.5) for i in range(3) for k in (0, 1, 1500, 3000)]
+    pairs = spark.createDataFrame(rows, "file_id string, source string, src_pos long, sig_pos int, score double")
+    got = sorted((r.src_pos, r.sig_pos, r["rank"]) for r in pair_ranks(pairs).collect())
+    assert [r for *_, r in got] == list(range(1, 13))
 
 
 def test_one_to_one_and_threshold(header_rows, lexicon):

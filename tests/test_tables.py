@@ -7,7 +7,7 @@ from tabloom.operators.common import dense_index
 from tabloom.operators.reshape import reshape
 from tabloom.plans.mapping import map_headers, map_with_fallback
 from tabloom.operators.detect import detect_headers, header_list
-from tabloom.sources.grids import drop_blank_rows, head_rows, number_rows, read_csv_grids
+from tabloom.sources.grids import drop_blank_rows, head_rows, read_alias_dictionary, read_csv_grids, read_errors
 from tabloom.sources.ledger import admit, new_files
 from tabloom.workload.queries import QUERIES, SQL
 
@@ -16,12 +16,39 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_csv_keeps_ragged_rows(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Title\n\na,b,c,d\n1,,\n,,,\n"x, y",2\n')
-    rows = number_rows(read_csv_grids(spark, str(tmp_path), 8)).orderBy("row_idx").collect()
+    rows = read_csv_grids(spark, str(tmp_path)).orderBy("row_idx").collect()
     assert [r.row_idx for r in rows] == list(range(5))
     assert [len(r.cells) for r in rows] == [1, 4, 3, 4, 2]
     assert rows[4].cells[0] == "x, y"
 
 
+def test_csv_delimiters_quotes_width_and_bad_files(spark, tmp_path):
+    def put(name, text):
+        (tmp_path / name).write_bytes(text.encode())
+    put("semi.csv", '\ufeffa;b;c\r\n1;"x;""y""\nz";3\r\n')
+    put("tab.csv", "p\tq,q\tr\n1\t2,2\t3\n")
+    put("pipe.csv", 'p|q\n5" pipe|"q"tail\n')
+    put("wide.csv", ",".join(f"c{i}" for i in range(700)) + "\n" + ",".join(f'"v,{i}"' for i in range(700)) + "\n")
+    put("open.csv", 'a,b\n1,"open\n2,3\n')
+    put("none.csv", "\n\n")
+    put("big.csv", "a,b\n" * 4000)
+    put("note.txt", "a,b\n")
+    got = {}
+    for r in read_csv_grids(spark, str(tmp_path), max_bytes=15_000).orderBy("row_idx").collect():
+        got.setdefault(r.file_id.rsplit("/", 1)[1], []).append(r.cells)
+    assert got.pop("wide.csv") == [[f"c{i}" for i in range(700)], [f"v,{i}" for i in range(700)]]
+    assert got == {"semi.csv": [["a", "b", "c"], ["1", 'x;"y"\nz', "3"]], "tab.csv": [["p", "q,q", "r"], ["1", "2,2", "3"]],
+                   "pipe.csv": [["p", "q"], ['5" pipe', "qtail"]]}
+    errors = {r.file_id.rsplit("/", 1)[1]: r.error for r in read_errors(spark, str(tmp_path), max_bytes=15_000).collect()}
+    assert set(errors) == {"open.csv", "none.csv", "big.csv", "note.txt"}
+
+
+def test_alias_dictionary_over_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n "supplier id": ["vendor no",\n  "code"],\n "country": []\n}')
+    rows = read_alias_dictionary(spark, str(tmp_path)).orderBy("key_pos", "alias_pos").collect()
+    assert [(r.target_key, r.alias) for r in rows] == [("supplier id", "vendor no"), ("supplier id", "code")]
+
+
 def test_numbering_equals_plain_window(spark):
     rows = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 37).alias("n"))
     got = dense_index(rows, ["g"], "n", "i", fan_out=8).collect()
