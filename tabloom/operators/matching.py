@@ -116,9 +116,11 @@ def grammar_bonus(source: Column, sig_pos: Column, lexicon: Lexicon) -> Column:
 
 
 def assign(headers: DataFrame, scored: DataFrame, lexicon: Lexicon, threshold: float = 0.5,
-           filled: DataFrame | None = None) -> DataFrame:
+           filled: DataFrame | None = None, flags: bool = False) -> DataFrame:
     """One-to-one mapping per file: 26 rows per file (file_id, target_pos, target_id, sources, confidence).
 
+    With ``flags`` there is one column more, ``ambiguous``: the source had a close rival target.
+
     Candidates are taken in one fixed order (clear sources by score; then each ambiguous source in the order of its
     best pair, by score with grammar bonus), skipping used sources and targets. At most 25 sources can be taken by other
     targets, so in that order only the first 26 sources of a target can ever win it: the rest are dropped before
@@ -148,20 +150,21 @@ def assign(headers: DataFrame, scored: DataFrame, lexicon: Lexicon, threshold: f
     place = F.row_number().over(W.partitionBy("file_id", "sig_pos").orderBy("key"))
     bounded = rows.withColumn("_place", place).where(F.col("_place") <= n)
 
-    item = "struct<sig_pos:int,source:string,score:double>"
+    item = "struct<sig_pos:int,source:string,score:double,ambiguous:boolean>"
     ordered = F.array_sort(F.collect_list(F.when(F.col("sig_pos").isNotNull(), F.struct("key", "source", "final"))))
 
     def take(taken: Column, x: Column) -> Column:
         used = F.exists(taken, lambda t: (t["sig_pos"] == x["key"]["sig_pos"]) | (t["source"] == x["source"]))
-        pick = F.struct(x["key"]["sig_pos"].alias("sig_pos"), x["source"].alias("source"), x["final"].alias("score"))
+        pick = F.struct(x["key"]["sig_pos"].alias("sig_pos"), x["source"].alias("source"), x["final"].alias("score"),
+                        x["key"]["late"].alias("ambiguous"))
         return F.when(used, taken).otherwise(F.concat(taken, F.array(pick)))
 
     folded = F.aggregate(ordered, F.array().cast(f"array<{item}>"), take)
     files = bounded.groupBy("file_id").agg(folded.alias("taken"))
-    return complete(files, lexicon)
+    return complete(files, lexicon, flags)
 
 
-def complete(files: DataFrame, lexicon: Lexicon) -> DataFrame:
+def complete(files: DataFrame, lexicon: Lexicon, flags: bool = False) -> DataFrame:
     """All targets for every file, with empty sources and 0 where nothing was taken; ``taken`` is an array."""
     position = {t: i for i, t in enumerate(lexicon.signatures)}
     slots = F.expr("array(" + ", ".join(
@@ -172,7 +175,8 @@ def complete(files: DataFrame, lexicon: Lexicon) -> DataFrame:
     return rows.withColumn("hit", hit).select(
         "file_id", "slot.target_pos", "slot.target_id",
         F.transform("hit", lambda t: t["source"]).alias("sources"),
-        F.coalesce(F.get("hit", F.lit(0))["score"], F.lit(0.0)).alias("confidence"))
+        F.coalesce(F.get("hit", F.lit(0))["score"], F.lit(0.0)).alias("confidence"),
+        *([F.coalesce(F.get("hit", F.lit(0))["ambiguous"], F.lit(False)).alias("ambiguous")] if flags else []))
 
 
 def match_log(mapping: DataFrame, scored: DataFrame, lexicon: Lexicon) -> DataFrame:

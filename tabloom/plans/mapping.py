@@ -35,38 +35,51 @@ def score_with(matcher: str, headers: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def map_with_fallback(headers: DataFrame, lexicon: Lexicon, matchers: Sequence[str] = ("standard", "deep", "alias"),
-                      threshold: float = 0.5) -> DataFrame:
-    """Run matchers in turn; each later one sees only files that still miss a mandatory target, only their headers not
-    yet placed, and only their free targets. Adds ``matcher`` to the mapping.
+                      threshold: float = 0.5, sure: float = 0.0, ambiguous: bool = False) -> DataFrame:
+    """Run matchers in turn; adds ``matcher`` to the mapping.
 
-    Every stage is written once, because the next stage and the result both read it.
+    A file goes on to the next matcher when a mandatory target is empty, when a pair is less than ``sure``, or, with
+    ``ambiguous``, when a pair's header had a close rival target. Pairs that are sure stay: the next matcher sees only
+    the other headers and targets. A pair that is not sure comes back where that matcher places neither its target nor
+    its header. Every stage is written once, because the next stage and the result both read it.
     """
     required = [t.target_id for t in lexicon.targets if t.required]
-    result = None
-    todo, filled = headers, None
+    result, todo, filled = None, headers, None
     for step, matcher in enumerate(matchers):
-        got = assign(todo, score_with(matcher, todo, lexicon), lexicon, threshold, filled).withColumn(
+        got = assign(todo, score_with(matcher, todo, lexicon), lexicon, threshold, filled, flags=True).withColumn(
             "matcher", F.when(F.size("sources") > 0, F.lit(matcher)))
         if result is not None:
-            later = got.select("file_id", "target_id", F.col("sources").alias("_s"), F.col("confidence").alias("_c"),
-                               F.col("matcher").alias("_m"))
-            empty = F.size("sources") == 0
-            got = result.join(later, ["file_id", "target_id"], "left").select(
-                "file_id", "target_pos", "target_id",
-                F.when(empty, F.coalesce("_s", "sources")).otherwise(F.col("sources")).alias("sources"),
-                F.when(empty, F.coalesce("_c", "confidence")).otherwise(F.col("confidence")).alias("confidence"),
-                F.when(empty, F.col("_m")).otherwise(F.col("matcher")).alias("matcher"))
+            got = _combined(result, stored(got, "fallback"), sure, ambiguous)
         if step == len(matchers) - 1:
-            return got
+            return got.drop("ambiguous")
         result = stored(got, "mapping")
+        settled = _settled(sure, ambiguous)
         open_files = result.groupBy("file_id").agg(
-            F.collect_list(F.when(F.size("sources") > 0, F.col("target_id"))).alias("filled"),
-            F.count_if(F.col("target_id").isin(required) & (F.size("sources") == 0)).alias("missing"))
-        open_files = open_files.where("missing > 0").select("file_id", "filled")
-        loose = headers.join(held_sources(result).select("file_id", "source"), ["file_id", "source"], "left_anti")
-        todo = salted_lookup(loose, open_files.select("file_id"), "file_id", F.col("source"), "inner")
-        filled = open_files
-    return result
+            F.collect_list(F.when(settled, F.col("target_id"))).alias("filled"),
+            F.count_if((F.col("target_id").isin(required) & (F.size("sources") == 0))
+                       | ((F.size("sources") > 0) & ~settled)).alias("wanting"))
+        filled = open_files.where("wanting > 0").select("file_id", "filled")
+        loose = headers.join(held_sources(result.where(settled)).select("file_id", "source"), ["file_id", "source"], "left_anti")
+        todo = salted_lookup(loose, filled.select("file_id"), "file_id", F.col("source"), "inner")
+
+
+def _settled(sure: float, ambiguous: bool):
+    fine = (F.size("sources") > 0) & (F.col("confidence") >= sure)
+    return fine & ~F.col("ambiguous") if ambiguous else fine
+
+
+def _combined(result: DataFrame, later: DataFrame, sure: float, ambiguous: bool) -> DataFrame:
+    names = ["sources", "confidence", "ambiguous", "matcher"]
+    placed = later.groupBy("file_id").agg(F.flatten(F.collect_list("sources")).alias("_placed"))  # 26 at most
+    new = later.select("file_id", "target_id", *[F.col(n).alias(f"_{n}") for n in names])
+    both = result.join(new, ["file_id", "target_id"], "left").join(placed, "file_id", "left")
+    again = F.coalesce(F.arrays_overlap("sources", "_placed"), F.lit(False))
+    pick = F.when(_settled(sure, ambiguous), "old").when(F.coalesce(F.size("_sources") > 0, F.lit(False)), "new").when(again, "none").otherwise("old")
+    nothing = {"sources": F.array().cast("array<string>"), "confidence": F.lit(0.0), "ambiguous": F.lit(False),
+               "matcher": F.lit(None).cast("string")}
+    return both.withColumn("_pick", pick).select("file_id", "target_pos", "target_id", *[
+        F.when(F.col("_pick") == "old", F.col(n)).when(F.col("_pick") == "new", F.col(f"_{n}")).otherwise(nothing[n]).alias(n)
+        for n in names])
 
 
 # --- reuse of confirmed mappings ---

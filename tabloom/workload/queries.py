@@ -1019,8 +1019,8 @@ def _(spark, d):
 
 @oracle("report_rows")
 def _():
-    return mapping_ctes().sql("""SELECT file_id, source, target_id, round(confidence, 6) AS score, 'mapped' AS status FROM mapping
-      WHERE source IS NOT NULL UNION ALL SELECT h.file_id, h.source, NULL, NULL, 'unmapped' FROM line_headers h
+    return mapping_ctes().sql("""SELECT file_id, source, target_id, round(confidence, 6) AS score, printf('%.1f%%', confidence * 100) AS percent,
+      'mapped' AS status FROM mapping WHERE source IS NOT NULL UNION ALL SELECT h.file_id, h.source, NULL, NULL, NULL, 'unmapped' FROM line_headers h
       WHERE NOT EXISTS (SELECT 1 FROM mapping m WHERE m.file_id = h.file_id AND m.source = h.source)""")
 
 
@@ -1115,9 +1115,32 @@ def _():
     return c.sql("SELECT file_id, source, count(*) AS occurrences FROM line_headers GROUP BY ALL HAVING count(*) > 1")
 
 
+SURE = 0.75
+
+
 @query("map_fallback")
 def _(spark, d):
-    return P.map_with_fallback(I.line_headers(spark, d), lexicon(), threshold=THRESHOLD)
+    return P.map_with_fallback(I.line_headers(spark, d), lexicon(), ("standard", "deep"), THRESHOLD, SURE, ambiguous=True)
+
+
+@oracle("map_fallback")
+def _():
+    c = mapping_ctes()
+    c.add("first_pass", f"""SELECT m.*, m.source IS NOT NULL AND m.confidence >= {SURE} AND NOT coalesce(a.ambiguous, false) AS settled
+      FROM mapping m LEFT JOIN (SELECT DISTINCT file_id, source, ambiguous FROM ambig) a ON a.file_id = m.file_id AND a.source = m.source""")
+    c.add("open_files", """SELECT f.file_id FROM first_pass f JOIN target t ON t.target_id = f.target_id GROUP BY f.file_id
+      HAVING count(*) FILTER ((t.required = 1 AND source IS NULL) OR (source IS NOT NULL AND NOT settled)) > 0""")
+    c.add("todo", """SELECT h.* FROM line_headers h WHERE file_id IN (SELECT file_id FROM open_files) AND NOT EXISTS
+      (SELECT 1 FROM first_pass f WHERE f.settled AND f.file_id = h.file_id AND f.source = h.source)""")
+    free = "WHERE NOT EXISTS (SELECT 1 FROM first_pass p WHERE p.settled AND p.file_id = f.file_id AND p.target_id = t.target_id)"
+    c.append_renamed(Q.mapping_parts("todo", lexicon(), "deep", THRESHOLD, free), "_b")
+    back = "f.source IS NOT NULL AND NOT EXISTS (SELECT 1 FROM mapping_b x WHERE x.file_id = f.file_id AND x.source_b_ = f.source)"
+    final = c.sql(f"""SELECT f.file_id, f.target_pos, f.target_id,
+      coalesce(CASE WHEN settled THEN f.source WHEN b.source IS NOT NULL THEN b.source WHEN {back} THEN f.source END, '') AS sources,
+      round(CASE WHEN settled THEN f.confidence WHEN b.source IS NOT NULL THEN b.confidence WHEN {back} THEN f.confidence ELSE 0 END, 6) AS confidence,
+      CASE WHEN settled THEN 'standard' WHEN b.source IS NOT NULL THEN 'deep' WHEN {back} THEN 'standard' END AS matcher
+      FROM first_pass f LEFT JOIN mapping_b b ON b.file_id = f.file_id AND b.target_id = f.target_id""")
+    return final.replace("source_b_", "source")
 
 
 # --- ledger ---

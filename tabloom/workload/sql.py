@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.cells import DATE_PATTERN, NUMBER_PATTERN, WHITE_SPACE
 from ..functions.text import FUZZY_BAR, MIN_SLICE, TOKEN_GAP, VOCABULARY_GAP
 from ..lexicon import UNKNOWN_WEIGHT, Lexicon
@@ -37,6 +39,13 @@ class Ctes:
             self.parts.append(f"{name} AS {kept}({body})")
         return self
 
+    def append_renamed(self, other: "Ctes", ending: str) -> None:
+        """Another set of subqueries, all their names with an ending so that both can stand together."""
+        names = re.compile(r"\b(" + "|".join(sorted(map(re.escape, other.names), key=len, reverse=True)) + r")\b")
+        for part in other.parts:
+            pieces = part.split("'")  # every second piece is a literal
+            self.parts.append("'".join(names.sub(rf"\1{ending}", x) if k % 2 == 0 else x for k, x in enumerate(pieces)))
+
     def sql(self, final: str) -> str:
         return "WITH RECURSIVE " + ",\n".join(self.parts) + "\n" + final
 
@@ -449,6 +458,14 @@ def pairs(c: Ctes, headers: str) -> None:
       FROM fs f JOIN scores s ON s.source = f.source JOIN target t ON t.sig_pos = s.sig_pos""")
 
 
+def mapping_parts(headers: str, lexicon: Lexicon, mode: str, threshold: float, condition: str) -> Ctes:
+    """The subqueries of ``mapping`` alone, with a further condition on the pairs (f: file's source, t: target)."""
+    c = Ctes()
+    mapping(c, headers, lexicon, mode, threshold)
+    c.parts = [p + "" if not p.startswith("pairs AS") else p[:-1] + " " + condition + ")" for p in c.parts]
+    return c
+
+
 def mapping(c: Ctes, headers: str, lexicon: Lexicon, mode: str, threshold: float) -> str:
     """``mapping``: 26 rows per file (file_id, target_pos, target_id, source or NULL, confidence)."""
     (deep_tokens if mode == "deep" else standard_tokens)(c, headers, lexicon)
