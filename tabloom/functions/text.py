@@ -187,23 +187,28 @@ def token_outcome(token: Column, signature: Column) -> Column:
                 "noise", F.lit(0.0), F.lit(None).cast("string"), F.lit(0.0), token["weight"]))))
 
 
-def signature_scores(tokens: Column, lexicon: Lexicon) -> Column:
-    """Weighted overlap of weighted tokens with every signature: array of (sig_pos, score), score > 0 only.
+def token_fares(token: Column, lexicon: Lexicon) -> Column:
+    """What a token adds against each signature: array of (matched, added) in signature order."""
+    one = F.get(weighted(F.array(token), lexicon), F.lit(0))
+    return bind(one, lambda t: F.transform(signature_literal(lexicon), lambda signature: bind(token_outcome(t, signature), lambda o: F.struct(
+        o["matched"].alias("matched"), o["added"].alias("added")))))
+
+
+def summed_scores(listed: Column, lexicon: Lexicon) -> Column:
+    """Weighted overlap with every signature from a list of (pos, fares): array of (sig_pos, score), score > 0 only.
 
     Sums run in token order, so results do not depend on partitioning.
     """
-    zero = F.struct(F.lit(0.0).alias("matched"), F.lit(0.0).alias("added"))
+    zero = F.expr(f"array_repeat(named_struct('matched', 0.0D, 'added', 0.0D), {len(lexicon.signatures)})")
+    sums = F.aggregate(listed, zero, lambda s, x: F.zip_with(s, x["fares"], lambda a, b: F.struct(
+        (a["matched"] + b["matched"]).alias("matched"), (a["added"] + b["added"]).alias("added"))))
 
-    def score(row: Column, signature: Column) -> Column:
-        sums = F.aggregate(row, zero, lambda s, t: bind(token_outcome(t, signature), lambda o: F.struct(
-            (s["matched"] + o["matched"]).alias("matched"), (s["added"] + o["added"]).alias("added"))))
-        value = bind(sums, lambda s: bind(signature["total"] + s["added"] - s["matched"], lambda d: F.when(
-            d <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), s["matched"] / d))))
+    def score(s: Column, signature: Column) -> Column:
+        value = bind(signature["total"] + s["added"] - s["matched"], lambda d: F.when(d <= 0, F.lit(0.0)).otherwise(
+            F.least(F.lit(1.0), s["matched"] / d)))
         return F.struct(signature["sig_pos"].alias("sig_pos"), value.alias("score"))
 
-    # Bound once per header, not once per signature.
-    return bind(tokens, lambda row: F.filter(
-        F.transform(signature_literal(lexicon), lambda signature: score(row, signature)), lambda p: p["score"] > 0))
+    return F.filter(F.zip_with(sums, signature_literal(lexicon), score), lambda p: p["score"] > 0)
 
 
 # --- the lexical matcher's normal forms ---

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import scratch_dir
 
-SALTS = 8
-
-
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """The frame as a written table in the shared folder: computed once, and safe when executors are lost."""
     path = scratch_dir(frame.sparkSession, name)
@@ -17,12 +14,19 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 
 
 def salted_lookup(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "left",
-                  salts: int = SALTS) -> DataFrame:
+                  salts: int | None = None) -> DataFrame:
     """Join ``big`` to ``small`` (one row per key) so that a hot key is spread over ``salts`` tasks.
 
+    Unless given, that is half the square root of the shuffle partitions: the share of a hot key's rows in one task falls
+    as the cluster grows, and ``small`` is repeated far fewer times than there are tasks.
+
     ``small`` has one row per key and is repeated once per salt. No broadcast is forced: Spark broadcasts ``small`` by itself when it measures it below
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
     """
+    if salts is None:
+        salts = max(1, round(int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5 / 2))
+    if salts == 1:
+        return big.join(small, key, how)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "_salt"], how).drop("_salt")

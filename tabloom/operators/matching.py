@@ -53,7 +53,14 @@ def tokenise(sources: DataFrame, lexicon: Lexicon, mode: str = "standard") -> Da
 def score_sources(sources: DataFrame, lexicon: Lexicon, mode: str = "standard") -> DataFrame:
     """(source, tokens, lemmas, kept, candidates): candidates are the (sig_pos, score) pairs above 0."""
     tokens = tokenise(sources.select("source").distinct(), lexicon, mode)
-    return computed_here(tokens, "candidates", X.signature_scores(X.weighted(F.col("kept"), lexicon), lexicon))
+    # How a token fares against the signatures is worked out once per distinct token, headers then only add up.
+    names = ["tokens", "lemmas", "kept"]
+    placed = tokens.select("source", *names, F.posexplode_outer("kept").alias("pos", "token"))
+    fares = computed_here(placed.select("token").where("token IS NOT NULL").distinct(), "fares", X.token_fares(F.col("token"), lexicon))
+    found = salted_lookup(placed, fares, "token", spread=F.col("source"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("fares").isNotNull(), F.struct("pos", "fares"))))
+    rows = found.groupBy("source").agg(*[F.first(n).alias(n) for n in names], listed.alias("_f"))
+    return computed_here(rows, "candidates", X.summed_scores(F.col("_f"), lexicon)).drop("_f")
 
 
 def file_sources(headers: DataFrame) -> DataFrame:
