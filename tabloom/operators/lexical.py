@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as X
-from .common import computed_here
+from .common import computed_here, stored
 
 
 def alias_keys(aliases: DataFrame) -> DataFrame:
@@ -32,38 +32,34 @@ def trigram_matches(sources: DataFrame, aliases: DataFrame) -> DataFrame:
     ``distinct`` on, so both groupings run without another shuffle.
     """
     named = alias_keys(aliases).withColumn("grams", X.trigrams(F.col("cleansed")))
-    postings = named.select("key_pos", "alias_pos", "target_id", "alias", F.size("grams").alias("alias_grams"),
-                            F.explode("grams").alias("gram"))
+    postings = named.select("key_pos", "alias_pos", F.size("grams").alias("alias_grams"), F.explode("grams").alias("gram"))
     distinct = computed_here(sources.select("source").distinct(), "grams", X.trigrams(X.cleanse(F.col("source"))))
     grams = distinct.select("source", F.size("grams").alias("source_grams"), F.explode("grams").alias("gram"))
-    shared = grams.join(postings, "gram").groupBy("source", "key_pos", "alias_pos").agg(
-        F.count(F.lit(1)).alias("shared"), F.first("source_grams").alias("source_grams"),
-        F.first("alias_grams").alias("alias_grams"), F.first("target_id").alias("target_id"),
-        F.first("alias").alias("alias"))
+    # Only numbers are aggregated; the names of the best alias come in last.
+    shared = grams.join(postings, "gram").groupBy("source", "key_pos", "alias_pos", "source_grams", "alias_grams").agg(
+        F.count(F.lit(1)).alias("shared"))
     scored = shared.withColumn("similarity", F.col("shared") / (F.col("source_grams") + F.col("alias_grams") - F.col("shared")))
-    best = F.max_by(F.struct("target_id", "alias", "similarity"),
-                    F.struct("similarity", -F.col("key_pos"), -F.col("alias_pos")))
-    return scored.groupBy("source").agg(best.alias("b")).select("source", "b.*")
+    best = F.max(F.struct("similarity", (-F.col("key_pos")).alias("k"), (-F.col("alias_pos")).alias("a"))).alias("b")
+    picked = scored.groupBy("source").agg(best).select(
+        "source", "b.similarity", (-F.col("b.k")).alias("key_pos"), (-F.col("b.a")).alias("alias_pos"))
+    return picked.join(named.select("key_pos", "alias_pos", "target_id", "alias"), ["key_pos", "alias_pos"]).select(
+        "source", "target_id", "alias", "similarity")
 
 
 def bm25_documents(aliases: DataFrame, per_alias: bool = False) -> DataFrame:
-    """(doc_id, target_id, tokens): one document per target, or one per alias."""
-    named = alias_keys(aliases)
-    if per_alias:
-        return named.select(F.concat_ws("#", "target_id", "alias_pos").alias("doc_id"), "target_id",
-                            X.search_tokens(F.col("alias")).alias("tokens"))
-    parts = named.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("alias_pos", "alias"))).alias("p"))
-    return parts.select(F.col("target_id").alias("doc_id"), "target_id",
-                        F.flatten(F.transform("p", lambda a: X.search_tokens(a["alias"]))).alias("tokens"))
+    """(doc_id, target_id, tokens), a row per alias: the aliases of a target are one document, or each is one."""
+    doc = F.concat_ws("#", "target_id", "alias_pos") if per_alias else F.col("target_id")
+    return alias_keys(aliases).select(doc.alias("doc_id"), "target_id", X.search_tokens(F.col("alias")).alias("tokens"))
 
 
 def bm25_index(documents: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Postings (token, doc_id, target_id, weight) with the published Okapi weight of a token in a document."""
-    lengths = documents.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
-    terms = documents.select("doc_id", "target_id", F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
-    tf = terms.groupBy("token", "doc_id", "target_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    lengths = documents.groupBy("doc_id").agg(F.sum(F.size("tokens")).alias("len"))
+    totals = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    terms = documents.select("doc_id", "target_id", F.explode("tokens").alias("token"))
+    tf = terms.groupBy("token", "doc_id", "target_id").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rows = tf.join(df, "token").join(F.broadcast(lengths))  # one row of totals
+    rows = tf.join(lengths, "doc_id").join(df, "token").join(F.broadcast(totals))  # one row of totals
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
     return rows.select("token", "doc_id", "target_id", (idf * F.col("tf") * (k1 + 1) / norm).alias("weight"))
@@ -83,14 +79,14 @@ def bm25_search(sources: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
 
 def alias_match(sources: DataFrame, aliases: DataFrame, min_similarity: float = 0.5, k1: float = 1.2,
                 b: float = 0.75) -> DataFrame:
-    """Two passes over distinct headers: (source, target_id, method, score, bm25_target_id, bm25_score).
+    """Two passes over distinct headers, which are written once for all branches: (source, target_id, method, score, bm25_target_id, bm25_score).
 
     Exact hits score 1. The rest take the best trigram alias when it reaches ``min_similarity`` (else no target), with the
     best ranked-search document beside it.
     """
-    distinct = sources.select("source").distinct()
-    exact = exact_matches(distinct, aliases)
-    rest = distinct.join(exact, "source", "left_anti")
+    distinct = stored(sources.select("source").distinct(), "headers")
+    exact = stored(exact_matches(distinct, aliases), "exact")
+    rest = stored(distinct.join(exact.select("source"), "source", "left_anti"), "rest")
     grams = trigram_matches(rest, aliases)
     ranked = bm25_search(rest, bm25_index(bm25_documents(aliases), k1, b), 1)
     lexical = (rest.join(grams, "source", "left")

@@ -36,8 +36,10 @@ def first_arrivals(ledger: DataFrame, watermark: str | None = None, time_column:
 def _table(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None  # nothing written yet
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise  # a broken table is not an empty one
+        return None
 
 
 def handle_batch(grid: DataFrame, batch_id: int, out: str, lexicon: Lexicon, threshold: float = APP_THRESHOLD,
@@ -45,13 +47,15 @@ def handle_batch(grid: DataFrame, batch_id: int, out: str, lexicon: Lexicon, thr
     """Detect, map and reshape one micro-batch; write detections, mappings and tagged rows.
 
     Each table gets its own folder per batch, overwritten when a batch is replayed. Files whose name already has a
-    detection from another batch are skipped. A file without headers ends with an ``error`` text, not an exception, and
+    detection from another batch are skipped; how many of their rows came late is written to ``late``. A file without headers ends with an ``error`` text, not an exception, and
     does not hold up the others.
     """
     spark = grid.sparkSession
     known = _table(spark, f"{out}/detected")
     if known is not None:
         seen = known.where(F.col("batch_id") != batch_id).select("file_id").distinct()
+        late = salted_lookup(grid, seen, "file_id", F.col("row_idx"), "left_semi").groupBy("file_id").agg(F.count("*").alias("rows"))
+        late.write.mode("overwrite").parquet(f"{out}/late/batch_id={batch_id}")
         grid = salted_lookup(grid, seen, "file_id", F.col("row_idx"), "left_anti")
     detected = detect_headers(grid, lexicon).withColumn(
         "error", F.when(F.col("header_row_index") < 0, F.lit("no header row found")))
