@@ -974,7 +974,7 @@ def _():
     return mapping_ctes().sql("""SELECT m.file_id, m.target_pos + 1 AS position, m.target_id, t.label, t.required = 1 AS required,
       coalesce(m.source, '') AS sources, round(m.confidence, 6) AS confidence,
       CASE WHEN m.source IS NULL THEN 'Unmapped' WHEN m.confidence >= 0.99 THEN 'Exact Match'
-        WHEN m.confidence >= 0.4 THEN 'Lexical (' || printf('%.0f%%', m.confidence * 100) || ')' ELSE 'High' END AS badge,
+        WHEN m.confidence >= 0.4 THEN 'Lexical (' || floor(m.confidence * 100 + 0.5)::BIGINT || '%)' ELSE 'High' END AS badge,
       CASE WHEN m.confidence > 0.9 THEN 'high' WHEN m.confidence >= 0.7 THEN 'medium' ELSE 'unmapped' END AS tier
       FROM mapping m JOIN target t ON t.target_id = m.target_id""")
 
@@ -1019,7 +1019,7 @@ def _(spark, d):
 
 @oracle("report_rows")
 def _():
-    return mapping_ctes().sql("""SELECT file_id, source, target_id, round(confidence, 6) AS score, printf('%.1f%%', confidence * 100) AS percent,
+    return mapping_ctes().sql("""SELECT file_id, source, target_id, round(confidence, 6) AS score, (floor(confidence * 1000 + 0.5)::BIGINT // 10) || '.' || (floor(confidence * 1000 + 0.5)::BIGINT % 10) || '%' AS percent,
       'mapped' AS status FROM mapping WHERE source IS NOT NULL UNION ALL SELECT h.file_id, h.source, NULL, NULL, NULL, 'unmapped' FROM line_headers h
       WHERE NOT EXISTS (SELECT 1 FROM mapping m WHERE m.file_id = h.file_id AND m.source = h.source)""")
 
