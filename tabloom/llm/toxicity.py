@@ -157,23 +157,38 @@ def _landmarks(found: list[tuple[str, str]], clean: list[str], most: int) -> lis
     return [w for w in dict.fromkeys(telling + plain)]
 
 
-def _machine(z: np.ndarray, y: np.ndarray, cost: float = 10.0) -> np.ndarray:
+def _machine(positive: np.ndarray, negative: np.ndarray, cost: float = 1000.0) -> np.ndarray:
     """Squared-hinge support vector machine by Newton's method; the last weight is the bias. Classes weigh the same."""
-    z = np.hstack([z, np.ones((len(z), 1))])
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * cost * 100
-    w = np.zeros(z.shape[1])
-    ridge = np.eye(len(w))
-    ridge[-1, -1] = 1e-6
+    width = positive.shape[1]
+    w = np.zeros(width + 1)
     for _ in range(40):
-        active = y * (z @ w) < 1
-        a = z[active] * share[active, None]
-        new = np.linalg.solve(ridge + z[active].T @ a, a.T @ y[active])
+        left, right = np.eye(width + 1), np.zeros(width + 1)
+        left[-1, -1] = 1e-6
+        for z, y in ((positive, 1.0), (negative, -1.0)):
+            near = z[y * (z @ w[:-1] + w[-1]) < 1].astype(np.float64)
+            near = np.hstack([near, np.ones((len(near), 1))])
+            share = 0.5 * cost / max(len(z), 1)
+            left += share * near.T @ near
+            right += share * y * near.sum(0)
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-8:
             break
         w = new
     return w
 
 
+def _pieces(strings: list[np.ndarray], most: int = 300_000) -> Iterator[list[np.ndarray]]:
+    part, size = [], 0
+    for x in strings:
+        part.append(x)
+        size += len(x)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def train(rows: list[tuple[int, str]]) -> Model:
     """A model from (label, text) rows."""
     toxic, clean = [t for y, t in rows if y == 1], [t for y, t in rows if y == 0]
@@ -200,7 +215,7 @@ def train(rows: list[tuple[int, str]]) -> Model:
     row_of[index] = np.arange(len(index))
 
     def features(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(ends), to_feature.shape[1]))
+        out = np.zeros((len(ends), to_feature.shape[1]), np.float32)
         for d, triple, weight in triples(x):
             for back in range(WINDOW):
                 at = ends - back - d
@@ -211,21 +226,23 @@ def train(rows: list[tuple[int, str]]) -> Model:
 
     # Positive windows end where a witness does; negative ones are spread over the clean texts at first.
     px, p_at = laid_out([symbols(s) for s, _ in found])
-    nx, n_at = laid_out([symbols(t) for t in fit[1]])
     ends = []
     for (s, w), at in zip(found, p_at, strict=True):
         x, y = symbols(s), symbols(w)[1:-1]
         grid = np.lib.stride_tricks.sliding_window_view(x, len(y)) if 0 < len(y) <= len(x) else np.empty((0, 1))
         ends += [at + i + len(y) for i in np.flatnonzero((grid == y).all(1))[:1]]
     positive = features(px, np.array(ends, np.int64))
-    negative = features(nx, np.random.default_rng(5).integers(0, len(nx), 6000))
+    parts = [laid_out(p) for p in _pieces([symbols(t) for t in fit[1]])]  # so that memory does not follow the sample
+    rng = np.random.default_rng(5)
+    negative = [features(x, rng.integers(0, len(x), 2 * len(at))) for x, at in parts]
     for _ in range(TURNS):
-        weights = _machine(np.vstack([positive, negative]), np.repeat([1.0, -1.0], [len(positive), len(negative)]))
+        weights = _machine(positive, np.vstack(negative))
         table = np.zeros(1 << (3 * _BITS), np.float32)
         table[index] = to_feature @ weights[:-1]
-        worst = window_values(nx, table)  # the windows of each clean text that look worst come in next time
-        hard = np.concatenate([a + np.argsort(worst[a:b])[-2:] for a, b in zip(n_at, [*n_at[1:], len(nx)], strict=True)])
-        negative = np.vstack([negative, features(nx, hard)])
+        for x, at in parts:  # the windows of each clean text that look worst come in next time
+            worst = window_values(x, table)
+            hard = [a + np.argpartition(worst[a:b], -2)[-2:] for a, b in zip(at, [*at[1:], len(x)], strict=True)]
+            negative.append(features(x, np.concatenate(hard)))
     held = [[t for k, t in enumerate(side) if not k % 4] for side in (toxic, clean)]
     m = np.concatenate([margins(side, table) for side in held])
     slope, offset = _calibrated(m, np.repeat([1.0, 0.0], [len(s) for s in held]))
