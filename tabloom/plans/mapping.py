@@ -13,14 +13,19 @@ from ..operators.detect import detect_headers, header_list
 from ..operators.lexical import alias_match
 from ..operators.matching import assign, score_sources
 from ..operators.reshape import reshape
-from ..operators.review import held_sources
+from ..operators.review import complete_mapping, held_sources
 
 APP_THRESHOLD = 0.4
 
 
-def map_headers(headers: DataFrame, lexicon: Lexicon, threshold: float = 0.5, mode: str = "standard") -> DataFrame:
-    """Map (file_id, src_pos, source) to the targets; ``mode`` is ``standard`` or ``deep``."""
-    return assign(headers, score_sources(headers, lexicon, mode), lexicon, threshold)
+def map_headers(headers: DataFrame, lexicon: Lexicon, threshold: float = 0.5, mode: str = "standard",
+                files: DataFrame | None = None) -> DataFrame:
+    """Map (file_id, src_pos, source) to the targets; ``mode`` is ``standard`` or ``deep``.
+
+    Files without any name have no rows in ``headers``; with ``files`` (file_id) they get all targets too, empty.
+    """
+    mapping = assign(headers, score_sources(headers, lexicon, mode), lexicon, threshold)
+    return mapping if files is None else complete_mapping(mapping, files, lexicon)
 
 
 def score_with(matcher: str, headers: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import contextual as O
 from ..operators import reshape as R
-from ..operators import review as V
 from ..plans import mapping as P
 from ..session import scratch_dir
 from ..sources import grids as G
@@ -262,7 +261,7 @@ def _():
 def _(spark, d):
     files = I.table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("file_id"))
     some = I.line_headers(spark, d).where("src_pos % 3 = 0")
-    return V.complete_mapping(P.map_headers(some, lexicon(), 0.4), files, lexicon()).groupBy("file_id").agg(
+    return P.map_headers(some, lexicon(), 0.4, files=files).groupBy("file_id").agg(
         F.count("*").alias("n_targets"), F.count_if(F.size("sources") > 0).alias("n_mapped"))
 
 
