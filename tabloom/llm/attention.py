@@ -1,10 +1,10 @@
 """A small causal self-attention model over subword ids, in numpy.
 
 One layer: an id's embedding and its place in the context window give query, key and value; what a place attends to is
-added to its embedding, and a linear map gives scores for CLASSES classes of the next id. The probability of an id is
-that of its class times its share of the class, taken from the counts of all training texts. Each of the most frequent
-ids is a class of its own, the others fall into classes of about equal frequency, so every id has a probability and
-they sum to one.
+added to its embedding. From that a first softmax gives the group of the next id, a second one, of that group, its class
+there. The probability of an id is that of its class times its share of the class, taken from the counts of all training
+texts. Each of the most frequent ids is a class of its own, the others fall into classes of about equal frequency, so
+every id has a probability and they sum to one.
 
 A text is read as END, its ids, END. Windows of CONTEXT places start every STRIDE places; each predicts what follows
 its places, but only those that no earlier window predicted count, so each id is scored once, with at least
@@ -18,22 +18,21 @@ from dataclasses import dataclass, field
 import numpy as np
 
 VOCABULARY, END = 50_257, 50_256
-CONTEXT, STRIDE, WIDTH, CLASSES, SINGLE = 32, 26, 32, 256, 224
+CONTEXT, STRIDE, WIDTH, GROUPS, IN_GROUP, SINGLE = 32, 26, 32, 32, 32, 960
 BATCH, STEPS, RATE = 256, 800, 5e-3
 SMOOTHING = 0.5
-_LN10 = np.log(10)
 
 
 def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class of every id, and log10 of every id's share of its class."""
-    single, total = SINGLE, CLASSES
+    total = GROUPS * IN_GROUP
     smooth = counts + SMOOTHING
     order = np.argsort(-smooth, kind="stable")
     group = np.empty(len(counts), np.int64)
-    group[order[:single]] = np.arange(single)
-    rest = order[single:]
+    group[order[:SINGLE]] = np.arange(SINGLE)
+    rest = order[SINGLE:]
     mass = np.cumsum(smooth[rest])
-    group[rest] = single + np.minimum((mass / mass[-1] * (total - single)).astype(int), total - single - 1)
+    group[rest] = SINGLE + np.minimum((mass / mass[-1] * (total - SINGLE)).astype(int), total - SINGLE - 1)
     return group, np.log10(smooth / np.bincount(group, smooth, minlength=total)[group])
 
 
@@ -53,20 +52,32 @@ class Model:
     place: np.ndarray
     qkv: np.ndarray
     out: np.ndarray
+    top: np.ndarray
+    top_bias: np.ndarray
     read: np.ndarray
     bias: np.ndarray
     group: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     share: np.ndarray = field(default_factory=lambda: np.empty(0))
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.embed, self.place, self.qkv, self.out, self.read, self.bias]
+        return [self.embed, self.place, self.qkv, self.out, self.top, self.top_bias, self.read, self.bias]
 
 
 def fresh(seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     f = lambda *s, scale=0.1: (rng.standard_normal(s) * scale).astype(np.float32)
     d = WIDTH
-    return Model(f(VOCABULARY, d), f(CONTEXT, d), f(d, 3 * d, scale=d ** -0.5), f(d, d, scale=d ** -0.5), f(d, CLASSES), np.zeros(CLASSES, np.float32))
+    return Model(f(VOCABULARY, d), f(CONTEXT, d), f(d, 3 * d, scale=d ** -0.5), f(d, d, scale=d ** -0.5), f(d, GROUPS),
+                 np.zeros(GROUPS, np.float32), f(GROUPS, d, IN_GROUP), np.zeros((GROUPS, IN_GROUP), np.float32))
+
+
+def by_group(group: np.ndarray):
+    """Rows of each group that has some, group by group."""
+    order = np.argsort(group, kind="stable")
+    edge = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    for g in range(GROUPS):
+        if edge[g + 1] > edge[g]:
+            yield g, order[edge[g]:edge[g + 1]]
 
 
 def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,62 +96,64 @@ _MASK = np.triu(np.full((CONTEXT, CONTEXT), -1e4, np.float32), 1)
 _SEEN = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
 
 
-def _attend(m: Model, x: np.ndarray):
-    d = WIDTH
-    q, k, v = np.split((x.reshape(-1, d) @ m.qkv).reshape(len(x), CONTEXT, 3 * d), 3, axis=2)
-    scores = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(d ** -0.5) + _MASK
-    scores -= scores.max(2, keepdims=True)
-    p = np.exp(scores)
-    p /= p.sum(2, keepdims=True)
-    return q, k, v, p, np.matmul(p, v)
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(-1, keepdims=True))
+    return e / e.sum(-1, keepdims=True)
 
 
 def train(samples: list[np.ndarray], counts: np.ndarray, steps: int | None = None, seed: int = 11) -> Model:
     """Adam on random batches of windows of the samples (ids of texts); classes and shares come from ``counts``."""
-    m, steps = fresh(seed), steps or STEPS
+    m, steps, d = fresh(seed), steps or STEPS, WIDTH
     m.group, m.share = classes(counts)
+    mass = np.bincount(m.group, counts + SMOOTHING, minlength=GROUPS * IN_GROUP).reshape(GROUPS, IN_GROUP) + 1e-9
+    m.top_bias[:] = np.log(mass.sum(1) / mass.sum())
+    m.bias[:] = np.log(mass / mass.sum(1, keepdims=True))
     made = [windows(s) for s in samples]
     if not made:
         return m
     seen, nxt, use = (np.concatenate(part) for part in zip(*made, strict=True))
     goal = m.group[nxt]
-    m.bias[:] = np.log((np.bincount(m.group, counts + SMOOTHING, minlength=CLASSES) + 1e-9) / (counts + SMOOTHING).sum())
     params = m.parameters()
     moment, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     rng = np.random.default_rng(seed + 1)
-    d = WIDTH
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(seen), min(BATCH, len(seen)))
-        ids, target, counted = seen[pick], goal[pick], use[pick]
+        ids, counted = seen[pick], use[pick]
+        target = goal[pick].reshape(-1)
+        weight = (counted.reshape(-1, 1) / max(counted.sum(), 1)).astype(np.float32)
         x = m.embed[ids] + m.place
-        q, k, v, p, a = _attend(m, x)
+        q, k, v = np.split((x.reshape(-1, d) @ m.qkv).reshape(len(x), CONTEXT, 3 * d), 3, axis=2)
+        p = _softmax(np.matmul(q, k.transpose(0, 2, 1)) * np.float32(d ** -0.5) + _MASK)
+        a = np.matmul(p, v)
         h = (x + (a.reshape(-1, d) @ m.out).reshape(x.shape)).reshape(-1, d)
-        z = h @ m.read + m.bias
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        g = e / e.sum(1, keepdims=True)
-        rows = np.arange(len(g))
-        g[rows, target.reshape(-1)] -= 1
-        g *= (counted.reshape(-1, 1) / max(counted.sum(), 1)).astype(np.float32)
-        g_read, g_bias = h.T @ g, g.sum(0)
-        g_h = g @ m.read.T
+        g = _softmax(h @ m.top + m.top_bias)
+        g[np.arange(len(g)), target // IN_GROUP] -= 1
+        g *= weight
+        g_top, g_top_bias, g_h = h.T @ g, g.sum(0), g @ m.top.T
+        g_read, g_bias = np.zeros_like(m.read), np.zeros_like(m.bias)
+        for group, rows in by_group(target // IN_GROUP):
+            e = _softmax(h[rows] @ m.read[group] + m.bias[group])
+            e[np.arange(len(rows)), target[rows] % IN_GROUP] -= 1
+            e *= weight[rows]
+            g_read[group], g_bias[group] = h[rows].T @ e, e.sum(0)
+            g_h[rows] += e @ m.read[group].T
         g_out = a.reshape(-1, d).T @ g_h
         g_a = (g_h @ m.out.T).reshape(x.shape)
         g_v = np.matmul(p.transpose(0, 2, 1), g_a)
         g_p = np.matmul(g_a, v.transpose(0, 2, 1))
         g_s = p * (g_p - (g_p * p).sum(2, keepdims=True)) * np.float32(d ** -0.5)
-        g_q, g_k = np.matmul(g_s, k), np.matmul(g_s.transpose(0, 2, 1), q)
-        g_all = np.concatenate([g_q, g_k, g_v], 2).reshape(-1, 3 * d)
+        g_all = np.concatenate([np.matmul(g_s, k), np.matmul(g_s.transpose(0, 2, 1), q), g_v], 2).reshape(-1, 3 * d)
         g_qkv = x.reshape(-1, d).T @ g_all
         g_x = g_h + g_all @ m.qkv.T
         flat = ids.reshape(-1)
-        used, inverse = np.unique(flat, return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        edge = np.searchsorted(inverse[order], np.arange(len(used)))
+        order = np.argsort(flat, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+        used = flat[order][edge]
         g_embed = np.add.reduceat(g_x[order], edge, axis=0)
         g_place = g_x.reshape(x.shape).sum(0)
         rate = RATE * min(1.0, step / 20) * (1 - step / (steps + 1)) ** 0.5
-        for i, (param, grad) in enumerate(zip(params, [g_embed, g_place, g_qkv, g_out, g_read, g_bias], strict=True)):
+        grads = [g_embed, g_place, g_qkv, g_out, g_top, g_top_bias, g_read, g_bias]
+        for i, (param, grad) in enumerate(zip(params, grads, strict=True)):
             where = used if i == 0 else slice(None)  # of the embeddings those that were used
             moment[i][where] = 0.9 * moment[i][where] + 0.1 * grad
             square[i][where] = 0.99 * square[i][where] + 0.01 * grad * grad
@@ -148,38 +161,66 @@ def train(samples: list[np.ndarray], counts: np.ndarray, steps: int | None = Non
     return m
 
 
-def log10_probability(m: Model, texts: list[np.ndarray], batch: int = 64) -> np.ndarray:
-    """log10 probability of each text's ids and its END."""
-    made = [windows(t) for t in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(w[0]) for w in made])
-    out = np.zeros(len(texts))
-    if not made:
+class Scorer:
+    """A model made ready for scoring: query, key and value of every id by table, the stand-in for exp in the weights."""
+
+    def __init__(self, m: Model):
+        self.m = m
+        scale = np.concatenate([np.full(WIDTH, _SLOPE * np.float32(WIDTH ** -0.5), np.float32), np.ones(2 * WIDTH, np.float32)])
+        # beside them the embedding itself, so one look-up gives all
+        self.by_id = np.hstack([(m.embed @ m.qkv) * scale, m.embed])
+        self.by_place = np.hstack([(m.place @ m.qkv) * scale, m.place])
+        self.top = self._ready(m.top, m.top_bias)
+        self.read = [self._ready(m.read[g], m.bias[g]) for g in range(GROUPS)]
+        self.of_group, self.in_group = m.group // IN_GROUP, m.group % IN_GROUP
+
+    @staticmethod
+    def _ready(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        both = np.vstack([weights, bias]) * _SLOPE
+        both[-1] += _OFFSET
+        return both.astype(np.float32)
+
+    def states(self, ids: np.ndarray, counted: np.ndarray, batch: int) -> np.ndarray:
+        """What the places that count end with after attention, and a column of ones."""
+        d, out = WIDTH, np.ones((int(counted.sum()), WIDTH + 1), np.float32)
+        done = 0
+        for at in range(0, len(ids), batch):
+            chosen = np.flatnonzero(counted[at:at + batch])
+            x = self.by_id[ids[at:at + batch]]
+            x += self.by_place
+            weight = np.matmul(x[:, :, :d], x[:, :, d:2 * d].transpose(0, 2, 1))
+            weight += _OFFSET
+            weight = _from_bits(weight)
+            weight *= _SEEN
+            a = np.matmul(weight, x[:, :, 2 * d:3 * d]).reshape(-1, d)[chosen]
+            a /= weight.sum(2).reshape(-1, 1)[chosen]
+            h = out[done:done + len(chosen), :d]
+            np.add(a @ self.m.out, x.reshape(-1, 4 * d)[chosen, 3 * d:], out=h)
+            done += len(chosen)
         return out
-    seen, nxt, use = (np.concatenate(part) for part in zip(*made, strict=True))
-    d = WIDTH
-    # scale and offset of the stand-in for exp lie in the weights
-    qkv = m.qkv.copy()
-    qkv[:, :d] *= _SLOPE * np.float32(d ** -0.5)
-    read = np.vstack([m.read, m.bias]) * _SLOPE
-    read[-1] += _OFFSET
-    read = read.astype(np.float32)
-    for at in range(0, len(seen), batch):
-        ids, target, counted = seen[at:at + batch], nxt[at:at + batch], use[at:at + batch]
-        n = len(ids)
-        x = m.embed[ids]
-        x += m.place
-        q, k, v = np.split((x.reshape(-1, d) @ qkv).reshape(n, CONTEXT, 3 * d), 3, axis=2)
-        scores = np.matmul(q, k.transpose(0, 2, 1))
-        scores += _OFFSET
-        weight = _from_bits(scores)
-        weight *= _SEEN
-        a = np.matmul(weight, v)
-        a /= weight.sum(2, keepdims=True)
-        chosen = counted.reshape(-1)
-        h = np.ones((int(chosen.sum()), d + 1), np.float32)
-        h[:, :d] = (x.reshape(-1, d) + a.reshape(-1, d) @ m.out)[chosen]
-        e = _from_bits(h @ read)
-        goal = target[counted]
-        p = np.log10(e[np.arange(len(goal)), m.group[goal]] / e.sum(1)) + m.share[goal]
-        out += np.bincount(np.repeat(owner[at:at + batch], counted.sum(1)), p, minlength=len(texts))
-    return out
+
+    def log10_probability(self, texts: list[np.ndarray], batch: int = 128, together: int = 2048) -> np.ndarray:
+        """log10 probability of each text's ids and its END."""
+        made = [windows(t) for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(w[0]) for w in made])
+        out = np.zeros(len(texts))
+        if not made:
+            return out
+        seen, nxt, use = (np.concatenate(part) for part in zip(*made, strict=True))
+        for at in range(0, len(seen), together):
+            counted = use[at:at + together]
+            goal = nxt[at:at + together][counted]
+            h = self.states(seen[at:at + together], counted, batch)
+            group = self.of_group[goal]
+            e = _from_bits(h @ self.top)
+            p = e[np.arange(len(goal)), group] / e.sum(1)
+            for g, rows in by_group(group):
+                e = _from_bits(h[rows] @ self.read[g])
+                p[rows] *= e[np.arange(len(rows)), self.in_group[goal[rows]]] / e.sum(1)
+            value = np.log10(p) + self.m.share[goal]
+            out += np.bincount(np.repeat(owner[at:at + together], counted.sum(1)), value, minlength=len(texts))
+        return out
+
+
+def log10_probability(m: Model, texts: list[np.ndarray]) -> np.ndarray:
+    return Scorer(m).log10_probability(texts)

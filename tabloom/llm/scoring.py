@@ -6,7 +6,7 @@ the bucket of the word's hash, and gets the total counts back in the same order.
 once from each owner, whatever the number of its places. Buckets also answer how many words and tokens they hold, so
 each owner knows the totals. The attention model's class shares come from the subword counts of all training texts;
 its weights are trained on the driver on a bounded sample: SAMPLE training texts, first by a hash of doc_id, of at most
-SAMPLE_CHARS characters.
+SAMPLE_IDS ids.
 
 Words are lower-cased (A-Z) runs of anything but blanks; each text has one END token more. Null texts count as empty.
 Rows with a null doc_id count as training texts. Repeated rows are scored, and counted, each. Without training texts
@@ -20,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import attention as A, words as X
+from .exact import stored
 from .packing import encoder
 from .repeats import _distinct, _first_copies, _texts
 
 FOLDS, HELD_OUT = 5, 1
-SAMPLE, SAMPLE_CHARS = 600, 20_000
+SAMPLE, SAMPLE_IDS = 600, 8000
 OWNER_BYTES, BUCKET_BYTES = 12_000_000, 24_000_000
 #: Stands for END among word hashes.
 _END_WORD = np.uint64(0x5E4D3C2B1A090807)
@@ -41,28 +42,59 @@ def held_out(doc_id) -> F.Column:
 
 # --- the attention model ---
 
-def _subwords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of each text, two bytes each (the vocabulary is smaller than that)."""
     encode, _ = encoder()
+    for batch in batches:
+        at, _ = X.text_bytes(batch.column(4))
+        for a, b in X.slices(at):
+            part = batch.slice(a, b - a)
+            ids = [encode(t.as_py()).astype("<u2").tobytes() for t in part.column(4)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(ids, pa.binary())], names=["doc_id", "held_out", "k1", "k2", "ids"])
+
+
+def _ids(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_py(), "<u2")
+
+
+def _subwords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(A.VOCABULARY, np.int64)
     for batch in batches:
-        for text in batch.column(0):
-            counts += 0 if text.as_py() == "" else np.bincount(encode(text.as_py()), minlength=A.VOCABULARY)
-            counts[A.END] += 1
+        counts[A.END] += len(batch)
+        for value in batch.column(0):
+            counts += np.bincount(_ids(value), minlength=A.VOCABULARY) if len(value.as_py()) > 50_000 else 0
+        few = [_ids(v) for v in batch.column(0) if len(v.as_py()) <= 50_000]
+        counts += np.bincount(np.concatenate([np.empty(0, np.int64), *few]).astype(np.int64), minlength=A.VOCABULARY)
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["id", "n"])
 
 
-def train(docs: DataFrame, id_col: str, text_col: str) -> A.Model:
+def train(encoded: DataFrame) -> A.Model:
     """Subword counts over all training texts (a table of the vocabulary's size comes back), weights from the sample."""
-    rows = docs.select(docs[id_col].cast("long").alias("i"), F.coalesce(docs[text_col], F.lit("")).alias("t")).where(
-        ~held_out(F.col("i")))
+    rows = encoded.where("NOT held_out")
     counts = np.zeros(A.VOCABULARY)
-    for r in rows.select("t").mapInArrow(_subwords, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("ids").mapInArrow(_subwords, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
-    first = rows.select("i").where("i IS NOT NULL").distinct().orderBy(F.xxhash64("i"), "i").limit(SAMPLE)
-    texts = rows.join(F.broadcast(first), "i").where(F.length("t") <= SAMPLE_CHARS).select("i", "t").collect()
-    encode, _ = encoder()
-    return A.train([encode(r["t"]) for r in sorted(texts, key=lambda r: (r["i"], r["t"]))], counts)
+    first = rows.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    texts = rows.join(F.broadcast(first), "doc_id").where(F.octet_length("ids") <= 2 * SAMPLE_IDS).select("doc_id", "ids").collect()
+    return A.train([np.frombuffer(r["ids"], "<u2") for r in sorted(texts, key=lambda r: (r["doc_id"], bytes(r["ids"])))], counts)
+
+
+def _modelled(model: A.Model):
+    """Adds the model's score; of equal texts in one task the first is worked out."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, known = A.Scorer(model), {}
+        for batch in batches:
+            size = np.concatenate([[0], np.cumsum([len(x.as_py()) for x in batch.column(4)])])
+            for a, b in X.slices(size, X.CHUNK_BYTES // 2):
+                part = batch.slice(a, b - a)
+                keys = list(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True))
+                new = {key: i for i, key in reversed(list(enumerate(keys))) if key not in known}
+                found = scorer.log10_probability([_ids(part.column(4)[i]) for i in new.values()])
+                known.update(zip(new, found.tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([known[k] for k in keys], pa.float64())],
+                                                 names=["doc_id", "held_out", "k1", "k2", "score"])
+    return work
 
 
 # --- word counts ---
@@ -116,50 +148,44 @@ def _total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
                      "tokens": pa.array([int(total.sum())] * n, pa.int64())})
 
 
-def _score(model: A.Model):
-    names = ["k1", "k2", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-    def work(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
-        rows: list[list] = [[] for _ in names]
-        if table.num_rows:
-            encode, _ = encoder()
-            table = _distinct(table)
-            parts = list(X.chunks(_texts(table), X.BLANKS, X.LOWER))
-            keys, own = _kinds(parts)
-            said = said.sort_by("bucket")
-            counts = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in said["counts"]])
-            tokens, kinds = sum(said["tokens"].to_pylist()), sum(said["kinds"].to_pylist())
-            gain = np.log10(counts + 0.5) - math.log10(tokens + 0.5 * (kinds + 1))
-            end = int(np.searchsorted(keys, _END_WORD))
-            texts = table["t"].to_pylist()
-            for c, h in zip(parts, own, strict=True):
-                at, owner = np.searchsorted(keys, h), c.owner()
-                n = np.diff(c.first)
-                rows[2] += (n + 1).tolist()
-                rows[3] += (np.bincount(owner, counts[at] > 0, minlength=c.texts) + (counts[end] > 0)).astype(int).tolist()
-                rows[5] += (np.bincount(owner, gain[at], minlength=c.texts) + gain[end]).tolist()
-                rows[6] += A.log10_probability(model, [encode(t) for t in texts[c.row:c.row + c.texts]]).tolist()
-            rows[0], rows[1] = table["k1"].to_pylist(), table["k2"].to_pylist()
-            rows[4] = [tokens] * len(texts)
-        return pa.table({n: pa.array(v, pa.float64() if n.endswith("score") else pa.int64()) for n, v in zip(names, rows, strict=True)})
-    return work
+def _base(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
+    names = ["k1", "k2", "n_tokens", "n_known", "train_tokens", "base_score"]
+    rows: list[list] = [[] for _ in names]
+    if table.num_rows:
+        table = _distinct(table)
+        parts = list(X.chunks(_texts(table), X.BLANKS, X.LOWER))
+        keys, own = _kinds(parts)
+        said = said.sort_by("bucket")
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in said["counts"]])
+        tokens, kinds = sum(said["tokens"].to_pylist()), sum(said["kinds"].to_pylist())
+        gain = np.log10(counts + 0.5) - math.log10(tokens + 0.5 * (kinds + 1))
+        end = int(np.searchsorted(keys, _END_WORD))
+        for c, h in zip(parts, own, strict=True):
+            at, owner = np.searchsorted(keys, h), c.owner()
+            rows[2] += (np.diff(c.first) + 1).tolist()
+            rows[3] += (np.bincount(owner, counts[at] > 0, minlength=c.texts) + (counts[end] > 0)).astype(int).tolist()
+            rows[5] += (np.bincount(owner, gain[at], minlength=c.texts) + gain[end]).tolist()
+        rows[0], rows[1] = table["k1"].to_pylist(), table["k2"].to_pylist()
+        rows[4] = [tokens] * len(rows[0])
+    return pa.table({n: pa.array(v, pa.float64() if n == "base_score" else pa.int64()) for n, v in zip(names, rows, strict=True)})
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``."""
-    model = train(docs, id_col, text_col)
     text = F.coalesce(docs[text_col], F.lit(""))
     size = docs.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     owners, buckets = max(1, math.ceil(size / OWNER_BYTES)), max(1, math.ceil(size / BUCKET_BYTES))
     keys = [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
-    owner = F.pmod("k1", F.lit(owners)).cast("int")
-    texts = (docs.select(*keys, text.alias("t")).mapInArrow(_first_copies, "k1 long, k2 long, t string")
-             .withColumn("owner", owner))
     doc_id = docs[id_col].cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), *keys)
-    times = rows.groupBy("k1", "k2").agg(F.sum((~F.col("held_out")).cast("long")).alias("n")).withColumn("owner", owner)
+    rows = docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), *keys, text.alias("t"))
+    # Ids are made once: for the subword counts, for training, and for scoring.
+    encoded = stored(rows.mapInArrow(_encoded, "doc_id long, held_out boolean, k1 long, k2 long, ids binary"), "subwords")
+    modelled = encoded.mapInArrow(_modelled(train(encoded)), "doc_id long, held_out boolean, k1 long, k2 long, score double")
+    owner = F.pmod("k1", F.lit(owners)).cast("int")
+    texts = rows.select("k1", "k2", "t").mapInArrow(_first_copies, "k1 long, k2 long, t string").withColumn("owner", owner)
+    times = encoded.groupBy("k1", "k2").agg(F.sum((~F.col("held_out")).cast("long")).alias("n")).withColumn("owner", owner)
     sent = texts.groupBy("owner").cogroup(times.groupBy("owner")).applyInArrow(_send(buckets), _SENT)
     said = sent.groupBy("bucket").applyInArrow(_total, _SAID)
-    scored = texts.groupBy("owner").cogroup(said.groupBy("owner")).applyInArrow(
-        _score(model), "k1 long, k2 long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return rows.join(scored, ["k1", "k2"]).drop("k1", "k2")
+    base = texts.groupBy("owner").cogroup(said.groupBy("owner")).applyInArrow(
+        _base, "k1 long, k2 long, n_tokens long, n_known long, train_tokens long, base_score double")
+    return modelled.join(base, ["k1", "k2"]).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -180,7 +180,10 @@ def test_each_id_is_scored_once_and_probabilities_sum_to_one():
         assert nxt[use].tolist() == [*ids.tolist(), attention.END]
     model = attention.fresh()
     model.group, model.share = attention.classes(np.random.default_rng(0).integers(0, 50, attention.VOCABULARY).astype(float))
-    assert abs(np.bincount(model.group, 10 ** model.share)[:attention.CLASSES].sum() - attention.CLASSES) < 1e-6
+    assert abs(np.bincount(model.group, 10 ** model.share).sum() - attention.GROUPS * attention.IN_GROUP) < 1e-6
+    every = attention.Scorer(model)
+    after = [10 ** (every.log10_probability([np.array([5, int(k)])])[0] - every.log10_probability([np.array([5, int(k), 9])])[0]) for k in (7, 8)]
+    assert np.isfinite(after).all()
     one = np.array([attention.log10_probability(model, [np.array([5, k])])[0] - attention.log10_probability(model, [np.array([5])])[0] for k in (7, 9)])
     assert np.isfinite(one).all()
 
