@@ -52,7 +52,7 @@ def encoder(name: str = "byte_bpe_50k"):
     def encode(text: str) -> np.ndarray:
         if _SPECIAL in text or _LONG_RUN.search(text):
             return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(fast.encode_ordinary(text), np.uint32)
+        return np.fromiter(ids := fast.encode_ordinary(text), np.uint32, len(ids))
     ends = np.zeros(max(ranks.values()) + 2, bool)
     for piece, i in ranks.items():
         ends[i] = piece.rstrip(b"\"')")[-1:] in (b".", b"!", b"?", b"\n")
