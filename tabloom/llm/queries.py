@@ -28,6 +28,20 @@ def _(spark, d):
     return repeats.remove_repeats(table(spark, d, "documents"))
 
 
+SQL["op1_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM s)
+  QUALIFY count(*) OVER (PARTITION BY h) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS i FROM r),
+words AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS i, unnest(w) AS word FROM d WHERE len(w) > 0),
+kept AS (SELECT p.doc_id, count(g.i) AS n_removed, list(word ORDER BY p.i) FILTER (WHERE g.i IS NULL) AS k
+  FROM words p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+
 @query("op2_mixing")
 def _(spark, d):
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "labels"))
