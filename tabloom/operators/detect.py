@@ -110,6 +110,7 @@ def explain_choice(scores: DataFrame) -> DataFrame:
     def part(name, score):
         return F.struct(name.alias("name"), score.cast("int").alias("score"))
 
+    # The wording of the parts.
     total = F.array(part(F.lit("---"), F.lit(0)), part(F.lit("Total Structural %"), F.col("confidence")))
     keyword = F.when(F.col("keyword_cells") > 0, F.array(
         part(F.lit("---"), F.lit(0)),

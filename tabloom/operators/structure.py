@@ -108,6 +108,7 @@ def score_breakdown() -> Column:
     def part(name, score):
         return F.struct(name.alias("name"), score.cast("int").alias("score"))
 
+    # The wording of the parts.
     average = part(F.concat(F.lit("Base Average Score ("), F.col("filled").cast("string"), F.lit("/"),
                             F.col("width").cast("string"), F.lit(" cols)")), half_up(F.col("base")))
     pure = F.when((F.col("base") > 0) & (F.col("numeric_cells") / F.col("filled") >= 0.5), part(
