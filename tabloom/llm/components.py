@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.common import salted_lookup
 from .exact import stored
 
 
@@ -11,18 +12,18 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for links (a, b): the root is the smallest node of the component.
 
     Every round each node takes the smallest root next to it, then the root of that root (so distances halve). Rounds
-    go on until nothing changes. A node with many links is one side of a join on unique keys and of a min, which is
-    combined before the shuffle; no neighbours are gathered.
+    go on until nothing changes. A node with many links is a hot key of joins with unique keys, which are salted, and of
+    a min, which is combined before the shuffle; no neighbours are gathered.
     """
     both = stored(links.selectExpr("a", "b").union(links.selectExpr("b AS a", "a AS b")).where("a <> b").distinct(), "links")
     roots = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root"))
     roots = stored(roots, "roots")
     while True:
-        near = (both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node"))
-                .agg(F.min("root").alias("near")))
+        near = (salted_lookup(both, roots.select(F.col("node").alias("b"), "root"), "b", F.col("a"), "inner")
+                .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near")))
         stepped = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("r"))
         jump = stepped.select(F.col("node").alias("r"), F.col("r").alias("rr"))
-        new = stored(stepped.join(jump, "r", "left").select("node", "old", F.coalesce(F.least("r", "rr"), "r").alias("root")),
+        new = stored(salted_lookup(stepped, jump, "r", F.col("node")).select("node", "old", F.coalesce(F.least("r", "rr"), "r").alias("root")),
                      "roots")
         if new.where("old <> root").isEmpty():
             return new.select("node", "root")
