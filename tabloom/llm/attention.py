@@ -9,6 +9,9 @@ every id has a probability and they sum to one.
 A text is read as END, its ids, END. Windows of CONTEXT places start every STRIDE places; each predicts what follows
 its places, but only those that no earlier window predicted count, so each id is scored once, with at least
 CONTEXT - STRIDE places before it (or all there are).
+
+``train`` makes start values from a few texts. A ``Learner`` goes on from given weights over any stream of texts, long
+ones included, and reads each id once; ``merged`` puts the weights of many learners together.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ import numpy as np
 VOCABULARY, END = 50_257, 50_256
 CONTEXT, STRIDE, WIDTH, GROUPS, IN_GROUP, SINGLE = 32, 26, 32, 32, 32, 960
 BATCH, STEPS, RATE = 256, 800, 5e-3
+#: Rate of the learners that go on from the start values, and the steps over which it rises.
+LEARNER_RATE, LEARNER_WARM = 2e-3, 20
 SMOOTHING = 0.5
 
 
@@ -80,14 +85,14 @@ def by_group(group: np.ndarray):
             yield g, order[edge[g]:edge[g + 1]]
 
 
-def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For a text's ids (without END): context places, what follows each, and which of these count (n x CONTEXT)."""
     stream = np.concatenate([[END], ids, [END]]).astype(np.int64)
     n = len(stream) - 1
-    starts = np.arange(0, max(n - CONTEXT, 0) + STRIDE, STRIDE) if n > CONTEXT else np.zeros(1, np.int64)
+    starts = np.arange(0, max(n - CONTEXT, 0) + stride, stride) if n > CONTEXT else np.zeros(1, np.int64)
     at = starts[:, None] + np.arange(CONTEXT)
     ok = at < n
-    counts = ok & ((np.arange(CONTEXT) >= CONTEXT - STRIDE) | (starts[:, None] == 0))
+    counts = ok & ((np.arange(CONTEXT) >= CONTEXT - stride) | (starts[:, None] == 0))
     at = np.minimum(at, n - 1)
     return stream[at], stream[at + 1], counts
 
@@ -101,9 +106,58 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def gradients(m: Model, ids: np.ndarray, counted: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Ids used, and the gradient of each parameter (of the embeddings: the rows of those ids); ``target``: the classes."""
+    d = WIDTH
+    weight = (counted.reshape(-1, 1) / max(counted.sum(), 1)).astype(np.float32)
+    x = m.embed[ids] + m.place
+    q, k, v = np.split((x.reshape(-1, d) @ m.qkv).reshape(len(x), CONTEXT, 3 * d), 3, axis=2)
+    p = _softmax(np.matmul(q, k.transpose(0, 2, 1)) * np.float32(d ** -0.5) + _MASK)
+    a = np.matmul(p, v)
+    h = (x + (a.reshape(-1, d) @ m.out).reshape(x.shape)).reshape(-1, d)
+    g = _softmax(h @ m.top + m.top_bias)
+    g[np.arange(len(g)), target // IN_GROUP] -= 1
+    g *= weight
+    g_top, g_top_bias, g_h = h.T @ g, g.sum(0), g @ m.top.T
+    g_read, g_bias = np.zeros_like(m.read), np.zeros_like(m.bias)
+    for group, rows in by_group(target // IN_GROUP):
+        e = _softmax(h[rows] @ m.read[group] + m.bias[group])
+        e[np.arange(len(rows)), target[rows] % IN_GROUP] -= 1
+        e *= weight[rows]
+        g_read[group], g_bias[group] = h[rows].T @ e, e.sum(0)
+        g_h[rows] += e @ m.read[group].T
+    g_out = a.reshape(-1, d).T @ g_h
+    g_a = (g_h @ m.out.T).reshape(x.shape)
+    g_v = np.matmul(p.transpose(0, 2, 1), g_a)
+    g_p = np.matmul(g_a, v.transpose(0, 2, 1))
+    g_s = p * (g_p - (g_p * p).sum(2, keepdims=True)) * np.float32(d ** -0.5)
+    g_all = np.concatenate([np.matmul(g_s, k), np.matmul(g_s.transpose(0, 2, 1), q), g_v], 2).reshape(-1, 3 * d)
+    g_qkv = x.reshape(-1, d).T @ g_all
+    g_x = g_h + g_all @ m.qkv.T
+    flat = ids.reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+    g_embed = np.add.reduceat(g_x[order], edge, axis=0)
+    return flat[order][edge], [g_embed, g_x.reshape(x.shape).sum(0), g_qkv, g_out, g_top, g_top_bias, g_read, g_bias]
+
+
+class _Adam:
+    def __init__(self, params: list[np.ndarray]):
+        self.params, self.step = params, 0
+        self.moment, self.square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+
+    def move(self, used: np.ndarray, grads: list[np.ndarray], rate: float) -> None:
+        self.step += 1
+        for i, (param, moment, square, grad) in enumerate(zip(self.params, self.moment, self.square, grads, strict=True)):
+            where = used if i == 0 else slice(None)  # of the embeddings those that were used
+            m, s = 0.9 * moment[where] + 0.1 * grad, 0.99 * square[where] + 0.01 * grad * grad
+            moment[where], square[where] = m, s
+            param[where] -= (rate * (m / (1 - 0.9 ** self.step)) / (np.sqrt(s / (1 - 0.99 ** self.step)) + 1e-8)).astype(np.float32)
+
+
 def train(samples: list[np.ndarray], counts: np.ndarray, steps: int | None = None, seed: int = 11) -> Model:
     """Adam on random batches of windows of the samples (ids of texts); classes and shares come from ``counts``."""
-    m, steps, d = fresh(seed), steps or STEPS, WIDTH
+    m, steps = fresh(seed), steps or STEPS
     m.group, m.share = classes(counts)
     mass = np.bincount(m.group, counts + SMOOTHING, minlength=GROUPS * IN_GROUP).reshape(GROUPS, IN_GROUP) + 1e-9
     m.top_bias[:] = np.log(mass.sum(1) / mass.sum())
@@ -113,54 +167,72 @@ def train(samples: list[np.ndarray], counts: np.ndarray, steps: int | None = Non
         return m
     seen, nxt, use = (np.concatenate(part) for part in zip(*made, strict=True))
     goal = m.group[nxt]
-    params = m.parameters()
-    moment, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    rng = np.random.default_rng(seed + 1)
+    adam, rng = _Adam(m.parameters()), np.random.default_rng(seed + 1)
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(seen), min(BATCH, len(seen)))
-        ids, counted = seen[pick], use[pick]
-        target = goal[pick].reshape(-1)
-        weight = (counted.reshape(-1, 1) / max(counted.sum(), 1)).astype(np.float32)
-        x = m.embed[ids] + m.place
-        q, k, v = np.split((x.reshape(-1, d) @ m.qkv).reshape(len(x), CONTEXT, 3 * d), 3, axis=2)
-        p = _softmax(np.matmul(q, k.transpose(0, 2, 1)) * np.float32(d ** -0.5) + _MASK)
-        a = np.matmul(p, v)
-        h = (x + (a.reshape(-1, d) @ m.out).reshape(x.shape)).reshape(-1, d)
-        g = _softmax(h @ m.top + m.top_bias)
-        g[np.arange(len(g)), target // IN_GROUP] -= 1
-        g *= weight
-        g_top, g_top_bias, g_h = h.T @ g, g.sum(0), g @ m.top.T
-        g_read, g_bias = np.zeros_like(m.read), np.zeros_like(m.bias)
-        for group, rows in by_group(target // IN_GROUP):
-            e = _softmax(h[rows] @ m.read[group] + m.bias[group])
-            e[np.arange(len(rows)), target[rows] % IN_GROUP] -= 1
-            e *= weight[rows]
-            g_read[group], g_bias[group] = h[rows].T @ e, e.sum(0)
-            g_h[rows] += e @ m.read[group].T
-        g_out = a.reshape(-1, d).T @ g_h
-        g_a = (g_h @ m.out.T).reshape(x.shape)
-        g_v = np.matmul(p.transpose(0, 2, 1), g_a)
-        g_p = np.matmul(g_a, v.transpose(0, 2, 1))
-        g_s = p * (g_p - (g_p * p).sum(2, keepdims=True)) * np.float32(d ** -0.5)
-        g_all = np.concatenate([np.matmul(g_s, k), np.matmul(g_s.transpose(0, 2, 1), q), g_v], 2).reshape(-1, 3 * d)
-        g_qkv = x.reshape(-1, d).T @ g_all
-        g_x = g_h + g_all @ m.qkv.T
-        flat = ids.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
-        used = flat[order][edge]
-        g_embed = np.add.reduceat(g_x[order], edge, axis=0)
-        g_place = g_x.reshape(x.shape).sum(0)
         rate = RATE * min(1.0, step / 20) * (1 - step / (steps + 1)) ** 0.5
-        grads = [g_embed, g_place, g_qkv, g_out, g_top, g_top_bias, g_read, g_bias]
-        for i, (param, grad) in enumerate(zip(params, grads, strict=True)):
-            where = used if i == 0 else slice(None)  # of the embeddings those that were used
-            moment[i][where] = 0.9 * moment[i][where] + 0.1 * grad
-            square[i][where] = 0.99 * square[i][where] + 0.01 * grad * grad
-            param[where] -= (rate * (moment[i][where] / (1 - 0.9 ** step)) / (np.sqrt(square[i][where] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+        adam.move(*gradients(m, seen[pick], use[pick], goal[pick].reshape(-1)), rate)
     return m
 
 
+def in_rows(m: Model) -> np.ndarray:
+    """All weights as rows of WIDTH, the embeddings first."""
+    return np.vstack([p.reshape(-1, WIDTH) for p in m.parameters()])
+
+
+def from_rows(m: Model, rows: np.ndarray) -> Model:
+    """``m`` with the weights of ``rows``."""
+    flat, at, params = rows.astype(np.float32).reshape(-1), 0, []
+    for p in m.parameters():
+        params.append(flat[at:at + p.size].reshape(p.shape).copy())
+        at += p.size
+    return Model(*params, m.group, m.share)
+
+
+class Learner:
+    """Goes on from a model's weights, one step for BATCH windows, each window once; the model is left as it is."""
+
+    def __init__(self, m: Model, seed: int = 11):
+        self.start = in_rows(m)
+        self.m = from_rows(m, self.start)
+        self.adam, self.rng = _Adam(self.m.parameters()), np.random.default_rng(seed)
+        #: How many places each row of weights served.
+        self.uses = np.zeros(len(self.start))
+        self.left: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def read(self, texts: list[np.ndarray]) -> None:
+        """Windows of CONTEXT places side by side; what does not fill a step waits for more."""
+        for ids in texts:
+            self.left.append(windows(ids, CONTEXT))
+            self.waiting += len(self.left[-1][0])
+        if self.waiting >= 8 * BATCH:
+            self._steps(self.waiting // BATCH * BATCH)
+
+    def _steps(self, take: int) -> None:
+        seen, nxt, use = (np.concatenate(part) for part in zip(*self.left, strict=True))
+        order = self.rng.permutation(len(seen))
+        for at in range(0, take, BATCH):
+            pick = order[at:min(at + BATCH, take)]
+            used, grads = gradients(self.m, seen[pick], use[pick], self.m.group[nxt[pick]].reshape(-1))
+            self.adam.move(used, grads, LEARNER_RATE * min(1.0, (self.adam.step + 1) / LEARNER_WARM))
+            self.uses[:VOCABULARY] += np.bincount(seen[pick][use[pick]], minlength=VOCABULARY)
+            self.uses[VOCABULARY:] += use[pick].sum()
+        rest = order[take:]
+        self.left, self.waiting = [(seen[rest], nxt[rest], use[rest])], len(rest)
+
+    def moved(self) -> tuple[np.ndarray, np.ndarray]:
+        """How far each row of weights moved, times its uses; and the uses."""
+        if self.waiting:
+            self._steps(self.waiting)
+        return (in_rows(self.m) - self.start) * self.uses[:, None], self.uses
+
+
+def merged(m: Model, moved: np.ndarray, uses: np.ndarray) -> Model:
+    """The mean of many learners that began with ``m``, each row weighted by its uses, from the sums of what they moved."""
+    return from_rows(m, in_rows(m) + moved / np.maximum(uses, 1)[:, None])
+
+
 class Scorer:
     """A model made ready for scoring: query, key and value of every id by table, the stand-in for exp in the weights."""
 

@@ -4,9 +4,13 @@ Training texts are those whose crc32(doc_id) mod 5 is not 1. The base needs the
 Texts are dealt to owners (as in ``repeats``); an owner sends each of its distinct words once, with its own count, to
 the bucket of the word's hash, and gets the total counts back in the same order. A frequent word thus meets its bucket
 once from each owner, whatever the number of its places. Buckets also answer how many words and tokens they hold, so
-each owner knows the totals. The attention model's class shares come from the subword counts of all training texts;
-its weights are trained on the driver on a bounded sample: SAMPLE training texts, first by a hash of doc_id, of at most
-SAMPLE_IDS ids.
+each owner knows the totals. The attention model's class shares come from the subword counts of all training texts, and
+its weights are learned from all of them: each task learns from every text it reads, long ones in windows, and the
+weights are averaged, each row by how many places it served, so an id that few tasks meet still counts. There are
+ROUNDS rounds, each over its part of the texts by hash, each beginning with the mean of the one before; together they
+read every training text once, and steps grow with the corpus. Only the start values come from a bounded sample, worked
+out on the driver: SAMPLE training texts, first by a hash of doc_id, of at most SAMPLE_IDS ids. The weights depend a
+little on how rows are dealt to tasks.
 
 Words are lower-cased (A-Z) runs of anything but blanks; each text has one END token more. Null texts count as empty.
 Rows with a null doc_id count as training texts. Repeated rows are scored, and counted, each. Without training texts
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import attention as A, words as X
@@ -29,6 +34,7 @@ from .repeats import _distinct, _first_copies, _texts
 
 FOLDS, HELD_OUT = 5, 1
 SAMPLE, SAMPLE_IDS = 600, 8000
+ROUNDS, BLOCK_ROWS = 2, 256
 OWNER_BYTES, BUCKET_BYTES = 12_000_000, 24_000_000
 #: Stands for END among word hashes.
 _END_WORD = np.uint64(0x5E4D3C2B1A090807)
@@ -69,15 +75,55 @@ def _subwords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["id", "n"])
 
 
+def _learned(model: A.Model):
+    """What the texts of a task move the weights by, in blocks of BLOCK_ROWS rows that were used."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, task = A.Learner(model), TaskContext.get().partitionId()
+        for batch in batches:
+            size = np.concatenate([[0], np.cumsum([len(x.as_py()) for x in batch.column(0)])])
+            for a, b in X.slices(size, X.CHUNK_BYTES // 8):
+                learner.read([_ids(x) for x in batch.column(0).slice(a, b - a)])
+        moved, uses = learner.moved()
+        at = [k for k in range(0, len(uses), BLOCK_ROWS) if uses[k:k + BLOCK_ROWS].any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k // BLOCK_ROWS for k in at], pa.int32()), pa.array([task] * len(at), pa.int32()),
+             pa.array([moved[k:k + BLOCK_ROWS].astype("<f4").tobytes() for k in at], pa.binary()),
+             pa.array([uses[k:k + BLOCK_ROWS].astype("<f8").tobytes() for k in at], pa.binary())], names=["block", "task", "moved", "uses"])
+    return work
+
+
+def _added(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    table = table.sort_by("task")  # sums do not depend on which task was done first
+    moved, uses = (sum(np.frombuffer(x.as_py(), t).astype(np.float64) for x in table[c]) for c, t in (("moved", "<f4"), ("uses", "<f8")))
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "moved": pa.array([moved.tobytes()], pa.binary()),
+                     "uses": pa.array([uses.tobytes()], pa.binary())})
+
+
+def learned(rows: DataFrame, model: A.Model) -> A.Model:
+    """The mean of what all tasks learn from ``rows`` (ids); tables of the model's size come back."""
+    blocks = rows.select("ids").mapInArrow(_learned(model), "block int, task int, moved binary, uses binary")
+    moved = np.zeros_like(A.in_rows(model), np.float64)
+    uses = np.zeros(len(moved))
+    for r in blocks.groupBy("block").applyInArrow(_added, "block int, moved binary, uses binary").collect():
+        at = slice(r["block"] * BLOCK_ROWS, (r["block"] + 1) * BLOCK_ROWS)
+        moved[at] = np.frombuffer(r["moved"], np.float64).reshape(-1, A.WIDTH)
+        uses[at] = np.frombuffer(r["uses"], np.float64)
+    return A.merged(model, moved, uses)
+
+
 def train(encoded: DataFrame) -> A.Model:
-    """Subword counts over all training texts (a table of the vocabulary's size comes back), weights from the sample."""
+    """Subword counts and weights from all training texts; the sample gives the weights to start with."""
     rows = encoded.where("NOT held_out")
     counts = np.zeros(A.VOCABULARY)
     for r in rows.select("ids").mapInArrow(_subwords, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     first = rows.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = rows.join(F.broadcast(first), "doc_id").where(F.octet_length("ids") <= 2 * SAMPLE_IDS).select("doc_id", "ids").collect()
-    return A.train([np.frombuffer(r["ids"], "<u2") for r in sorted(texts, key=lambda r: (r["doc_id"], bytes(r["ids"])))], counts)
+    model = A.train([np.frombuffer(r["ids"], "<u2") for r in sorted(texts, key=lambda r: (r["doc_id"], bytes(r["ids"])))], counts)
+    part = F.pmod(F.xxhash64("doc_id", "k1", "k2"), F.lit(ROUNDS))
+    for k in range(ROUNDS):
+        model = learned(rows.where(part == k), model)
+    return model
 
 
 def _modelled(model: A.Model):

@@ -210,3 +210,29 @@ def test_scores_match_brute_force(docs, no_docs, corpus_rows, monkeypatch):
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in rows) == want
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in rows)
     assert scoring.score(no_docs).count() == 0
+
+
+def test_a_learner_reads_each_place_once():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 900, n) for n in (0, 1, 31, 32, 33, 200, 70_000)]
+    counts = np.bincount(np.concatenate(texts), minlength=attention.VOCABULARY).astype(float)
+    learner = attention.Learner(attention.train([], counts))
+    for t in texts:
+        learner.read([t])
+    _, uses = learner.moved()
+    assert uses[attention.END] == len(texts) and (uses[:attention.END] == counts[:attention.END]).all()
+    assert set(uses[attention.VOCABULARY:]) == {sum(len(t) + 1 for t in texts)}
+
+
+def test_texts_outside_the_sample_teach(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SAMPLE_IDS", 10)  # every text is longer
+    rng = np.random.default_rng(6)
+    texts = [np.tile(rng.permutation(40) + 100 * (i % 3), 75).astype("<u2") for i in range(60)]
+    rows = [(i, False, i, i, bytearray(t.tobytes())) for i, t in enumerate(texts)] + [(99, True, 99, 99, bytearray(np.full(50, 700, "<u2").tobytes()))]
+    encoded = spark.createDataFrame(rows, "doc_id long, held_out boolean, k1 long, k2 long, ids binary").repartition(3)
+    counts = np.bincount(np.concatenate(texts), minlength=attention.VOCABULARY).astype(float)
+    counts[attention.END] = len(texts)
+    start, model = attention.train([], counts), scoring.train(encoded)
+    moved = (model.embed != start.embed).any(1)
+    assert moved[np.unique(np.concatenate(texts))].all() and not moved[700]
+    assert attention.log10_probability(model, texts).sum() > attention.log10_probability(start, texts).sum() + 100
