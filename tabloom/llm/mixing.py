@@ -2,23 +2,28 @@
 
 A classifier trained on labelled documents (naive Bayes over hashed words, its evidence limited to EVIDENCE words so
 that mixed texts stay mixed) gives each document a posterior over domains. With t tokens and posterior p, a document
-used at rate r adds r * t * p to the domain totals. Projected gradient descent finds rates >= ``least`` for which the
-totals meet the targets in the least-squares sense (each domain's gap relative to its target).
-
-Steps are scaled by 1 / t, so a document's next rate follows from its posterior and the K gaps of each step so far.
-Rates are therefore never stored: a round is one aggregation over a narrow table (tokens, posterior), with the gaps of
-the earlier rounds as constants, and K numbers come back.
-
-Unless a total is given, it is the least at which no domain need be thinned: then rates stay at 1 or above, and mixing
-repeats documents rather than dropping any. ``applied`` takes a rate of 2.3 as two copies and a third for the share 0.3
-of documents whose hash says so.
-
-Null texts count as empty: no tokens, posterior is the prior. Repeated rows each have a rate. A domain without labelled
-rows has only its smoothed prior; rows with a null domain teach nothing. Empty tables give no rows.
+used at rate r adds r * t * p to the domain totals. Of all rates >= ``least`` for which the totals meet the targets,
+those nearest to 1 (in squares, weighted by t) are max(least, 1 + p . w) for K weights w, so rates are never stored. The
+weights are where a convex function of K numbers is least. Its steps are Newton's, with the K x K moments of the rows
+whose rate is not held at ``least``, so they do not depend on the rarest domain; a step that goes too far is damped. A
+round is one aggregation over a narrow table (tokens, posterior), from which some K * K numbers come back.
+
+Rounds go on until each domain's gap, relative to its target, is below CLOSE. Where that cannot be had, as no mix of the
+texts' posteriors has the target shares, a warning gives the gaps that stay, ``Mix.gaps`` has them, and rates are those
+where the squares of gaps and (ROUNDS times less) of moved rates are least. Domains without labelled rows have no target, as nothing is known of them: a warning names
+them, and the others have their shares among themselves. A domain that is rare in ``docs`` has high rates.
+
+Unless a total is given, it is the least at which no domain need be thinned. If also no rate may be below 1, the total
+is free: texts that stand between domains may need a larger one, and mixing repeats documents rather than dropping
+any. ``applied`` takes a rate of 2.3 as two copies and a third for the share 0.3 of documents whose hash says so.
+
+Null texts count as empty: no tokens, posterior is the prior. Repeated rows each have a rate. Labelled rows with a
+null domain teach nothing. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,11 +44,12 @@ ROUNDS, CLOSE = 40, 1e-3
 
 @dataclass
 class Classifier:
-    """Log weights (cells x domains) and log priors."""
+    """Log weights (cells x domains), log priors, and which domains have labelled rows."""
 
     domains: list[str]
     weights: np.ndarray
     prior: np.ndarray
+    known: np.ndarray | None = None
 
     def posterior(self, c: X.Chunk) -> np.ndarray:
         n = np.diff(c.first)
@@ -84,7 +90,8 @@ def train(labelled: DataFrame, domains: list[str], text_col: str = "text", domai
         counts[r["k"], r["cell"]] = r["n"]
     words = counts[:, :CELLS] + 0.1
     texts = counts[:, CELLS] + 1.0
-    return Classifier(list(domains), np.ascontiguousarray(np.log(words / words.sum(1, keepdims=True)).T, np.float32), np.log(texts / texts.sum()))
+    return Classifier(list(domains), np.ascontiguousarray(np.log(words / words.sum(1, keepdims=True)).T, np.float32), np.log(texts / texts.sum()),
+                      counts[:, CELLS] > 0)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -118,43 +125,80 @@ def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text")
 
 @dataclass
 class Mix:
-    """Rates as a function of the posterior: the steps taken, and how well the totals meet the targets."""
+    """Rates as a function of the posterior, and how well the totals meet the targets (-1: nothing known of a domain)."""
 
     least: float
-    steps: list[np.ndarray] = field(default_factory=list)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     gaps: np.ndarray | None = None
+    rounds: int = 0
 
-    def rate(self) -> Column:
-        value = F.lit(1.0)
-        for step in self.steps:
-            move = sum((F.col("posterior")[k] * F.lit(float(s)) for k, s in enumerate(step)), F.lit(0.0))
-            value = F.greatest(F.lit(float(self.least)), value - move)
-        return value
-
+    def move(self) -> Column:
+        return sum((F.col("posterior")[k] * F.lit(float(w)) for k, w in enumerate(self.weights)), F.lit(0.0))
 
-def fit(narrow: DataFrame, targets: list[float], least: float = 0.0, total: float | None = None) -> Mix:
-    """``narrow`` has (tokens, posterior) and is read once a round."""
+    def rate(self) -> Column:
+        return F.greatest(F.lit(float(self.least)), 1 + self.move())
+
+
+def _look(narrow: DataFrame, mix: Mix, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Totals of the domains at ``mix``, their derivatives by its weights, and what the totals are the derivatives of."""
+    low = mix.least - 1
+    t, u, p = F.col("tokens"), F.col("u"), [F.col("posterior")[i] for i in range(k)]
+    free = F.when(u >= low, t).otherwise(0)
+    row = narrow.withColumn("u", mix.move()).withColumn("r", F.greatest(F.lit(float(mix.least)), 1 + u)).agg(
+        *[F.sum(F.col("r") * t * p[i]).alias(f"s{i}") for i in range(k)],
+        *[F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i + 1)],
+        F.sum(t * F.when(u >= low, u + u * u / 2).otherwise(mix.least * u - low * low / 2)).alias("value")).first()
+    moment = [[row[f"m{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
+    return np.array([row[f"s{i}"] or 0.0 for i in range(k)]), np.array(moment), row["value"] or 0.0
+
+
+def _newton(narrow: DataFrame, least: float, share: np.ndarray, whole: float, use: np.ndarray, free: bool, soft: float = 0.0) -> tuple[Mix, bool]:
+    """Damped Newton steps from rates of 1, and whether they ended; a ``free`` total follows the rates, ``soft`` holds weights down."""
+    k, n, scale, damp = len(use), int(use.sum()), share * whole, 1e-6
+    mix = Mix(least, np.zeros(k), np.full(k, -1.0))
+    have, moment, value = _look(narrow, mix, k)
+    matrix = np.zeros((n + 1, n + 1))
+    # At a free total the weights stay where share . w is 0.
+    matrix[:n, n] = matrix[n, :n] = scale if free else 0.0
+    matrix[n, n] = 0.0 if free else 1.0
+    while True:
+        goal = share * (have[use].sum() if free else whole)
+        mix.gaps[use] = have[use] / goal - 1
+        slope = goal - have[use] - soft * scale * mix.weights[use]
+        if np.abs(slope / goal).max() < CLOSE:
+            return mix, True
+        while True:
+            if mix.rounds >= ROUNDS:
+                return mix, False
+            matrix[:n, :n] = moment[np.ix_(use, use)] + np.diag((damp + soft) * scale)
+            step = np.zeros(k)
+            step[use] = np.linalg.solve(matrix, np.append(slope, 0.0))[:n]
+            mix.rounds += 1
+            new = Mix(least, mix.weights + step, mix.gaps.copy(), mix.rounds)
+            found = _look(narrow, new, k)
+            held = soft / 2 * (scale @ (new.weights[use] ** 2 - mix.weights[use] ** 2))
+            if value - found[2] - held + (0.0 if free else step[use] @ goal) >= 1e-4 * (step[use] @ slope):
+                break
+            damp *= 10
+        mix, (have, moment, value), damp = new, found, max(damp / 10, 1e-9)
+
+
+def fit(narrow: DataFrame, targets: list[float], least: float = 0.0, total: float | None = None,
+        known: np.ndarray | None = None) -> Mix:
+    """``narrow`` has (tokens, posterior) and is read once a round; without ``known`` all domains are."""
     k = len(targets)
-    share = np.array(targets) / sum(targets)
-    moments = [F.sum(F.col("tokens") * F.col("posterior")[i]).alias(f"s{i}") for i in range(k)] + [
-        F.sum(F.col("tokens") * F.col("posterior")[i] * F.col("posterior")[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]
-    row = narrow.agg(*moments).first()
-    have = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
-    mix = Mix(least)
+    use = np.ones(k, bool) if known is None else known
+    have = _look(narrow, Mix(least, np.zeros(k)), k)[0]
     if not have.sum():
-        return mix
-    goal = share * (total if total is not None else (have / share).max())
-    moment = np.array([[row[f"m{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-    largest = np.linalg.eigvalsh(moment / np.sqrt(np.outer(goal, goal))).max()
-    for _ in range(ROUNDS):
-        mix.gaps = have / goal - 1
-        if np.abs(mix.gaps).max() < CLOSE:
-            break
-        mix.steps.append(mix.gaps / largest)
-        row = narrow.withColumn("r", mix.rate()).agg(
-            *[F.sum(F.col("r") * F.col("tokens") * F.col("posterior")[i]).alias(f"s{i}") for i in range(k)]).first()
-        have = np.array([row[f"s{i}"] for i in range(k)])
-    mix.gaps = have / goal - 1
+        return Mix(least)
+    if not use.any():
+        return Mix(least, np.zeros(k), np.full(k, -1.0))
+    share = np.array(targets)[use] / np.array(targets)[use].sum()
+    whole = total if total is not None else (have[use] / share).max()
+    mix, met = _newton(narrow, least, share, whole, use, total is None and least >= 1)
+    if not met:
+        mix, _ = _newton(narrow, least, share, whole, use, False, 1 / ROUNDS)
+        warnings.warn(f"targets not met, gaps relative to them: {[round(float(g), 4) for g in mix.gaps]}", stacklevel=2)
     return mix
 
 
@@ -168,7 +212,9 @@ def _fitted(docs, labels, id_col, text_col, domain_col, targets, least) -> tuple
     model = train(labelled_rows(docs, labels, id_col, text_col, domain_col), list(targets))
     scored = with_posteriors(docs, model, text_col)
     narrow = stored(scored.select("tokens", "posterior"), "posteriors")
-    return scored, fit(narrow, list(targets.values()), least)
+    if not model.known.all():
+        warnings.warn(f"no labelled rows, so no target: {[d for d, k in zip(targets, model.known, strict=True) if not k]}", stacklevel=3)
+    return scored, fit(narrow, list(targets.values()), least, known=model.known)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id",

@@ -236,3 +236,26 @@ def test_texts_outside_the_sample_teach(spark, monkeypatch):
     moved = (model.embed != start.embed).any(1)
     assert moved[np.unique(np.concatenate(texts))].all() and not moved[700]
     assert attention.log10_probability(model, texts).sum() > attention.log10_probability(start, texts).sum() + 100
+
+
+@pytest.mark.parametrize("least", [0.0, 1.0])
+@pytest.mark.parametrize("tokens", [(900, 50, 40, 10), (9500, 300, 150, 50), (99_900, 50, 40, 10)])
+def test_rare_domains_meet_their_targets(spark, tokens, least):
+    sure = [(t // 5, [0.97 if i == k else 0.01 for i in range(4)]) for k, t in enumerate(tokens) for _ in range(5)]
+    between = [(3, [0.6, 0.3, 0.05, 0.05]), (2, [0.25, 0.25, 0.25, 0.25]), (0, [0.1, 0.2, 0.3, 0.4])]
+    narrow = spark.createDataFrame(sure + between, "tokens long, posterior array<double>").cache()
+    targets = [0.5, 0.2, 0.2, 0.1]
+    mix = mixing.fit(narrow, targets, least)
+    rows = narrow.withColumn("rate", mix.rate()).collect()
+    total = np.array([sum(r["rate"] * r["tokens"] * r["posterior"][k] for r in rows) for k in range(4)])
+    assert min(r["rate"] for r in rows) >= least and np.abs(mix.gaps).max() < mixing.CLOSE
+    assert np.abs(total / total.sum() / targets - 1).max() < 2 * mixing.CLOSE
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    narrow = spark.createDataFrame([(50, [0.9, 0.1]), (70, [0.8, 0.2])], "tokens long, posterior array<double>").cache()
+    for least in (0.0, 1.0):
+        with pytest.warns(UserWarning, match="targets not met"):
+            mix = mixing.fit(narrow, [0.5, 0.5], least)
+        assert mix.gaps[1] < -0.1 and narrow.select(mix.rate().alias("r")).agg({"r": "max"}).first()[0] < 100
+    assert mixing.fit(narrow, [0.5, 0.5], known=np.array([True, False])).gaps[1] == -1
