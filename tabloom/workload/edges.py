@@ -13,7 +13,7 @@ from ..sources import sinks as S
 from ..streaming import arrivals as A
 from . import inputs as I
 from . import sql as Q
-from .queries import (cast_sql, joined, lexicon, oracle, query, reject_list_sql, reshape_ctes,
+from .queries import (cast_sql, event_grid, joined, lexicon, oracle, query, reject_list_sql, reshape_ctes,
                       statement_detected, statement_grid, statement_reshape)
 
 DELIMITERS = [",", "\t", "|", ";"]
@@ -296,7 +296,7 @@ def _():
 
 def _event_batches(spark, d, parts):
     """Events of users as grid files, dealt over ``parts`` arrivals by user; each is one parquet folder, moved in in turn."""
-    grid = G.head_rows(I.event_lines(I.table(spark, d, "events"))).select("file_id", "row_idx", "cells")
+    grid = event_grid(spark, d).select("file_id", "row_idx", "cells")  # whole files; detection samples by itself
     path = scratch_dir(spark, "arriving")
     number = F.substring("file_id", 2, 9).cast("long")
     for k in range(parts):
@@ -351,7 +351,7 @@ def _(spark, d):
     out = scratch_dir(spark, "arrivals")
     path = scratch_dir(spark, "arriving")
     events = I.table(spark, d, "events")
-    good = G.head_rows(I.event_lines(events)).select("file_id", "row_idx", "cells")
+    good = event_grid(spark, d).select("file_id", "row_idx", "cells")
     bad = events.select(F.concat(F.lit("x"), F.col("user_id").cast("string")).alias("file_id")).distinct().select(
         "file_id", F.lit(0).cast("long").alias("row_idx"), F.array(F.lit("alone")).alias("cells"))
     good.unionByName(bad).write.parquet(f"{path}/part0")

@@ -9,6 +9,7 @@ from tabloom.plans.mapping import map_headers, map_with_fallback
 from tabloom.operators.detect import detect_headers, header_list
 from tabloom.sources.grids import drop_blank_rows, head_rows, read_alias_dictionary, read_csv_grids, read_errors
 from tabloom.sources.ledger import admit, new_files
+from tabloom.workload import edges  # noqa: F401  (adds its queries)
 from tabloom.workload.queries import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"
@@ -106,3 +107,12 @@ def test_query_equals_sql(spark, name):
         return sorted((tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
     assert tidy(tuple(r) for r in ours.select(*columns).collect()) == tidy(theirs)
+
+
+def test_streams_take_whole_files(spark, tmp_path):
+    spark.range(10 * 450).selectExpr("id AS event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS ts", "id % 10 AS user_id",
+                                     "'view' AS event_type", "id / 7D AS value", """'{"k": 5}' AS props""").write.parquet(f"{tmp_path}/events.parquet")
+    rows = QUERIES["stream_rows"](spark, str(tmp_path)).where("state = 'confident'").collect()
+    assert rows and all(r["n_rows"] == 450 - r["header_row_index"] and r["last_batch"] == 90 for r in rows)
+    again = QUERIES["stream_skip_known"](spark, str(tmp_path)).collect()
+    assert sorted((r["times"], r["late_rows"]) for r in again) == [(1, 451)] * 10
