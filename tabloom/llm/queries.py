@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, exact, jaccard, licenses, mixing, packing, repeats, scoring, sketches, toxicity
+from . import archives, exact, jaccard, licenses, mixing, packing, repeats, scoring, secrets, sketches, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +92,8 @@ FROM n WINDOW w AS (PARTITION BY t)"""
 @query("op10_lm_scores")
 def _(spark, d):
     return scoring.score(table(spark, d, "documents"))
+
+
+@query("op11_secret_scan")
+def _(spark, d):
+    return secrets.scan(table(spark, d, "documents"))
