@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, exact, jaccard, licenses, mixing, packing, repeats, scoring, secrets, sketches, toxicity
+from . import archives, exact, jaccard, licenses, mixing, packing, repeats, scoring, secrets, sketches, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -97,3 +97,8 @@ def _(spark, d):
 @query("op11_secret_scan")
 def _(spark, d):
     return secrets.scan(table(spark, d, "documents"))
+
+
+@query("op13_whitening")
+def _(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings"))
