@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, exact, jaccard, licenses, mixing, packing, repeats, scoring, secrets, sketches, toxicity, whitening
+from . import archives, exact, jaccard, licenses, mixing, packing, repeats, scoring, secrets, sketches, toxicity, tries, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,6 +99,32 @@ def _(spark, d):
     return secrets.scan(table(spark, d, "documents"))
 
 
+@query("op12_prefix_trie")
+def _(spark, d):
+    return tries.conversation_trie(table(spark, d, "conversations"))
+
+
+SQL["op12_prefix_trie"] = r"""
+WITH steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS s),
+own AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS w
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, w, xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: xor(a // 256, s[xor(a, b) % 256 + 1])), 4294967295) % 6 AS h FROM own, steps),
+rebuilt AS (SELECT h.c, list_concat(coalesce(b.w[1:h.h], []), h.w[h.h + 1:]) AS w
+  FROM h LEFT JOIN own b ON b.c = h.c - h.c % 100),
+pre AS (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM rebuilt),
+node AS (SELECT w[1:d] AS p, d, min(c) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(w) = d), '')) AS ends_sha256 FROM pre GROUP BY w[1:d], d),
+kids AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY p[1:d - 1], d - 1),
+own_part AS (SELECT n.*, coalesce(k.n, 0) AS n_children, CASE WHEN k.n IS NULL THEN 1 ELSE 0 END AS leaf,
+  CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * length(n.p[n.d].t) END AS saving FROM node n LEFT JOIN kids k ON k.p = n.p AND k.d = n.d),
+up AS (SELECT p, leaf, saving, unnest(range(0, d + 1)) AS k FROM own_part),
+sums AS (SELECT p[1:k] AS p, k AS d, sum(leaf)::BIGINT AS n_leaves, sum(saving)::BIGINT AS saved_tokens FROM up GROUP BY p[1:k], k)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM own_part n JOIN sums s ON s.p = n.p AND s.d = n.d LEFT JOIN node u ON u.d = n.d - 1 AND u.p = n.p[1:n.d - 1]"""
+
+
 @query("op13_whitening")
 def _(spark, d):
     return whitening.whiten(table(spark, d, "embeddings"))
