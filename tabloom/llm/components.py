@@ -8,23 +8,45 @@ from ..operators.common import salted_lookup
 from .exact import stored
 
 
+def _to_the_end(parents: DataFrame) -> DataFrame:
+    """(node, root) from (node, root) where roots may have roots themselves, by jumps that double."""
+    while True:
+        jump = parents.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        stepped = stored(salted_lookup(parents, jump, "root", F.col("node")).select("node", F.coalesce("further", "root").alias("root"),
+                                                                                  (F.col("further") != F.col("root")).alias("moved")), "roots")
+        parents = stepped.select("node", "root")
+        if stepped.where("moved").isEmpty():
+            return parents
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for links (a, b): the root is the smallest node of the component.
 
-    Every round each node takes the smallest root next to it, then the root of that root (so distances halve). Rounds
-    go on until nothing changes. A node with many links is a hot key of joins with unique keys, which are salted, and of
-    a min, which is combined before the shuffle; no neighbours are gathered.
+    Every round each node takes its smallest neighbour, if smaller, as its parent; parents are followed to the end, and
+    the links are drawn anew between the ends: what became one node stays as one, links within it go. So links shrink
+    from round to round, and all rounds together handle little more than the links given. A node with many links is a
+    hot key of joins with unique keys, which are salted, and of a min, which is combined before the shuffle; no
+    neighbours are gathered.
     """
-    both = stored(links.selectExpr("a", "b").union(links.selectExpr("b AS a", "a AS b")).where("a <> b").distinct(), "links")
-    roots = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root"))
-    roots = stored(roots, "roots")
-    while True:
-        near = (salted_lookup(both, roots.select(F.col("node").alias("b"), "root"), "b", F.col("a"), "inner")
-                .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near")))
-        stepped = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("r"))
-        jump = stepped.select(F.col("node").alias("r"), F.col("r").alias("rr"))
-        new = stored(salted_lookup(stepped, jump, "r", F.col("node")).select("node", "old", F.coalesce(F.least("r", "rr"), "r").alias("root")),
-                     "roots")
-        if new.where("old <> root").isEmpty():
-            return new.select("node", "root")
-        roots = new.select("node", "root")
+    ordered = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).alias("l")
+    left = stored(links.where("a <> b").select(ordered).select("l.*").distinct(), "links")
+    nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+    steps: list[DataFrame] = []
+    while not left.isEmpty():
+        # the smaller end of a link is a parent for the larger one; a is its own
+        parents = (left.select(F.col("b").alias("node"), F.col("a").alias("root")).union(left.select("a", "a"))
+                   .groupBy("node").agg(F.min("root").alias("root")))
+        step = _to_the_end(stored(parents, "parents"))
+        steps.append(step)
+        to = lambda end: step.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        moved = salted_lookup(salted_lookup(left, to("a"), "a", F.col("b"), "inner"), to("b"), "b", F.col("a"), "inner")
+        left = stored(moved.where("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
+                      .distinct(), "links")
+    if not steps:
+        return nodes.withColumn("root", F.col("node"))
+    # a round knows the roots of the round before; what it does not know is done
+    roots = steps[0]
+    for step in steps[1:]:
+        further = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        roots = salted_lookup(roots, further, "root", F.col("node")).select("node", F.coalesce("further", "root").alias("root"))
+    return roots

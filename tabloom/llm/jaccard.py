@@ -6,9 +6,10 @@ follow from the target recall at the threshold. Band hashes are shuffled; classe
 
 Candidates fall into clumps (connected by shared bands). The n-gram sets of a clump meet in blocks: each pair of blocks
 is one task's work, where all pairs are compared on their full n-gram sets by matrix products. So every candidate pair
-is verified once, however many bands it shares, without a row for any pair; what comes out is a row per class and pair
-of blocks: how many others it links to, and a link that keeps the block's links connected. A clump of m classes costs
-m * m / BLOCK rows to deal and m * m comparisons, which exact link counts need.
+is verified once, however many bands it shares, without a row for any pair; what comes out is one row for each of the two
+blocks, with lists: how many others a class links to, and the class that stands for its part of the links. The rows of
+a block meet in one task, which adds up the counts and joins the parts, so a class gives one link, and a part one more.
+A clump of m classes costs m * m comparisons, which exact link counts need.
 
 Results: ``class_id`` is the smallest doc_id of the texts connected by links, ``copy_id`` the smallest doc_id with the
 same n-gram set, ``n_links`` the number of other n-gram sets at the threshold or above. Null texts count as empty;
@@ -95,8 +96,8 @@ def _signed(similarity: float, recall: float, n: int, rows: int):
                     pa.array(np.concatenate([[0], np.cumsum(np.where(counts > 0, bands, 0))]), pa.int32()),
                     pa.array(X.as_long(keys[has].reshape(-1))))
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), *map(pa.array, set_names(grams, counts)), pa.array(counts, pa.int64()), lists],
-                    names=["id", "set_a", "set_b", "n_grams", "bands"])
+                    [own.column(0), own.column(2), *map(pa.array, set_names(grams, counts)), pa.array(counts, pa.int64()), lists],
+                    names=["id", "text_hash", "set_a", "set_b", "n_grams", "bands"])
     return work
 
 
@@ -159,9 +160,13 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -
     return (common >= similarity * (sizes[0][:, None] + sizes[1][None, :] - common) - 1e-9) & (common > 0)
 
 
+_PART = "clump long, block int, node array<long>, to array<long>, n array<long>"
+
+
 def _verified(similarity: float):
+    """A pair of blocks -> for each of both: its classes with links, the smallest class of their part, their links."""
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        low, high = key[1].as_py(), key[2].as_py()
+        clump, low, high = (k.as_py() for k in key)
         table = table.combine_chunks()
         _, once = np.unique(table["node"].to_numpy(), return_index=True)  # repeated rows give a class twice
         table = table.take(pa.array(once)).combine_chunks()
@@ -170,44 +175,59 @@ def _verified(similarity: float):
         flat, at = values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()
         sets = [flat[at[i]:at[i + 1]] for i in range(len(node))]
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        if not len(left) or not len(right):
-            return pa.table({"node": pa.array([], pa.int64()), "to": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        links = linked([sets[i] for i in left], [sets[i] for i in right], similarity)
-        if low == high:
-            np.fill_diagonal(links, False)
-        out_node, out_to, out_n = [], [], []
-        # The first link of each class keeps connected what one block's links connect only together with the links of
-        # those it leads to; so walk: every class points to the first one reached in its part of this block's links.
-        n_left = len(left)
-        if low == high:
-            grid = links
-            names = node[left]
-        else:
-            grid = np.zeros((n_left + len(right),) * 2, bool)
-            grid[:n_left, n_left:] = links
-            grid[n_left:, :n_left] = links.T
-            names = np.concatenate([node[left], node[right]])
-        degree = grid.sum(1)
-        seen = np.zeros(len(names), bool)
-        for i in range(len(names)):
-            if seen[i] or not degree[i]:
-                continue
-            part = np.zeros(len(names), bool)
-            part[i], front = True, np.array([i])
-            while len(front):
-                reach = grid[front].any(0) & ~part
-                part |= reach
-                front = np.flatnonzero(reach)
-            seen |= part
-            members = np.flatnonzero(part)
-            out_node.append(names[members])
-            out_to.append(np.full(len(members), names[members].min()))
-            out_n.append(degree[members])
-        cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64)
-        return pa.table({"node": cat(out_node), "to": cat(out_to), "n": cat(out_n)})
+        out: list[tuple] = []
+        if len(left) and len(right):
+            links = linked([sets[i] for i in left], [sets[i] for i in right], similarity)
+            if low == high:
+                np.fill_diagonal(links, False)
+                grid, names = links, node[left]
+            else:
+                n = len(left)
+                grid = np.zeros((n + len(right),) * 2, bool)
+                grid[:n, n:], grid[n:, :n] = links, links.T
+                names = np.concatenate([node[left], node[right]])
+            degree, root = grid.sum(1), names.copy()
+            seen = degree == 0
+            for i in range(len(names)):
+                if seen[i]:
+                    continue
+                part, front = np.zeros(len(names), bool), np.array([i])
+                part[i] = True
+                while len(front):
+                    reach = grid[front].any(0) & ~part
+                    part |= reach
+                    front = np.flatnonzero(reach)
+                seen |= part
+                root[part] = names[part].min()
+            for b, own in ((low, slice(0, len(left))), (high, slice(len(left), None))) if low != high else ((low, slice(None)),):
+                has = degree[own] > 0
+                if has.any():
+                    out.append((clump, b, names[own][has], root[own][has], degree[own][has]))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        lists = [pa.array(c, pa.list_(pa.int64())) for c in cols[2:]]
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *lists], names=["clump", "block", "node", "to", "n"])
     return work
 
 
+def _tallied(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """All rows of a block -> (node, to, n): its classes once, with all their links, and a link for each part they are in."""
+    node, to, n = (np.concatenate([np.asarray(x.as_py(), np.int64) for x in table[c]]) for c in ("node", "to", "n"))
+    names, at = np.unique(np.concatenate([node, to]), return_inverse=True)
+    a, b = at[:len(node)], at[len(node):]
+    root = np.arange(len(names))
+    while True:  # the smallest name of what hangs together
+        small = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, small)
+        np.minimum.at(new, b, small)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    links = np.bincount(a, n, minlength=len(names)).astype(np.int64)
+    return pa.table({"node": names, "to": names[root], "n": links})
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
                  n: int = WORDS, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, copy_id, n_grams, n_links, keep), one row per row of ``docs``.
@@ -235,27 +255,29 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _joined(docs, id_col, text_col, similarity, n, recall, rows, block) -> DataFrame:
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("t"))
+    text = docs[text_col]
+    texts = docs.select(docs[id_col].cast("long").alias("id"), text.alias("t"), F.xxhash64(text).alias("text_hash"))
     made = texts.mapInArrow(_signed(similarity, recall, n, rows),
-                            "id long, set_a long, set_b long, n_grams long, bands array<long>")
+                            "id long, text_hash long, set_a long, set_b long, n_grams long, bands array<long>")
     signed = stored(made, "signed")
     members = signed.select("id", "set_a", "set_b", "n_grams")
     # A class is named by its smallest doc_id in results; inside, by one half of its set's hash.
-    classes = signed.groupBy("set_a", "set_b").agg(F.min("id").alias("copy_id"), F.first("n_grams").alias("n_grams"),
-                                                   F.first("bands").alias("bands"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))  # ids first, then none
+    classes = (signed.groupBy("set_a", "set_b").agg(first.alias("first"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+               .withColumn("copy_id", F.col("first.id")).withColumn("text_hash", F.col("first.text_hash")).drop("first"))
     node = F.col("set_a").bitwiseXOR(F.shiftleft("set_b", 1))
     classes = stored(classes.withColumn("node", node), "classes")
     in_bands = classes.select("node", F.posexplode("bands").alias("band", "key"))
     hubs = in_bands.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     near = in_bands.join(hubs, ["band", "key"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     clumps = components(near)
-    found_in = clumps.join(classes.select("node", "copy_id", "set_a", "set_b", "n_grams"), "node")
+    found_in = clumps.join(classes.select("node", "copy_id", "text_hash", "set_a", "set_b", "n_grams"), "node")
     sizes = found_in.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_grams") / BLOCK_GRAMS))
                                          .cast("int").alias("blocks"))
     placed = found_in.join(sizes, "root").select("node", F.col("root").alias("clump"), "blocks", "set_a", "set_b",
-                                                 F.col("copy_id").alias("id"))
-    # One text per class: rows of one doc_id with other n-grams are told apart by the set after the join.
-    one = (placed.join(texts, placed["id"].eqNullSafe(texts["id"]))
+                                                 F.col("copy_id").alias("id"), F.col("text_hash").alias("h"))
+    # One text per class, by doc_id and hash of the text, so rows without an id, or with one id, do not meet in pairs.
+    one = (placed.join(texts, placed["id"].eqNullSafe(texts["id"]) & (placed["h"] == texts["text_hash"]))
            .select("node", "clump", "blocks", "set_a", "set_b", "t"))
     sets = one.mapInArrow(_sets(n), "node long, clump long, blocks int, grams array<long>")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -263,7 +285,8 @@ def _joined(docs, id_col, text_col, similarity, n, recall, rows, block) -> DataF
     dealt = (sets.withColumn("block", own).withColumn("other", other)
              .select("clump", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
                      "node", "block", "grams"))
-    found = stored(dealt.groupBy("clump", "low", "high").applyInArrow(_verified(similarity), "node long, to long, n long"), "found")
+    parts = dealt.groupBy("clump", "low", "high").applyInArrow(_verified(similarity), _PART)
+    found = stored(parts.groupBy("clump", "block").applyInArrow(_tallied, "node long, to long, n long"), "found")
     roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     counts = found.groupBy("node").agg(F.sum("n").alias("n_links"))
     named = (classes.select("node", "set_a", "set_b", "copy_id").join(roots, "node", "left").join(counts, "node", "left")

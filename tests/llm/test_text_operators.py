@@ -8,7 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tabloom.llm import exact, jaccard, licenses, recompress, repeats, sketches, words as X
+from tabloom.llm import exact, jaccard, licenses, recompress, repeats, scoring, sketches, words as X
+from tabloom.llm.components import components
+
+from .conftest import words
 
 
 def blanks(text):
@@ -202,3 +205,107 @@ def test_a_group_over_many_ranges_keeps_one(spark):
     assert len({r["range_no"] for r in runs if r["group_size"] == 300}) > 1
     assert [r["id"] for r in runs if r["kept"] and r["group_size"] > 1] == [0]
     assert {r["keep_id"] for r in runs if r["id"] < 300} == {0}
+
+
+def _near_copies(members, distinct_words=90):
+    """Texts of one clump: every two differ in a word or two, so nearly all pairs are links."""
+    rng = random.Random(5)
+    base = words(rng, distinct_words, 10**6)
+    out = []
+    for i in range(members):
+        x = list(base)
+        x[rng.randrange(len(x))] = f"n{i}"
+        out.append((i, " ".join(x)))
+    return out
+
+
+def test_links_of_near_copies_grow_with_the_members(spark, monkeypatch):
+    """Both lists of links that components are worked out from."""
+    rows_of = {}
+    for members in (100, 400):
+        counts = []
+        whole = jaccard.components
+
+        def counted(links, counts=counts, whole=whole):
+            links = links.where("a <> b").distinct()
+            counts.append(links.count())
+            return whole(links)
+        monkeypatch.setattr(jaccard, "components", counted)
+        frame = spark.createDataFrame(_near_copies(members), "doc_id long, text string")
+        got = jaccard.jaccard_join(frame, block=16).collect()
+        monkeypatch.setattr(jaccard, "components", whole)
+        sets = {i: _grams(t) for i, t in _near_copies(members)}
+        links = {i: sum(len(a & b) >= 0.8 * len(a | b) for b in sets.values()) - 1 for i, a in sets.items()}
+        assert {r["doc_id"]: r["n_links"] for r in got} == links
+        rows_of[members] = counts
+    assert all(b <= 5.5 * a for a, b in zip(rows_of[100], rows_of[400], strict=True)), rows_of
+
+
+def _grams(text):
+    w = text.split()
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+
+def test_rows_without_or_with_one_id_do_not_meet_in_pairs(spark):
+    rows = [(None, t) for _, t in _near_copies(120)] + [(7, t) for _, t in _near_copies(60)]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), block=16)
+    sets = [_grams(t) for _, t in _near_copies(120)]
+    links = sorted(sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets)
+    assert sorted(r["n_links"] for r in got.where("doc_id IS NULL").collect()) == links
+    plans = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plans and "NestedLoop" not in plans
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    rng = random.Random(8)
+    names = rng.sample(range(-10**9, 10**9), 400)
+    links = [(names[i], names[i + 1]) for i in range(150)] + [(names[160], names[i]) for i in range(161, 260)]
+    links += [(names[300 + i], names[300 + (i + 1) % 40]) for i in range(40)] + [(5, 5), (names[0], names[1])]
+    links += [(10**10 + i, 10**10 + i + 1) for i in range(130)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+    for a, b in links:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    want = sorted((x, find(x)) for x in parent)
+    got = components(spark.createDataFrame(links, "a long, b long"))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_different_long_words_have_different_names(spark):
+    one = _thue_morse(4096)
+    other = one.translate(str.maketrans("ab", "ba"))
+    c = next(X.chunks(pa.array([one + " " + other + " " + one])))
+    for seed in (1, 2):
+        h = c.hashes(seed)
+        assert h[0] == h[2] != h[1]
+    assert (c.hashes(1) != c.hashes(2)).all()
+    same = [f"w{i}" for i in range(34)]
+    frame = spark.createDataFrame([(1, " ".join(same + [one])), (2, " ".join(same + [other]))], "doc_id long, text string")
+    assert [r["n_removed"] for r in repeats.remove_repeats(frame).collect()] == [0, 0]
+    assert all(r["near_next"] < 1 for r in sketches.fingerprints(frame).collect())
+    assert {r["class_id"] for r in jaccard.jaccard_join(spark.createDataFrame([(1, one), (2, other)], frame.schema)).collect()} == {1, 2}
+    pieces = [x for n in (1, 7, 8, 9, 16, 17, 2000) for x in ("q" * n, "q" * (n - 1) + "r", "r" + "q" * (n - 1))]
+    c = next(X.chunks(pa.array([" ".join(pieces), " ".join(reversed(pieces))])))
+    assert len(set(c.hashes().tolist())) == len(set(pieces))
+
+
+def test_lm_counts_of_different_long_words(spark):
+    one = _thue_morse(4096)
+    other = one.translate(str.maketrans("ab", "ba"))
+    learn = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1][:6]
+    rows = [(i, one) for i in learn] + [(i, other) for i in range(200, 203) if zlib.crc32(str(i).encode()) % 5 == 1] + [(206, other)]
+    got = {r["doc_id"]: r["n_known"] for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = {i for i, t in rows if t == other and zlib.crc32(str(i).encode()) % 5 == 1}
+    trained = {i for i, t in rows if t == other and i not in held}
+    assert all(got[i] == (2 if trained else 1) for i in held) and all(got[i] == 2 for i in learn)
