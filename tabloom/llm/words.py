@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2_000_000
-_BASE, _ROLL = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
+LANE = 8
+_BASES = {1: 0x9E3779B97F4A7C15, 2: 0xBF58476D1CE4E5B9}
+_ROLL = 0xD1342543DE82EF95
 
 
 @cache
@@ -90,10 +92,25 @@ class Chunk:
         return len(self.offsets) - 1
 
     def hashes(self, seed: int = 1) -> np.ndarray:
-        n = len(self.data)
+        """A name for every word; those of two seeds are independent.
+
+        A polynomial modulo 2**64 alone cannot tell some long words apart, whatever its base. So it only names lanes of
+        LANE bytes; lanes are mixed with their place in the word, added up, and mixed with the word's length.
+        """
+        n, base = len(self.data), _BASES[seed]
+        if not len(self.start):
+            return np.empty(0, np.uint64)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_byte_values(seed)[self.data] * powers(_BASE, n), out=total[1:])
-        return mix((total[self.end] - total[self.start]) * powers(pow(_BASE, -1, 2**64), n + 1)[self.start])
+        np.cumsum(_byte_values(seed)[self.data] * powers(base, n), out=total[1:])
+        length = self.end - self.start
+        lanes = (length + LANE - 1) // LANE
+        first = np.cumsum(lanes) - lanes
+        place = np.arange(int(lanes.sum())) - np.repeat(first, lanes)
+        start = np.repeat(self.start, lanes) + LANE * place
+        end = np.minimum(start + LANE, np.repeat(self.end, lanes))
+        lane = (total[end] - total[start]) * powers(pow(base, -1, 2**64), n + 1)[start]
+        lane = mix(lane + (place + 1).astype(np.uint64) * np.uint64(_BASES[3 - seed]))
+        return mix(np.add.reduceat(lane, first) + length.astype(np.uint64) * np.uint64(_ROLL))
 
     def owner(self, counts: np.ndarray | None = None) -> np.ndarray:
         """The text of every word (or of ``counts`` things of each text)."""
