@@ -11,7 +11,6 @@ import json
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -80,43 +79,6 @@ SIGNATURES = {
     "annual_target_spend": "annual target spend",
 }
 
-# This package's own defaults: for the words of the target labels, words that suppliers' files use in their stead.
-# Base words with their other number, and the aliases of whole targets, follow from these by the rules below.
-STAND_INS = {
-    "supplier": ["vendor", "seller", "contractor", "provider"],
-    "id": ["identifier", "code", "ref", "no"],
-    "name": ["company", "firm"],
-    "alias": ["nickname", "trading"],
-    "legal": ["registered", "official"],
-    "street": ["road", "building", "addr"],
-    "city": ["town", "locality"],
-    "state": ["province", "county"],
-    "postal": ["zip", "postcode"],
-    "country": ["nation"],
-    "phone": ["telephone", "mobile", "tel"],
-    "email": ["mail"],
-    "tax": ["vat"],
-    "payment": ["remittance", "pay"],
-    "terms": ["conditions"],
-    "method": ["mode", "instrument"],
-    "currency": ["ccy", "curr"],
-    "total": ["overall", "sum"],
-    "number": ["count", "quantity", "qty"],
-    "invoices": ["bills"],
-    "purchase orders": ["orders", "po", "pos"],
-    "paid": ["settled"],
-    "due": ["payable", "owed"],
-    "open": ["outstanding", "pending"],
-    "transaction": ["txn", "booking"],
-    "amount": ["value", "amt", "balance"],
-    "annual": ["yearly"],
-    "target": ["planned", "budget"],
-    "spend": ["spending", "outlay"],
-}
-#: At most so many words of a label are replaced in one alias.
-REPLACED = 2
-
-
 def other_number(word: str) -> list[str]:
     """Plural of a singular word and the other way round, for words of four letters or more."""
     if len(word) < 4 or word.endswith(("ss", "us")):
@@ -124,34 +86,41 @@ def other_number(word: str) -> list[str]:
     return [word[:-1]] if word.endswith("s") else [word[:-1] + "ies"] if word.endswith("y") else [word + "s"]
 
 
+def abbreviations(word: str) -> list[str]:
+    """Short forms of a word of five letters or more: its first four letters, and its letters without the inner vowels."""
+    if len(word) < 5:
+        return []
+    skeleton = word[0] + "".join(b for a, b in zip(word, word[1:], strict=False) if b not in "aeiou" and b != a)
+    return [s for s in (word[:4], skeleton) if len(s) >= 3 and s != word]
+
+
+def word_forms(words: list[str]) -> dict[str, list[str]]:
+    """For each word its other number and short forms; a form that is a word itself, or of two words, stands for none."""
+    every = {w: list(dict.fromkeys(f for n in [w, *other_number(w)] for f in [n, *abbreviations(n)])) for w in words}
+    times = Counter(f for forms in every.values() for f in forms)
+    return {w: [f for f in forms if f != w and f not in every and times[f] == 1] for w, forms in every.items()}
+
+
 def default_synonyms() -> dict[str, list[str]]:
-    """Base -> stand-ins and other numbers; a phrase that is a base itself stays one."""
-    out = {}
-    for base, words in STAND_INS.items():
-        every = [x for w in [base, *words] for x in [w, *other_number(w)]]
-        out[base] = [w for w in dict.fromkeys(every) if w != base and w not in STAND_INS]
-    return out
+    """Forms of the words of the signatures. Words that mean the same come from outside, through ``load_lexicon``."""
+    found = word_forms(list(dict.fromkeys(w for words in SIGNATURES.values() for w in words.split())))
+    return {word: forms for word, forms in found.items() if forms}
 
 
 def default_aliases() -> dict[str, list[str]]:
-    """For each target its label, with up to REPLACED of its words replaced; "total number of x" is "x count" as well, and
-    a word that only one label has stands for its target alone."""
+    """For each target its label, its signature, both without blanks and with short forms, and the words no other label has."""
     out = {}
     in_labels = Counter(w for _, label, _, _ in TARGETS for w in set(label.lower().split()))
-    borrowed = {w for words in STAND_INS.values() for w in words}
+    forms = word_forms(list(dict.fromkeys(w for _, label, _, _ in TARGETS for w in label.lower().split() if w not in STOP_WORDS)))
     for target, label, _, _ in TARGETS:
-        text = " ".join(w for w in label.lower().split() if w not in STOP_WORDS)
-        parts = text.replace("purchase orders", "purchase_orders").replace("payments", "payment").split()
-        parts = [p.replace("_", " ") for p in parts]
-        phrases = [text]
-        for words in product(*[[w, *STAND_INS.get(w, [])] for w in parts]):
-            changed = sum(w != p for w, p in zip(words, parts, strict=True))
-            if changed <= REPLACED:
-                phrases.append(" ".join(words))
-                if parts[0] == "total":
-                    phrases.append(" ".join([*words[2:], words[1]]))
-        own = [p for p in parts if in_labels[p] == 1 and p not in borrowed]
-        phrases += [w for p in own for w in [p, *STAND_INS.get(p, [])]]
+        words = [w for w in label.lower().split() if w not in STOP_WORDS]
+        phrases = [" ".join(words), SIGNATURES[target]]
+        if words[0] == "total":  # what is measured, then the measure
+            phrases.append(" ".join([*words[2:], words[1]]))
+        for k, word in enumerate(words):
+            phrases += [" ".join([*words[:k], form, *words[k + 1:]]) for form in forms[word]]
+        phrases += [p.replace(" ", "") for p in phrases[:2]]
+        phrases += [f for w in words if in_labels[w] == 1 for f in [w, *other_number(w)]]
         out[target.replace("_", " ")] = list(dict.fromkeys([label.lower(), *phrases]))
     return out
 
