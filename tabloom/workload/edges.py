@@ -294,24 +294,24 @@ def _():
 
 # --- streams ---
 
-def _event_batches(spark, d, parts):
-    """Events of users as grid files, dealt over ``parts`` arrivals by user; each is one parquet folder, moved in in turn."""
-    grid = event_grid(spark, d).select("file_id", "row_idx", "cells")  # whole files; detection samples by itself
-    path = scratch_dir(spark, "arriving")
+def _event_arrivals(spark, d, rounds, typed_rows=False, batch_size=1000):
+    """Events of users as grid files over three arrivals: in round k come the users ``rounds(k)``; whole files, dealt by name."""
+    grid = event_grid(spark, d).select("file_id", "row_idx", "cells")  # detection samples by itself
     number = F.substring("file_id", 2, 9).cast("long")
-    for k in range(parts):
-        grid.where(number % parts == k).repartition(1).write.parquet(f"{path}/part{k}")
-    return path
+    out, path = scratch_dir(spark, "arrivals"), scratch_dir(spark, "arriving")
+    for k in range(3):
+        grid.where(rounds(k, number)).repartition("file_id").write.parquet(f"{path}/part{k}")
+        A.run_arrivals(A.grid_stream(spark, f"{path}/part*"), out, f"{out}-checkpoint", lexicon(), available_now=True,
+                       typed_rows=typed_rows, batch_size=batch_size).awaitTermination()
+    return out
 
 
 @query("stream_rows")
 def _(spark, d):
-    out = scratch_dir(spark, "arrivals")
-    path = _event_batches(spark, d, 2)
-    stream = A.grid_stream(spark, f"{path}/part*", max_files=1)
-    A.run_arrivals(stream, out, f"{out}-checkpoint", lexicon(), available_now=True, batch_size=5).awaitTermination()
-    found = spark.read.parquet(f"{out}/detected").select("file_id", F.col("header_row_index").cast("long").alias("header_row_index"), "state")
-    rows = spark.read.parquet(f"{out}/rows").groupBy("file_id").agg(F.count("*").alias("n"), F.max("batch_no").alias("last_batch"))
+    """Typed rows of whole files, a third of the users in each arrival."""
+    out = _event_arrivals(spark, d, lambda k, number: number % 3 == k, True, 5)
+    found = A.committed(spark, out, "detected").select("file_id", F.col("header_row_index").cast("long").alias("header_row_index"), "state")
+    rows = A.committed(spark, out, "rows").groupBy("file_id").agg(F.count("*").alias("n"), F.max("batch_no").alias("last_batch"))
     return found.join(rows, "file_id", "left").select("file_id", "header_row_index", "state", F.coalesce("n", F.lit(0)).alias("n_rows"),
                                                       F.coalesce("last_batch", F.lit(-1)).alias("last_batch"))
 
@@ -321,28 +321,41 @@ def _():
     c = Q.Ctes()
     Q.detected(c, Q.event_grid(c), lexicon())
     return c.sql("""SELECT d.file_id, d.header_row_index, d.state, count(g.row_idx) AS n_rows, coalesce(max(g.row_idx // 5), -1) AS last_batch
-      FROM detected d LEFT JOIN t_sample g ON g.file_id = d.file_id AND d.state = 'confident' AND g.row_idx > d.header_row_index GROUP BY ALL""")
+      FROM detected d LEFT JOIN event_grid g ON g.file_id = d.file_id AND d.state = 'confident' AND g.row_idx > d.header_row_index GROUP BY ALL""")
 
 
 @query("stream_skip_known")
 def _(spark, d):
-    """Every file arrives twice; the second time its name is known."""
-    out = scratch_dir(spark, "arrivals")
-    path = _event_batches(spark, d, 1)
-    stream = A.grid_stream(spark, f"{path}/part*", max_files=1)
-    A.run_arrivals(stream, out, f"{out}-checkpoint", lexicon(), available_now=True, typed_rows=False).awaitTermination()
-    spark.read.parquet(f"{path}/part0").repartition(1).write.parquet(f"{path}/part1")
-    again = A.grid_stream(spark, f"{path}/part*", max_files=1)
-    A.run_arrivals(again, out, f"{out}-checkpoint", lexicon(), available_now=True, typed_rows=False).awaitTermination()
-    late = spark.read.parquet(f"{out}/late").groupBy("file_id").agg(F.sum("rows").alias("late_rows"))
-    return spark.read.parquet(f"{out}/detected").groupBy("file_id").agg(F.count("*").alias("times")).join(late, "file_id", "left")
+    """All users come at first, every second one again, every third one once more: known names, whose rows are kept as late."""
+    out = _event_arrivals(spark, d, lambda k, number: number % (k + 1) == 0)
+    late = A.committed(spark, out, "late").groupBy("file_id").agg(F.count("*").alias("late_rows"), F.sum("row_idx").alias("late_places"))
+    return (A.committed(spark, out, "detected").groupBy("file_id").agg(F.count("*").alias("times")).join(late, "file_id", "left")
+            .select("file_id", "times", F.coalesce("late_rows", F.lit(0)).alias("late_rows"), F.coalesce("late_places", F.lit(0)).alias("late_places")))
 
 
 @oracle("stream_skip_known")
 def _():
     c = Q.Ctes()
     Q.event_grid(c)
-    return c.sql("SELECT file_id, 1::BIGINT AS times, count(*) AS late_rows FROM event_grid WHERE row_idx < 200 GROUP BY file_id")
+    return c.sql("""SELECT file_id, 1::BIGINT AS times, k * count(*) AS late_rows, (k * sum(row_idx))::BIGINT AS late_places FROM (
+      SELECT *, CASE WHEN u % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN u % 3 = 0 THEN 1 ELSE 0 END AS k FROM (
+        SELECT *, substr(file_id, 2)::BIGINT AS u FROM event_grid)) GROUP BY file_id, k""")
+
+
+@query("stream_status_batches")
+def _(spark, d):
+    """Orders arrive in twenty parts; merges and changes since the last one together give the newest status."""
+    out, path = scratch_dir(spark, "status"), scratch_dir(spark, "arriving")
+    orders = I.table(spark, d, "orders").select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("file_id"), F.col("o_orderstatus").alias("status"),
+        F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"))
+    orders.repartitionByRange(20, F.hash("seq")).write.parquet(path)
+    history = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    A.run_latest_status(history, out, f"{out}-checkpoint", available_now=True).awaitTermination()
+    return A.current_status(spark, out)
+
+
+SQL["stream_status_batches"] = lambda: SQL["stream_status"]()
 
 
 @query("stream_errors")
@@ -357,7 +370,7 @@ def _(spark, d):
     good.unionByName(bad).write.parquet(f"{path}/part0")
     A.run_arrivals(A.grid_stream(spark, f"{path}/part*"), out, f"{out}-checkpoint", lexicon(), available_now=True,
                    typed_rows=False).awaitTermination()
-    return spark.read.parquet(f"{out}/detected").select("file_id", F.coalesce("error", F.lit("")).alias("error"))
+    return A.committed(spark, out, "detected").select("file_id", F.coalesce("error", F.lit("")).alias("error"))
 
 
 @oracle("stream_errors")

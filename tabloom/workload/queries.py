@@ -1399,10 +1399,11 @@ def _():
 def _(spark, d):
     schema = I.table(spark, d, "events").schema
     out = scratch_dir(spark, "arrivals")
-    stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
+    stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").withColumn(
+        "file_id", F.concat(F.lit("u"), F.col("user_id").cast("string")))
     A.run_arrivals(stream, out, f"{out}-checkpoint", lexicon(), to_grid=lambda batch: G.head_rows(I.event_lines(batch)),
                    available_now=True, typed_rows=False).awaitTermination()
-    return comparable(spark.read.parquet(f"{out}/detected").select(*DETECTED))
+    return comparable(A.committed(spark, out, "detected").select(*DETECTED))
 
 
 SQL["stream_detect"] = lambda: SQL["detect_events"]()
