@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, functions as F
 
@@ -88,12 +90,25 @@ def clamp(score: Column) -> Column:
 
 # --- header hygiene ---
 
+@cache
+def accents() -> tuple[str, str]:
+    """Letters that are a base letter with combining marks, of every script, and their base letters, position by position.
+
+    The table follows from the canonical decompositions that Python's Unicode data has.
+    """
+    marked, plain = [], []
+    for code in range(0xA0, 0x30000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and all(unicodedata.combining(p) for p in parts[1:]) and parts[0].isalpha():
+            marked.append(chr(code))
+            plain.append(parts[0])
+    return "".join(marked), "".join(plain)
+
+
 def fold_accents(text: Column) -> Column:
-    """Plain letters for accented Latin ones, other combining marks dropped."""
-    # Letter pairs, position by position.
-    marked = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-    return F.regexp_replace(F.translate(text, marked, plain), "[\u0300-\u036f]", "")
+    """Base letters for letters with marks, in every script; combining marks that stand alone are dropped."""
+    marked, plain = accents()
+    return F.regexp_replace(F.translate(text, marked, plain), "\\p{Mn}", "")
 
 
 def readability(cells: Column) -> Column:

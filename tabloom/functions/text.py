@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..lexicon import UNKNOWN_WEIGHT, Lexicon
-from .cells import WHITE_SPACE, bind, clean
+from .cells import WHITE_SPACE, bind, clean, fold_accents
 
 MIN_SLICE = 3
 FUZZY_BAR = 0.7
@@ -214,8 +214,8 @@ def summed_scores(listed: Column, lexicon: Lexicon) -> Column:
 # --- the lexical matcher's normal forms ---
 
 def cleanse(text: Column) -> Column:
-    """Trimmed, lower-cased, punctuation dropped, white space runs turned into ``_``."""
-    kept = F.regexp_replace(F.lower(clean(text)), f"[^a-z0-9_{WHITE_SPACE}]", "")
+    """Trimmed, lower-cased, accents folded, punctuation dropped, white space runs turned into ``_``."""
+    kept = F.regexp_replace(fold_accents(F.lower(clean(text))), f"[^a-z0-9_{WHITE_SPACE}]", "")
     return F.regexp_replace(kept, f"[{WHITE_SPACE}]+", "_")
 
 

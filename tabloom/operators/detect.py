@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.cells import confidence_state, header_names, row_keys, row_types
+from ..functions.cells import confidence_state, header_names, readability, row_keys, row_types
 from ..lexicon import Lexicon
 from .keywords import leading_keyword_columns, vertical_columns
 from .structure import SAMPLE_ROWS, head_sample, score_breakdown, score_rows
@@ -50,7 +50,8 @@ def detect_headers(grid: DataFrame, aliases: Lexicon | DataFrame, sample_rows: i
 
     Three layers: structural score of every sampled row, keyword ratio of the winner, and, only when the first is at
     least 50 and the second below 50, the first-column check for pivoted sheets. A file without a usable row gets
-    index -1 and no names. ``carry`` names grid columns (such as ``line_no``) to keep for the winning row.
+    index -1 and no names. ``readability`` says whether the header row can be read: ``blocking`` where there is none or
+    all its cells are blank, ``recoverable`` where some hold unreadable characters. ``carry`` names grid columns (such as ``line_no``) to keep for the winning row.
     """
     files = (best_rows(_scored(grid, sample_rows, carry), carry)
              .select("file_id", "first_column", "best.*")
@@ -70,6 +71,7 @@ def detect_headers(grid: DataFrame, aliases: Lexicon | DataFrame, sample_rows: i
         F.when(doubtful, F.col("vertical_score")).alias("vertical_keyword_score"),
         F.when(doubtful, F.col("vertical_pivot")).otherwise(F.lit(False)).alias("is_pivoted"),
         F.when(F.col("usable"), score_breakdown()).alias("breakdown"),
+        readability(F.col("cells")).alias("readability"),
         *carry,
     ).withColumn("state", confidence_state(F.col("confidence"), F.col("is_pivoted")))
 

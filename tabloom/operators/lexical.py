@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as X
-from .common import computed_here, stored
+from .common import computed_here, salted_lookup, stored
 
 
 def alias_keys(aliases: DataFrame) -> DataFrame:
@@ -25,23 +25,65 @@ def exact_matches(sources: DataFrame, aliases: DataFrame) -> DataFrame:
     return distinct.join(first, "cleansed").select("source", "target_id")
 
 
-def trigram_matches(sources: DataFrame, aliases: DataFrame) -> DataFrame:
+#: Similarities at which headers are looked for in turn; a header found at one is not looked for at the next.
+BARS = (0.5, 0.2, 0.0)
+
+
+def rare_first(rows: DataFrame, keys: list[str], frequency: DataFrame) -> DataFrame:
+    """The ``grams`` of each row in order of their frequency among the aliases, rarest first (then by text)."""
+    grams = rows.select(*keys, F.explode("grams").alias("gram"))
+    counted = salted_lookup(grams, frequency, "gram", F.xxhash64(*keys))
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")))
+    return counted.groupBy(*keys).agg(order.alias("o")).select(*keys, F.col("o.gram").alias("grams"))
+
+
+def gram_candidates(sources: DataFrame, aliases: DataFrame, bar: float) -> DataFrame:
+    """(source, key_pos, alias_pos) of all pairs whose trigrams can reach the similarity ``bar``.
+
+    Two sets of sizes a and b that reach it share ``bar`` times the larger at least, so one of the rarest
+    a - ceil(bar * a) + 1 trigrams of the one is among those of the other, and the sizes differ by ``bar`` at most. The
+    rarest one they share leaves as many as come after it in both. Common trigrams are last in every set, so they are
+    joined on only where nothing rarer is left.
+    """
+    def rarest(rows: DataFrame, size: str, *names: str) -> DataFrame:
+        n = F.size("grams")
+        most = n - F.ceil(n * bar - 1e-9).cast("int") + F.lit(1 if bar > 0 else 0)
+        return rows.select(*names, n.alias(size), F.posexplode(F.slice("grams", F.lit(1), most)).alias(f"at_{size}", "gram"))
+
+    met = rarest(sources, "a", "source").join(rarest(aliases, "b", "key_pos", "alias_pos"), "gram")
+    left = F.least(F.col("a") - F.col("at_a"), F.col("b") - F.col("at_b"))
+    near = ((F.col("b") >= F.col("a") * bar - 1e-9) & (F.col("a") >= F.col("b") * bar - 1e-9)
+            & (left >= (F.col("a") + F.col("b")) * (bar / (1 + bar)) - 1e-9))
+    return met.where(near).select("source", "key_pos", "alias_pos").distinct()
+
+
+def trigram_matches(sources: DataFrame, aliases: DataFrame, bars: tuple[float, ...] = BARS) -> DataFrame:
     """(source, target_id, alias, similarity): the alias sharing most trigrams; dictionary order breaks ties.
 
-    Overlaps are counted per (header, alias) through shared trigrams. Rows stay hash-partitioned by header from the
-    ``distinct`` on, so both groupings run without another shuffle.
+    The best alias at or above a bar is the best of all, so most headers are done at the first one; headers whose best
+    is below the last of ``bars`` have no row.
     """
     named = alias_keys(aliases).withColumn("grams", X.trigrams(F.col("cleansed")))
-    postings = named.select("key_pos", "alias_pos", F.size("grams").alias("alias_grams"), F.explode("grams").alias("gram"))
+    frequency = named.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    known = stored(rare_first(named, ["key_pos", "alias_pos"], frequency), "alias-grams")
     distinct = computed_here(sources.select("source").distinct(), "grams", X.trigrams(X.cleanse(F.col("source"))))
-    grams = distinct.select("source", F.size("grams").alias("source_grams"), F.explode("grams").alias("gram"))
-    # Only numbers are aggregated; the names of the best alias come in last.
-    shared = grams.join(postings, "gram").groupBy("source", "key_pos", "alias_pos", "source_grams", "alias_grams").agg(
-        F.count(F.lit(1)).alias("shared"))
-    scored = shared.withColumn("similarity", F.col("shared") / (F.col("source_grams") + F.col("alias_grams") - F.col("shared")))
-    best = F.max(F.struct("similarity", (-F.col("key_pos")).alias("k"), (-F.col("alias_pos")).alias("a"))).alias("b")
-    picked = scored.groupBy("source").agg(best).select(
-        "source", "b.similarity", (-F.col("b.k")).alias("key_pos"), (-F.col("b.a")).alias("alias_pos"))
+    rest = stored(rare_first(distinct, ["source"], frequency), "header-grams")
+    parts = []
+    for bar in bars:
+        pairs = gram_candidates(rest, known, bar).join(rest, "source").join(
+            known.withColumnRenamed("grams", "own"), ["key_pos", "alias_pos"])
+        shared = F.size(F.array_intersect("grams", "own"))
+        scored = (pairs.withColumn("shared", shared)
+                  .withColumn("similarity", F.col("shared") / (F.size("grams") + F.size("own") - F.col("shared")))
+                  .where((F.col("shared") > 0) & (F.col("similarity") >= bar)))
+        best = F.max(F.struct("similarity", (-F.col("key_pos")).alias("k"), (-F.col("alias_pos")).alias("a"))).alias("b")
+        found = stored(scored.groupBy("source").agg(best), "trigram-best")
+        parts.append(found)
+        rest = rest.join(found.select("source"), "source", "left_anti")
+    picked = parts[0]
+    for part in parts[1:]:
+        picked = picked.unionByName(part)
+    picked = picked.select("source", "b.similarity", (-F.col("b.k")).alias("key_pos"), (-F.col("b.a")).alias("alias_pos"))
     return picked.join(named.select("key_pos", "alias_pos", "target_id", "alias"), ["key_pos", "alias_pos"]).select(
         "source", "target_id", "alias", "similarity")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import text as X
 from ..functions.cells import bind
 from ..lexicon import Lexicon
-from .common import computed_here, salted_lookup, stored
+from .common import computed_here, range_rank, salted_lookup
 
 AMBIGUITY_GAP = 0.05
 GRAMMAR_BONUS = 0.10
@@ -81,17 +81,10 @@ def pair_rows(headers: DataFrame, scored: DataFrame, lexicon: Lexicon) -> DataFr
 def pair_ranks(pairs: DataFrame) -> DataFrame:
     """Rank of each pair in its file: score down, then source position, then signature order.
 
-    The rank is the number of pairs with a higher score (running counts over the distinct scores of the file) plus the
-    place among equal scores, so a file with very many headers is not sorted in one task. The scored pairs are written
-    once, as counts and places both read them.
+    Ranges of (file, score, position) are ranked in tasks of their own, so neither a file with very many headers nor one
+    with very many equal scores is sorted in one task.
     """
-    pairs = stored(pairs, "pairs")
-    higher = W.partitionBy("file_id").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)
-    levels = (pairs.groupBy("file_id", "score").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_before", F.coalesce(F.sum("_n").over(higher), F.lit(0))).drop("_n"))
-    equal = W.partitionBy("file_id", "score").orderBy("src_pos", "sig_pos")
-    ranked = pairs.withColumn("_place", F.row_number().over(equal)).join(levels, ["file_id", "score"])
-    return ranked.withColumn("rank", F.col("_before") + F.col("_place")).drop("_before", "_place")
+    return range_rank(pairs, ["file_id"], [F.desc("score"), F.asc("src_pos"), F.asc("sig_pos")], "rank")
 
 
 def mark_ambiguous(joined: DataFrame, threshold: float) -> DataFrame:

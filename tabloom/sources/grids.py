@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.cells import bind
@@ -9,21 +15,14 @@ from ..operators.common import computed_here, dense_index
 from ..operators.structure import SAMPLE_ROWS
 from .ledger import MAX_BYTES, reject_reason
 
-# Delimiters a file may use, most usual first, as regular expressions.
-DELIMITERS = [",", "\\t", "\\|", ";"]
+# Delimiters a file may use, most usual first.
+DELIMITERS = [",", "\t", "|", ";"]
 GUESS_LINES = 10
+#: Rows handed on at once.
+ROWS = 4096
 _QUOTED = '"(?:[^"]++|"")*+"'
 
 
-def _cell(delimiter: Column) -> Column:
-    """A cell: quoted text (and what follows it up to the delimiter), else anything up to the delimiter.
-
-    Possessive quantifiers keep the matcher from recursing or stepping back, whatever the length of a record.
-    """
-    plain = F.concat(F.lit("[^"), delimiter, F.lit("\\r\\n]*+"))
-    return F.concat(F.lit(f"(?:{_QUOTED}"), plain, F.lit("|"), plain, F.lit(")"))
-
-
 def guess_delimiter(text: Column) -> Column:
     """The delimiter that cuts the first lines into the steadiest number of cells, two or more; a comma if none does.
 
@@ -32,7 +31,7 @@ def guess_delimiter(text: Column) -> Column:
     lines = F.slice(F.filter(F.split(F.regexp_replace(text, "(?m)(^|[,;|\\t])" + _QUOTED, "$1"), "\\r\\n|\\n|\\r"), lambda x: F.trim(x) != ""), 1, GUESS_LINES)
 
     def judged(lines: Column, at: int) -> Column:
-        counts = F.transform(lines, lambda x: F.size(F.split(x, DELIMITERS[at])))
+        counts = F.transform(lines, lambda x: F.size(F.split(x, f"[{DELIMITERS[at]}]")))
         steps = F.aggregate(counts, F.struct(F.get(counts, F.lit(0)).alias("last"), F.lit(0).alias("sum")), lambda s, n: F.struct(
             n.alias("last"), (s["sum"] + F.abs(n - s["last"])).alias("sum")))["sum"]
         average = F.aggregate(counts, F.lit(0), lambda s, n: s + n) / F.greatest(F.size(counts), F.lit(1))
@@ -55,37 +54,44 @@ def _files(spark: SparkSession, path: str, max_bytes: int, extensions: list[str]
     return good.unionByName(bad)
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file_id, error, text, delimiter) -> (file_id, error, row_idx, cells): the rows of a file, or one with what is wrong."""
+    csv.field_size_limit(sys.maxsize)
+    for batch in batches:
+        for file_id, error, text, delimiter in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = []
+            if error is None:
+                # a row that stands alone at the end stays so unless a quoted cell is still open there
+                end = "end of file"
+                rows = [r for r in csv.reader(io.StringIO(f"{text}\n{end}\n", newline=""), delimiter=delimiter) if r]
+                error = "a quoted cell does not end" if rows.pop() != [end] else None if rows else "no rows"
+            if error is not None:
+                rows = [None]
+            n = len(rows)
+            for at in range(0, n, ROWS):
+                part = rows[at:at + ROWS]
+                cells = [None if r is None else [c or None for c in r] for r in part]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file_id] * len(part)), pa.array([error] * len(part), pa.string()), pa.array(range(at, at + len(part)), pa.int64()),
+                     pa.array(cells, pa.list_(pa.string()))], names=["file_id", "error", "row_idx", "cells"])
+
+
 def _records(files: DataFrame) -> DataFrame:
-    """Adds ``records``, an array of cell arrays, and ``error`` for texts that cannot be cut."""
-    named = computed_here(files, "_d", guess_delimiter(F.col("text")))
-    cell = _cell(F.col("_d"))
-    lines = F.filter(F.regexp_extract_all("text", F.concat(cell, F.lit("(?:"), F.col("_d"), cell, F.lit(")*+")), F.lit(0)), lambda r: r != "")
-    sign = F.when(F.col("_d") == "\\t", "\t").when(F.col("_d") == "\\|", "|").otherwise(F.col("_d"))
-
-    def cells(record: Column) -> Column:
-        found = F.regexp_extract_all(F.concat(F.col("_sign"), record), F.concat(F.col("_d"), F.lit("("), cell, F.lit(")")), F.lit(1))
-        return F.transform(found, lambda c: F.nullif(F.when(c.rlike(f"^{_QUOTED}"), F.replace(F.concat(
-            F.regexp_extract(c, '^"((?:[^"]++|"")*+)"', 1), F.regexp_extract(c, f"^{_QUOTED}(.*)$", 1)), F.lit('""'), F.lit('"'))).otherwise(c), F.lit("")))
-
-    cut = computed_here(named.withColumn("_sign", sign), "_lines", lines)
-    open_quote = F.exists("_lines", lambda r: F.regexp_replace(F.concat(F.col("_sign"), r), F.concat(F.col("_d"), F.lit(_QUOTED)), "").rlike(
-        '(^|[,;|\t])"[^"]*$'))
-    error = (F.when(F.col("_rejected").isNotNull(), F.col("_rejected")).when(F.size("_lines") == 0, "no rows")
-             .when(open_quote, "a quoted cell does not end"))
-    judged = computed_here(cut.withColumnRenamed("error", "_rejected"), "error", error)
-    return judged.withColumn("records", F.when(F.col("error").isNull(), F.transform("_lines", cells))).select("file_id", "error", "records")
+    """(file_id, error, row_idx, cells) of all files."""
+    named = computed_here(files, "delimiter", guess_delimiter(F.col("text")))
+    return named.mapInArrow(_cut, "file_id string, error string, row_idx long, cells array<string>")
 
 
 def read_csv_grids(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, extensions: list[str] | None = None) -> DataFrame:
     """Header-less CSV files as (file_id, line_no, row_idx, cells); the delimiter is guessed for each file.
 
-    Only admitted files are read, each whole by one task, which the admission limit ``max_bytes`` keeps small; cells are
-    cut by expressions, any number a row. Rows are numbered as they are cut, so nothing is shuffled. Empty lines are
-    dropped, lines of delimiters alone are kept. Files that cannot be read give no rows here but one in ``read_errors``.
+    Only admitted files are read, each whole by one task, which the admission limit ``max_bytes`` keeps small. The
+    reader of Python's library cuts them (a CSV scan with one schema would pad short rows, so where a row ends would be
+    lost). Rows are numbered as they are cut, so nothing is shuffled. Empty lines are dropped, lines of delimiters alone
+    are kept. Files that cannot be read give no rows here but one in ``read_errors``.
     """
     cut = _records(_files(spark, path, max_bytes, extensions)).where("error IS NULL")
-    rows = cut.select("file_id", F.posexplode("records").alias("at", "cells"))
-    return rows.select("file_id", F.col("at").cast("long").alias("line_no"), F.col("at").cast("long").alias("row_idx"), "cells")
+    return cut.select("file_id", F.col("row_idx").alias("line_no"), "row_idx", "cells")
 
 
 def read_errors(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, extensions: list[str] | None = None) -> DataFrame:

@@ -118,8 +118,9 @@ def run_arrivals(stream: DataFrame, out: str, checkpoint: str, lexicon: Lexicon,
         spread = F.xxhash64(*[c for c in rows.columns if c != "arrival"])
         late = salted_lookup(came, new, "_name", spread, "left_anti").drop("_name")
         late.write.mode("overwrite").parquet(f"{out}/late/batch_id={batch_id}")
-        fresh = salted_lookup(came, new, "_name", spread, "left_semi").select(*stream.columns)
-        handle_batch(to_grid(fresh), batch_id, out, lexicon, **options)
+        if not new.isEmpty():  # batches without new names come, also from moves of the watermark
+            fresh = salted_lookup(came, new, "_name", spread, "left_semi").select(*stream.columns)
+            handle_batch(to_grid(fresh), batch_id, out, lexicon, **options)
         new.agg(F.count("*").alias("files")).write.mode("overwrite").parquet(f"{out}/commits/batch_id={batch_id}")
 
     writer = both.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(handle)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import contextual as O
+from ..operators import detect as D
+from ..operators import lexical as L
 from ..operators import reshape as R
 from ..plans import mapping as P
 from ..session import scratch_dir
@@ -13,8 +15,8 @@ from ..sources import sinks as S
 from ..streaming import arrivals as A
 from . import inputs as I
 from . import sql as Q
-from .queries import (cast_sql, event_grid, joined, lexicon, oracle, query, reject_list_sql, reshape_ctes,
-                      statement_detected, statement_grid, statement_reshape)
+from .queries import (SQL, alias_ctes, cast_sql, cleanse_sql, event_grid, joined, lexicon, oracle, query, reject_list_sql,
+                      reshape_ctes, statement_detected, statement_grid, statement_reshape, trigram_ctes)
 
 DELIMITERS = [",", "\t", "|", ";"]
 WIDE = 640
@@ -292,6 +294,66 @@ def _():
       array_to_string(list_filter({missing}, lambda x: x IS NOT NULL), ',') AS missing FROM wide""")
 
 
+# --- accented and damaged headers ---
+
+ACCENTED = ["Téléphone", "Paÿs ", "Country", "Währung", "Číslo", "Ταχύς", "Tax ID", "Émail Addréss", "Cu\ufffdrency", "\u0301Cíty State"]
+
+
+def accented_headers(spark, d):
+    names = F.get(F.array(*map(F.lit, ACCENTED)), (F.col("s_suppkey") % len(ACCENTED)).cast("int"))
+    return I.table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("file_id"), "s_suppkey", names.alias("source"))
+
+
+def accented_aliases(spark):
+    """The default aliases, and some as people in other countries write them."""
+    own = lexicon().alias_table(spark)
+    more = [(1000 + k, key, 0, alias) for k, (key, alias) in enumerate([("phone number", "telephone"), ("country", "pays"), ("currency", "währung"),
+                                                                        ("supplier id", "cislo"), ("country", "ταχυς")])]
+    return own.unionByName(spark.createDataFrame(more, own.schema))
+
+
+@query("accented_alias_match")
+def _(spark, d):
+    """Headers with accents meet aliases with and without them."""
+    return (L.alias_match(accented_headers(spark, d), accented_aliases(spark)).select("source", "target_id", "method", F.round("score", 6).alias("score")))
+
+
+@oracle("accented_alias_match")
+def _():
+    c = alias_ctes()
+    more = ", ".join(f"({1000 + k}, '{key}', 0, '{alias}')" for k, (key, alias) in enumerate([
+        ("phone_number", "telephone"), ("country", "pays"), ("currency", "währung"), ("supplier_id", "cislo"), ("country", "ταχυς")]))
+    names = ", ".join(f"'{x}'" for x in ACCENTED)
+    c.add("every", f"SELECT key_pos, target_id, alias_pos, alias FROM alias UNION ALL SELECT * FROM (VALUES {more}) v(key_pos, target_id, alias_pos, alias)")
+    c.add("src2", f"SELECT DISTINCT ([{names}])[s_suppkey % {len(ACCENTED)} + 1] AS source FROM supplier")
+    c.add("first2", f"SELECT {cleanse_sql('alias')} AS cleansed, arg_min(target_id, key_pos) AS target_id FROM every GROUP BY ALL")
+    c.add("exact", f"SELECT source, target_id FROM src2 JOIN first2 ON cleansed = {cleanse_sql('source')}")
+    c.add("rest", "SELECT source FROM src2 WHERE source NOT IN (SELECT source FROM exact)")
+    trigram_ctes(c, "rest", "every")
+    return c.sql("""SELECT source, target_id, 'exact' AS method, 1.0::DOUBLE AS score FROM exact
+      UNION ALL SELECT r.source, CASE WHEN similarity >= 0.5 THEN t.target_id END, CASE WHEN similarity >= 0.5 THEN 'trigram' ELSE 'none' END,
+      round(coalesce(similarity, 0.0), 6) FROM rest r LEFT JOIN trigram t ON t.source = r.source""")
+
+
+@query("header_readability")
+def _(spark, d):
+    """Detections of files whose header row is whole, damaged or missing."""
+    top = accented_headers(spark, d).withColumn("second", F.when(F.col("s_suppkey") % 3 == 0, F.lit("ID\x02")).otherwise("ID"))
+    lines = [F.struct(F.lit(0).cast("long").alias("row_idx"), F.array("source", "second").alias("cells"))] + [
+        F.struct(F.lit(k).cast("long").alias("row_idx"), F.array(F.lit(f"x{k}"), F.lit(str(k))).alias("cells")) for k in (1, 2, 3)]
+    whole = top.where("s_suppkey % 7 <> 0").select("file_id", F.explode(F.array(*lines)).alias("r")).select("file_id", "r.*")
+    alone = top.where("s_suppkey % 7 = 0").select("file_id", F.lit(0).cast("long").alias("row_idx"), F.array("source").alias("cells"))
+    return D.detect_headers(whole.unionByName(alone), lexicon()).select("file_id", F.col("header_row_index").cast("long").alias("header_row_index"),
+                                                                       "readability")
+
+
+@oracle("header_readability")
+def _():
+    damaged = " OR ".join([f"s_suppkey % {len(ACCENTED)} = {k}" for k, x in enumerate(ACCENTED) if "\ufffd" in x] + ["s_suppkey % 3 = 0"])
+    return f"""SELECT 's' || s_suppkey AS file_id, CASE WHEN s_suppkey % 7 = 0 THEN -1 ELSE 0 END::BIGINT AS header_row_index,
+      CASE WHEN s_suppkey % 7 = 0 THEN 'blocking' WHEN {damaged} THEN 'recoverable' ELSE 'ok' END AS readability FROM supplier"""
+
+
 # --- streams ---
 
 def _event_arrivals(spark, d, rounds, typed_rows=False, batch_size=1000):

@@ -577,12 +577,9 @@ def _(spark, d):
 def _():
     c = Q.Ctes()
     Q.chat_grid(c)
-    marked = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-    plain_letters = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
     return c.sql(f"""SELECT file_id, row_idx, CASE WHEN len(list_filter(cells, lambda x: coalesce({Q.trim('x')}, '') <> '')) = 0 THEN 'blocking'
       WHEN len(list_filter(cells, lambda x: regexp_matches(x, '[\\x{{FFFD}}\\x00-\\x08\\x0e-\\x1f\\x7f]'))) > 0 THEN 'recoverable'
-      ELSE 'ok' END AS state, regexp_replace(translate(array_to_string(cells, ','), '{marked}', '{plain_letters}'),
-      '[\\x{{0300}}-\\x{{036f}}]', '', 'g') AS folded FROM chat_grid""")
+      ELSE 'ok' END AS state, {folded_sql("array_to_string(cells, ',')")} AS folded FROM chat_grid""")
 
 
 # --- header text ---
@@ -867,8 +864,13 @@ def alias_ctes():
     return c
 
 
+def folded_sql(v):
+    marked, plain = C.accents()
+    return f"regexp_replace(translate({v}, '{marked}', '{plain}'), '\\p{{Mn}}', '', 'g')"
+
+
 def cleanse_sql(v):
-    return (f"regexp_replace(regexp_replace(lower({Q.trim(v)}), '[^a-z0-9_{C.WHITE_SPACE}]', '', 'g'), "
+    return (f"regexp_replace(regexp_replace({folded_sql(f'lower({Q.trim(v)})')}, '[^a-z0-9_{C.WHITE_SPACE}]', '', 'g'), "
             f"'[{C.WHITE_SPACE}]+', '_', 'g')")
 
 
@@ -879,11 +881,11 @@ def exact_ctes():
     return c
 
 
-def trigram_ctes(c, sources):
+def trigram_ctes(c, sources, aliases="alias"):
     def grams(v):
         return f"list_distinct(list_transform(generate_series(1, len({v}) + 2), lambda i: substr('  ' || {v} || '  ', i, 3)))"
     c.add("sg", f"SELECT source, {grams('z')} AS g FROM (SELECT source, {cleanse_sql('source')} AS z FROM {sources})")
-    c.add("ag", f"SELECT key_pos, target_id, alias_pos, alias, {grams('z')} AS g FROM (SELECT *, {cleanse_sql('alias')} AS z FROM alias)")
+    c.add("ag", f"SELECT key_pos, target_id, alias_pos, alias, {grams('z')} AS g FROM (SELECT *, {cleanse_sql('alias')} AS z FROM {aliases})")
     c.add("trigram", """SELECT source, target_id, alias, s AS similarity FROM (SELECT source, target_id, alias, key_pos, alias_pos,
         len(list_intersect(x.g, y.g)) AS both_n, both_n::DOUBLE / (len(x.g) + len(y.g) - both_n) AS s FROM sg x, ag y)
       WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY s DESC, key_pos, alias_pos) = 1""")

@@ -117,3 +117,53 @@ def test_published_header_sets(spark):
     headers = unpivot_headers(spark.read.option("header", True).csv(f"{folder}/sets.csv"))
     for mode, count in (("standard", 385), ("deep", 458)):
         assert map_headers(headers, lexicon, 0.4, mode).where(F.size("sources") > 0).count() == count
+
+
+def test_rank_of_one_file_with_equal_scores(spark):
+    """One file, one score: ranges share the rows, and ranks are what a sort gives."""
+    from tabloom.operators.common import range_rank
+    pairs = spark.range(60_000).select(F.lit("f").alias("file_id"), (F.col("id") * 7919 % 60_000).alias("src_pos"), F.lit(1).alias("sig_pos"),
+                                       F.lit(0.5).alias("score"))
+    got = range_rank(pairs, ["file_id"], [F.desc("score"), F.asc("src_pos"), F.asc("sig_pos")], "rank", 16)
+    assert got.where("rank <> src_pos + 1").count() == 0 and got.count() == 60_000
+    dealt = pairs.repartitionByRange(16, "file_id", F.desc("score"), "src_pos", "sig_pos").groupBy(F.spark_partition_id()).count()
+    assert dealt.agg(F.max("count")).first()[0] < 60_000 / 8
+
+
+def test_few_pairs_meet_in_the_trigram_match(spark):
+    from tabloom.functions import text as X
+    from tabloom.operators import lexical as L
+    import random
+    rng = random.Random(4)
+    part = ["".join(rng.choice("aeioustrnlmdc") for _ in range(6)) for _ in range(80)] + ["total"] * 40
+    names = [" ".join(rng.sample(part, 3)) + f" {i:03d}" for i in range(300)]
+    aliases = spark.createDataFrame([(i, f"t{i}", 0, n) for i, n in enumerate(names)], "key_pos int, target_key string, alias_pos int, alias string")
+    sources = spark.createDataFrame([(n[1:] + "x",) for n in names[:150]] + [("zzzz",), ("qqq",), ("",)], "source string")
+
+    def grams(text):
+        return {f"  {text}  "[i:i + 3] for i in range(len(text) + 2)}
+    sets = {s: grams(s.replace(" ", "_")) for (s,) in map(tuple, sources.collect())}
+    own = [grams(n.replace(" ", "_")) for n in names]
+    want = {}
+    for s, g in sets.items():
+        best = max(((len(g & o) / len(g | o), -i) for i, o in enumerate(own)), default=(0, 0))
+        if best[0] > 0:
+            want[s] = (names[-best[1]], round(best[0], 9))
+    got = {r.source: (r.alias, round(r.similarity, 9)) for r in L.trigram_matches(sources, aliases).collect()}
+    assert got == want
+    known = L.alias_keys(aliases).withColumn("grams", X.trigrams(F.col("cleansed")))
+    frequency = known.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    asked = sources.withColumn("grams", X.trigrams(X.cleanse(F.col("source"))))
+    pairs = L.gram_candidates(L.rare_first(asked, ["source"], frequency), L.rare_first(known, ["key_pos", "alias_pos"], frequency), 0.5)
+    n = pairs.count()
+    reach = {(s, i) for s, g in sets.items() for i, o in enumerate(own) if len(g & o) >= 0.5 * len(g | o)}
+    assert reach <= {(r.source, r.key_pos) for r in pairs.collect()}
+    all_pairs = sum(bool(g & o) for g in sets.values() for o in own)
+    assert n < 0.1 * all_pairs, (n, all_pairs)
+
+
+def test_accents_of_all_scripts(spark):
+    from tabloom.functions import text as X
+    names = {" Téléphone ": "telephone", "Ñandú №1": "nandu_1", "ŽLUŤOUČKÝ": "zlutoucky", "éa": "ea", "plain Name": "plain_name", "Ǻ": "a"}
+    rows = spark.createDataFrame([(n,) for n in names], "s string").select("s", X.cleanse(F.col("s")).alias("c")).collect()
+    assert {r.s: r.c for r in rows} == names
