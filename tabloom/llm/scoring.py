@@ -3,8 +3,8 @@
 Training texts are those whose crc32(doc_id) mod 5 is not 1. The base needs the count of every word over all of them.
 Texts are dealt to owners (as in ``repeats``); an owner sends each of its distinct words once, with its own count, to
 the bucket of the word's hash, and gets the total counts back in the same order. A frequent word thus meets its bucket
-once from each owner, whatever the number of its places. Buckets also answer how many words and tokens they hold, so
-each owner knows the totals. The attention model's class shares come from the subword counts of all training texts, and
+once from each owner, whatever the number of its places. How many words and tokens all buckets hold is one sum more. The
+attention model's class shares come from the subword counts of all training texts, and
 its weights are learned from all of them: each task learns from every text it reads, long ones in windows, and the
 weights are averaged, each row by how many places it served, so an id that few tasks meet still counts. There are
 ROUNDS rounds, each over its part of the texts by hash, each beginning with the mean of the one before; together they
@@ -170,9 +170,10 @@ def _send(buckets: int):
             counts += np.bincount(np.searchsorted(keys, h), weight[c.row:c.row + c.texts][c.owner()], minlength=len(keys))
         counts[np.searchsorted(keys, _END_WORD)] += weight.sum()
         counts, at = counts.astype(np.int64), _edges(keys, buckets)
-        return pa.table({"bucket": pa.array(range(buckets), pa.int32()), "owner": pa.array([owner] * buckets, pa.int32()),
-                         "keys": pa.array([keys[at[b]:at[b + 1]].tobytes() for b in range(buckets)], pa.binary()),
-                         "counts": pa.array([counts[at[b]:at[b + 1]].tobytes() for b in range(buckets)], pa.binary())})
+        used = np.flatnonzero(np.diff(at)).tolist()  # rows follow the words sent, not owners times buckets
+        return pa.table({"bucket": pa.array(used, pa.int32()), "owner": pa.array([owner] * len(used), pa.int32()),
+                         "keys": pa.array([keys[at[b]:at[b + 1]].tobytes() for b in used], pa.binary()),
+                         "counts": pa.array([counts[at[b]:at[b + 1]].tobytes() for b in used], pa.binary())})
     return work
 
 
@@ -188,13 +189,20 @@ def _total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     np.add.at(total, number, counts)
     back = np.split(total[number], np.cumsum([len(k) for k in keys])[:-1])
     n = table.num_rows
+    first = [1] + [0] * (n - 1)  # the bucket's own numbers stand in one of its rows
     return pa.table({"owner": table["owner"], "bucket": pa.array([key[0].as_py()] * n, pa.int32()),
                      "counts": pa.array([x.tobytes() for x in back], pa.binary()),
-                     "kinds": pa.array([int((total > 0).sum())] * n, pa.int64()),
-                     "tokens": pa.array([int(total.sum())] * n, pa.int64())})
+                     "kinds": pa.array([int((total > 0).sum()) * f for f in first], pa.int64()),
+                     "tokens": pa.array([int(total.sum()) * f for f in first], pa.int64())})
 
 
-def _base(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
+def _base(tokens: int, kinds: int):
+    def work(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
+        return _scored(table, said, tokens, kinds)
+    return work
+
+
+def _scored(table: pa.Table, said: pa.Table, tokens: int, kinds: int) -> pa.Table:
     names = ["k1", "k2", "n_tokens", "n_known", "train_tokens", "base_score"]
     rows: list[list] = [[] for _ in names]
     if table.num_rows:
@@ -203,7 +211,6 @@ def _base(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Tab
         keys, own = _kinds(parts)
         said = said.sort_by("bucket")
         counts = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in said["counts"]])
-        tokens, kinds = sum(said["tokens"].to_pylist()), sum(said["kinds"].to_pylist())
         gain = np.log10(counts + 0.5) - math.log10(tokens + 0.5 * (kinds + 1))
         end = int(np.searchsorted(keys, _END_WORD))
         for c, h in zip(parts, own, strict=True):
@@ -231,7 +238,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = rows.select("k1", "k2", "t").mapInArrow(_first_copies, "k1 long, k2 long, t string").withColumn("owner", owner)
     times = encoded.groupBy("k1", "k2").agg(F.sum((~F.col("held_out")).cast("long")).alias("n")).withColumn("owner", owner)
     sent = texts.groupBy("owner").cogroup(times.groupBy("owner")).applyInArrow(_send(buckets), _SENT)
-    said = sent.groupBy("bucket").applyInArrow(_total, _SAID)
+    said = stored(sent.groupBy("bucket").applyInArrow(_total, _SAID), "word-counts")
+    tokens, kinds = said.agg(F.sum("tokens"), F.sum("kinds")).first()
     base = texts.groupBy("owner").cogroup(said.groupBy("owner")).applyInArrow(
-        _base, "k1 long, k2 long, n_tokens long, n_known long, train_tokens long, base_score double")
+        _base(tokens or 0, kinds or 0), "k1 long, k2 long, n_tokens long, n_known long, train_tokens long, base_score double")
     return modelled.join(base, ["k1", "k2"]).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
