@@ -37,5 +37,5 @@ def test_stages(spark, tmp_path):
 
 
 def test_every_operator_has_its_query():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert os.path.basename(corpus_pipeline.__file__) == "corpus_pipeline.py"
