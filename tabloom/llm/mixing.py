@@ -2,20 +2,25 @@
 
 A classifier trained on labelled documents (naive Bayes over hashed words, its evidence limited to EVIDENCE words so
 that mixed texts stay mixed) gives each document a posterior over domains. With t tokens and posterior p, a document
-used at rate r adds r * t * p to the domain totals. Of all rates >= ``least`` for which the totals meet the targets,
-those nearest to 1 (in squares, weighted by t) are max(least, 1 + p . w) for K weights w, so rates are never stored. The
-weights are where a convex function of K numbers is least. Its steps are Newton's, with the K x K moments of the rows
-whose rate is not held at ``least``, so they do not depend on the rarest domain; a step that goes too far is damped. A
-round is one aggregation over a narrow table (tokens, posterior), from which some K * K numbers come back.
-
-Rounds go on until each domain's gap, relative to its target, is below CLOSE. Where that cannot be had, as no mix of the
-texts' posteriors has the target shares, a warning gives the gaps that stay, ``Mix.gaps`` has them, and rates are those
-where the squares of gaps and (ROUNDS times less) of moved rates are least. Domains without labelled rows have no target, as nothing is known of them: a warning names
-them, and the others have their shares among themselves. A domain that is rare in ``docs`` has high rates.
-
-Unless a total is given, it is the least at which no domain need be thinned. If also no rate may be below 1, the total
-is free: texts that stand between domains may need a larger one, and mixing repeats documents rather than dropping
-any. ``applied`` takes a rate of 2.3 as two copies and a third for the share 0.3 of documents whose hash says so.
+used at rate r adds r * t * p to the domain totals. Rates >= ``least`` are fitted by projected gradient steps on the
+squares of what the totals miss, each over its target: from rates of 1, each round adds p . v to a rate and lifts it to
+``least`` where it fell below. The K numbers v are the misses, scaled by the inverse of the K x K moments of the rows (sum
+of t * p * p), so a step does not depend on the rarest domain. Rows held at ``least`` do not move, so the moments of the
+others are tried first, then those of all rows, then the plain gradient over the greatest moment, with which the squares
+cannot rise; the first for which they fall is taken. A rate is thus a function of the posterior and of K numbers a round, and is never stored; where no rate is held, the rates are those nearest to 1 (in
+squares, weighted by t) that meet the targets. A round is one aggregation over a narrow table (tokens, posterior), from
+which some K * K numbers come back.
+
+Rounds go on until each domain's miss, relative to its target, is below CLOSE. Where the squares fall by less than
+STALLED a round (or after ROUNDS), steps end: the targets are out of the posteriors' reach, or nearly so. The rates of
+the best round are used, which need not be the nearest of all; a warning gives the gaps that stay, and the result has
+them too. Domains without labelled rows have no target, as nothing is known of them: a
+warning names them, and the others have their shares among themselves. A domain that is rare in ``docs`` has high rates.
+
+Unless a total is given, it is the least at which no domain need be thinned. If also no rate may be below 1, only the
+first round has that total and then it follows the rates, as texts that stand between domains may need a larger one;
+where the shares are not met so, the rates are those for the least total. ``applied`` takes a rate of 2.3 as two copies
+and a third for the share 0.3 of documents whose hash says so.
 
 Null texts count as empty: no tokens, posterior is the prior. Repeated rows each have a rate. Labelled rows with a
 null domain teach nothing. Empty tables give no rows.
@@ -39,7 +44,7 @@ TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 SAMPLE = 8000
 CELLS = 1 << 14
 EVIDENCE = 20.0
-ROUNDS, CLOSE = 40, 1e-3
+ROUNDS, CLOSE, STALLED = 40, 1e-3, 0.01
 
 
 @dataclass
@@ -128,78 +133,88 @@ class Mix:
     """Rates as a function of the posterior, and how well the totals meet the targets (-1: nothing known of a domain)."""
 
     least: float
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    steps: list[np.ndarray] = field(default_factory=list)
     gaps: np.ndarray | None = None
     rounds: int = 0
 
-    def move(self) -> Column:
-        return sum((F.col("posterior")[k] * F.lit(float(w)) for k, w in enumerate(self.weights)), F.lit(0.0))
-
     def rate(self) -> Column:
-        return F.greatest(F.lit(float(self.least)), 1 + self.move())
+        least, rate = F.lit(float(self.least)), F.lit(float(max(self.least, 1)))
+        for step in self.steps:
+            rate = F.greatest(least, rate + sum((F.col("posterior")[k] * F.lit(float(v)) for k, v in enumerate(step)), F.lit(0.0)))
+        return rate
 
 
-def _look(narrow: DataFrame, mix: Mix, k: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Totals of the domains at ``mix``, their derivatives by its weights, and what the totals are the derivatives of."""
-    low = mix.least - 1
-    t, u, p = F.col("tokens"), F.col("u"), [F.col("posterior")[i] for i in range(k)]
-    free = F.when(u >= low, t).otherwise(0)
-    row = narrow.withColumn("u", mix.move()).withColumn("r", F.greatest(F.lit(float(mix.least)), 1 + u)).agg(
+def _look(narrow: DataFrame, mix: Mix, k: int, held: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Totals of the domains at ``mix``, and the moments of the rows (``held``: of those whose rate is above the least)."""
+    t, p = F.col("tokens"), [F.col("posterior")[i] for i in range(k)]
+    moves = F.when(F.col("r") > F.lit(float(mix.least)), t).otherwise(0) if held else t
+    row = narrow.withColumn("r", mix.rate()).agg(
         *[F.sum(F.col("r") * t * p[i]).alias(f"s{i}") for i in range(k)],
-        *[F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i + 1)],
-        F.sum(t * F.when(u >= low, u + u * u / 2).otherwise(mix.least * u - low * low / 2)).alias("value")).first()
+        *[F.sum(moves * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i + 1)]).first()
     moment = [[row[f"m{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
-    return np.array([row[f"s{i}"] or 0.0 for i in range(k)]), np.array(moment), row["value"] or 0.0
-
-
-def _newton(narrow: DataFrame, least: float, share: np.ndarray, whole: float, use: np.ndarray, free: bool, soft: float = 0.0) -> tuple[Mix, bool]:
-    """Damped Newton steps from rates of 1, and whether they ended; a ``free`` total follows the rates, ``soft`` holds weights down."""
-    k, n, scale, damp = len(use), int(use.sum()), share * whole, 1e-6
-    mix = Mix(least, np.zeros(k), np.full(k, -1.0))
-    have, moment, value = _look(narrow, mix, k)
-    matrix = np.zeros((n + 1, n + 1))
-    # At a free total the weights stay where share . w is 0.
-    matrix[:n, n] = matrix[n, :n] = scale if free else 0.0
-    matrix[n, n] = 0.0 if free else 1.0
-    while True:
-        goal = share * (have[use].sum() if free else whole)
-        mix.gaps[use] = have[use] / goal - 1
-        slope = goal - have[use] - soft * scale * mix.weights[use]
-        if np.abs(slope / goal).max() < CLOSE:
-            return mix, True
-        while True:
-            if mix.rounds >= ROUNDS:
-                return mix, False
-            matrix[:n, :n] = moment[np.ix_(use, use)] + np.diag((damp + soft) * scale)
-            step = np.zeros(k)
-            step[use] = np.linalg.solve(matrix, np.append(slope, 0.0))[:n]
-            mix.rounds += 1
-            new = Mix(least, mix.weights + step, mix.gaps.copy(), mix.rounds)
-            found = _look(narrow, new, k)
-            held = soft / 2 * (scale @ (new.weights[use] ** 2 - mix.weights[use] ** 2))
-            if value - found[2] - held + (0.0 if free else step[use] @ goal) >= 1e-4 * (step[use] @ slope):
+    return np.array([row[f"s{i}"] or 0.0 for i in range(k)]), np.array(moment)
+
+
+def _descend(narrow: DataFrame, mix: Mix, every: np.ndarray, share: np.ndarray, whole: float, use: np.ndarray,
+             free: bool, most: int = ROUNDS) -> tuple[Mix, bool]:
+    """Rounds that go on from ``mix``, and whether the targets were met; ``every``: moments of all rows, a ``free`` total follows the rates."""
+    have, moving = _look(narrow, mix, len(use))
+    # Misses are counted in square roots of their targets; at a free total only the shares can miss.
+    view = (np.eye(len(share)) - (share[:, None] if free else 0.0)) / np.sqrt(share * whole)[:, None]
+
+    def scaled(moment: np.ndarray) -> np.ndarray:
+        return np.linalg.pinv(view @ moment[np.ix_(use, use)] @ view.T, rcond=1e-9, hermitian=True)
+
+    def misses(totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Gaps, what is missed, and its squares."""
+        gaps, goal = np.full(len(use), -1.0), share * (totals[use].sum() if free else whole)
+        gaps[use] = totals[use] / goal - 1
+        miss = -view @ totals[use] + (0.0 if free else np.sqrt(share * whole))
+        return gaps, miss, float(miss @ miss)
+
+    plain = np.eye(len(share)) / np.linalg.eigvalsh(view @ every[np.ix_(use, use)] @ view.T).max()
+    mix, last = Mix(mix.least, mix.steps, rounds=mix.rounds), mix.rounds + most
+    mix.gaps, miss, squares = misses(have)
+    while np.abs(mix.gaps[use]).max() >= CLOSE:
+        if mix.rounds >= last:
+            return mix, False
+        before = squares
+        for matrix, part in [(scaled(moving), 1.0), (scaled(moving), 0.25)] * bool(mix.steps) + [(scaled(every), 1.0), (plain, 1.0)]:
+            step = np.zeros(len(use))
+            step[use] = part * (view.T @ (matrix @ miss))
+            new = Mix(mix.least, [*mix.steps, step], rounds=mix.rounds + 1)
+            have, others = _look(narrow, new, len(use))
+            new.gaps, missed, squares = misses(have)
+            if squares < before * (1 - STALLED):
                 break
-            damp *= 10
-        mix, (have, moment, value), damp = new, found, max(damp / 10, 1e-9)
+        else:
+            return (new if squares < before else mix), False
+        mix, miss, moving = new, missed, others
+    return mix, True
 
 
 def fit(narrow: DataFrame, targets: list[float], least: float = 0.0, total: float | None = None,
         known: np.ndarray | None = None) -> Mix:
-    """``narrow`` has (tokens, posterior) and is read once a round; without ``known`` all domains are."""
+    """``narrow`` has (tokens, posterior) and is read once or a few times a round; without ``known`` all domains are."""
     k = len(targets)
     use = np.ones(k, bool) if known is None else known
-    have = _look(narrow, Mix(least, np.zeros(k)), k)[0]
+    mix = Mix(least)
+    have, every = _look(narrow, mix, k, held=False)
     if not have.sum():
-        return Mix(least)
+        return mix
     if not use.any():
-        return Mix(least, np.zeros(k), np.full(k, -1.0))
+        return Mix(least, gaps=np.full(k, -1.0))
     share = np.array(targets)[use] / np.array(targets)[use].sum()
     whole = total if total is not None else (have[use] / share).max()
-    mix, met = _newton(narrow, least, share, whole, use, total is None and least >= 1)
+    met = False
+    if total is None and least >= 1:
+        begun, met = _descend(narrow, mix, every, share, whole, use, False, 1)
+        found, met = (begun, True) if met else _descend(narrow, begun, every, share, whole, use, True)
+    if not met:
+        found, met = _descend(narrow, mix, every, share, whole, use, False)
     if not met:
-        mix, _ = _newton(narrow, least, share, whole, use, False, 1 / ROUNDS)
-        warnings.warn(f"targets not met, gaps relative to them: {[round(float(g), 4) for g in mix.gaps]}", stacklevel=2)
-    return mix
+        warnings.warn(f"targets not met, gaps relative to them: {[round(float(g), 4) for g in found.gaps]}", stacklevel=2)
+    return found
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -219,11 +234,12 @@ def _fitted(docs, labels, id_col, text_col, domain_col, targets, least) -> tuple
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id",
           text_col: str = "text", domain_col: str = "lang", least: float = 0.0) -> DataFrame:
-    """(doc_id, tokens, p_<domain>..., rate, copies), one row per row of ``docs``."""
+    """(doc_id, tokens, p_<domain>..., rate, copies, gap_<domain>...), one row per row of ``docs``; gaps are of the whole mix."""
     scored, mix = _fitted(docs.select(id_col, text_col, domain_col), labels, id_col, text_col, domain_col, targets, least)
     rows = scored.select(F.col("x0").cast("long").alias("doc_id"), "tokens", "posterior").withColumn("rate", mix.rate())
     return rows.select("doc_id", "tokens", *[F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(targets)], "rate",
-                       copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+                       copies(F.col("rate"), F.col("doc_id")).alias("copies"),
+                       *[F.lit(None if mix.gaps is None else float(mix.gaps[k])).cast("double").alias(f"gap_{d}") for k, d in enumerate(targets)])
 
 
 def applied(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id",

@@ -112,6 +112,60 @@ def test_mix_that_thins_and_the_applied_one(spoken):
     assert mixing.mixed(frame.limit(0), labels).count() == 0 and mixing.applied(frame.limit(0), labels).count() == 0
 
 
+def mixing_table(spark, seed, n=300, sharp=3.0, weights=(0.95, 0.03, 0.015, 0.005)):
+    rng = np.random.default_rng(seed)
+    logits = np.log(np.array(weights)) + rng.gumbel(size=(n, len(weights)))
+    p = np.exp(sharp * logits)
+    p /= p.sum(1, keepdims=True)
+    t = rng.integers(0, 400, n)
+    frame = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "tokens long, posterior array<double>")
+    return frame.repartition(3), t.astype(float), p
+
+
+def rates_of(frame, mix):
+    return {(r["tokens"], tuple(r["posterior"])): r["r"] for r in frame.withColumn("r", mix.rate()).collect()}
+
+
+def test_rates_equal_the_dense_solution_where_none_is_held(spark):
+    frame, t, p = mixing_table(spark, 4, weights=(0.4, 0.3, 0.2, 0.1))
+    targets, total = np.array([0.35, 0.3, 0.22, 0.13]), 1.1 * t.sum()
+    mix = mixing.fit(frame, list(targets), 0.0, total)
+    # the least change, weighted by tokens, that meets the totals: a dense least squares over all rates
+    root = np.sqrt(t)
+    change = np.linalg.lstsq(p.T * root, targets * total - t @ p, rcond=None)[0]
+    dense = 1 + np.divide(change, root, out=np.zeros_like(change), where=root > 0)
+    assert dense.min() > 0
+    got = rates_of(frame, mix)
+    assert all(abs(got[(int(a), tuple(b))] - d) < 1e-3 for a, b, d in zip(t, p.tolist(), dense, strict=True) if a)
+
+
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_rare_domains_are_met_and_rates_not_below_the_least(spark, least):
+    frame, t, p = mixing_table(spark, 1, n=2000)
+    targets = np.array(list(mixing.TARGETS.values()))
+    mix = mixing.fit(frame, list(targets), least)
+    assert np.abs(mix.gaps).max() < mixing.CLOSE and mix.rounds < mixing.ROUNDS
+    found = rates_of(frame, mix)
+    rates = np.array([found[(int(a), tuple(b))] for a, b in zip(t, p.tolist(), strict=True)])
+    have = (rates * t) @ p
+    assert rates.min() >= least and np.abs(have / have.sum() / targets - 1).max() < 2 * mixing.CLOSE
+
+
+def test_targets_out_of_reach_give_a_warning_true_gaps_and_smaller_squares(spark):
+    frame, t, p = mixing_table(spark, 3, n=200, sharp=0.2, weights=(0.4, 0.3, 0.2, 0.1))  # no text is far from the middle
+    goal = np.array([0.7, 0.1, 0.1, 0.1]) * t.sum()
+    with pytest.warns(UserWarning, match="targets not met"):
+        mix = mixing.fit(frame, [0.7, 0.1, 0.1, 0.1], 0.0, t.sum())
+    found = rates_of(frame, mix)
+    have = (np.array([found[(int(a), tuple(b))] for a, b in zip(t, p.tolist(), strict=True)]) * t) @ p
+    assert np.allclose(have / goal - 1, mix.gaps) and mix.rounds <= mixing.ROUNDS and min(found.values()) >= 0
+    squares = lambda have: ((goal - have) ** 2 / goal).sum()
+    rate, plain = np.ones(len(t)), 1 / np.linalg.eigvalsh((p.T * t) @ p / np.sqrt(np.outer(goal, goal))).max()
+    for _ in range(20_000):  # the same least squares over all rates at once
+        rate = np.maximum(0, rate + plain * (p @ ((goal - (rate * t) @ p) / goal)))
+    assert squares((rate * t) @ p) <= squares(have) * (1 + 1e-9) and squares(have) < squares(t @ p)
+
+
 def plain_best(at, cost, window):
     best = [0.0] + [math.inf] * (len(at) - 1)
     for j in range(1, len(at)):
