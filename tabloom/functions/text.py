@@ -6,6 +6,8 @@ The lexicon is configuration and becomes literals: ``isin`` turns into a hash-se
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from ..lexicon import UNKNOWN_WEIGHT, Lexicon
@@ -95,15 +97,15 @@ def deep_move(word: Column, at: Column, lexicon: Lexicon) -> Column:
                     f["score"] >= FUZZY_BAR, F.struct(f["taken"].alias("taken"), f["token"].alias("token"))))))
 
 
-def deep_segments(word: Column, lexicon: Lexicon) -> Column:
-    """Segment a run-together word; moves are worked out only at offsets the walk visits."""
+def segment_walk(word: Column, move: Callable[[Column], Column]) -> Column:
+    """Segment a run-together word by the moves (taken, token) at the offsets the walk visits."""
     start = F.struct(F.lit(0).alias("next"), F.lit("").alias("unknown"), F.array().cast("array<string>").alias("out"))
 
     def flushed(s: Column) -> Column:
         return F.when(s["unknown"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["unknown"])))
 
     def step(s: Column, at: Column) -> Column:
-        moved = bind(deep_move(word, at, lexicon), lambda m: F.when(m.isNull(), F.struct(
+        moved = bind(move(at), lambda m: F.when(m.isNull(), F.struct(
             (at + 1).alias("next"), F.concat(s["unknown"], F.substring(word, at + 1, F.lit(1))).alias("unknown"),
             s["out"].alias("out"))).otherwise(F.struct(
                 (at + m["taken"]).alias("next"), F.lit("").alias("unknown"),
@@ -113,6 +115,11 @@ def deep_segments(word: Column, lexicon: Lexicon) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(word) - 1), start, step, flushed)
 
 
+def deep_segments(word: Column, lexicon: Lexicon) -> Column:
+    """Segment a run-together word with the words of the lexicon."""
+    return segment_walk(word, lambda at: deep_move(word, at, lexicon))
+
+
 def lemmas(tokens: Column, lexicon: Lexicon) -> Column:
     """Left to right, the longest run of 3, 2 or 1 tokens that is a synonym becomes its base token's words."""
     phrases = lexicon.synonyms

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import text as X
 from ..functions.cells import bind
 from ..lexicon import Lexicon
+from . import vocabulary as V
 from .common import computed_here, range_rank, salted_lookup
 
 AMBIGUITY_GAP = 0.05
@@ -28,31 +29,37 @@ def segment_words(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     return computed_here(words.select("word"), "segments", X.deep_segments(F.col("word"), lexicon))
 
 
-def deep_tokens(sources: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(source, tokens) for distinct texts; every distinct word is segmented once and joined back."""
+def deep_tokens(sources: DataFrame, lexicon: Lexicon, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(source, tokens) for distinct texts; every distinct word is segmented once and joined back.
+
+    With ``vocabulary`` (word, vocab_pos) words are cut by that table in place of the lexicon's words.
+    """
     placed = sources.select("source", F.posexplode_outer(X.words(F.col("source"), camel=False)).alias("word_pos", "word"))
-    segmented = segment_words(placed.select("word").where("word is not null").distinct(), lexicon)
+    distinct = placed.select("word").where("word is not null").distinct()
+    segmented = segment_words(distinct, lexicon) if vocabulary is None else V.segment_words(distinct, vocabulary)
     found = salted_lookup(placed, segmented, "word", spread=F.col("source"))
     ordered = F.array_sort(F.collect_list(F.when(F.col("segments").isNotNull(), F.struct("word_pos", "segments"))))
     return found.groupBy("source").agg(
         F.flatten(F.transform(ordered, lambda w: w["segments"])).alias("tokens"))
 
 
-def tokenise(sources: DataFrame, lexicon: Lexicon, mode: str = "standard") -> DataFrame:
-    """(source, tokens, lemmas, kept) for distinct header texts."""
+def tokenise(sources: DataFrame, lexicon: Lexicon, mode: str = "standard", vocabulary: DataFrame | None = None) -> DataFrame:
+    """(source, tokens, lemmas, kept) for distinct header texts; a ``vocabulary`` table serves the deep mode only."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    if vocabulary is not None and mode != "deep":
+        raise ValueError("a vocabulary table needs mode deep")
     if mode == "deep":
-        cut = deep_tokens(sources, lexicon)
+        cut = deep_tokens(sources, lexicon, vocabulary)
     else:
         cut = computed_here(sources.select("source"), "tokens", X.standard_tokens(F.col("source"), lexicon))
     return (cut.withColumn("lemmas", X.lemmas(F.col("tokens"), lexicon))
             .withColumn("kept", X.without_stop_words(F.col("lemmas"), lexicon)))
 
 
-def score_sources(sources: DataFrame, lexicon: Lexicon, mode: str = "standard") -> DataFrame:
+def score_sources(sources: DataFrame, lexicon: Lexicon, mode: str = "standard", vocabulary: DataFrame | None = None) -> DataFrame:
     """(source, tokens, lemmas, kept, candidates): candidates are the (sig_pos, score) pairs above 0."""
-    tokens = tokenise(sources.select("source").distinct(), lexicon, mode)
+    tokens = tokenise(sources.select("source").distinct(), lexicon, mode, vocabulary)
     # How a token fares against the signatures is worked out once per distinct token, headers then only add up.
     names = ["tokens", "lemmas", "kept"]
     placed = tokens.select("source", *names, F.posexplode_outer("kept").alias("pos", "token"))

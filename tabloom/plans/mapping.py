@@ -19,12 +19,14 @@ APP_THRESHOLD = 0.4
 
 
 def map_headers(headers: DataFrame, lexicon: Lexicon, threshold: float = 0.5, mode: str = "standard",
-                files: DataFrame | None = None) -> DataFrame:
+                files: DataFrame | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
     """Map (file_id, src_pos, source) to the targets; ``mode`` is ``standard`` or ``deep``.
 
+    In deep mode ``vocabulary`` (word, vocab_pos) is a table of words to cut by, in place of the lexicon's.
+
     Files without any name have no rows in ``headers``; with ``files`` (file_id) they get all targets too, empty.
     """
-    mapping = assign(headers, score_sources(headers, lexicon, mode), lexicon, threshold)
+    mapping = assign(headers, score_sources(headers, lexicon, mode, vocabulary), lexicon, threshold)
     return mapping if files is None else complete_mapping(mapping, files, lexicon)
 
 

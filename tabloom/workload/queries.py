@@ -18,6 +18,8 @@ from ..operators import matching as M
 from ..operators import reshape as R
 from ..operators import review as V
 from ..operators import structure as S
+from ..operators import vocabulary as VO
+from ..operators.common import range_rank
 from ..plans import mapping as P
 from ..session import scratch_dir
 from ..sources import grids as G
@@ -646,6 +648,39 @@ def _():
     return c.sql("SELECT word, i AS \"offset\", n AS taken, token FROM moves WHERE n IS NOT NULL")
 
 
+@query("deep_moves_table")
+def _(spark, d):
+    """The same moves through the index of the vocabulary as a table."""
+    inverse, signatures = _lexicon_frames(spark)
+    known = lex.vocabulary_table(lexicon().stop_word_table(spark), lexicon().synonym_table(spark), signatures)
+    moves = VO.word_moves(M.distinct_words(distinct_sources(spark, d), camel=False), known)
+    return moves.select("word", "offset", "taken", "token")
+
+
+SQL["deep_moves_table"] = SQL["deep_moves"]
+
+
+def corpus_vocabulary(spark, d):
+    """The lexicon's words, then all others of the documents by text."""
+    words = I.table(spark, d, "documents").select(F.explode(F.expr("regexp_extract_all(text, '[a-z]+', 0)")).alias("word")).distinct()
+    base = spark.createDataFrame(list(enumerate(lexicon().vocabulary)), "vocab_pos long, word string")
+    others = range_rank(words.join(base, "word", "left_anti"), [], [F.asc("word")], "n")
+    return base.select("word", "vocab_pos").unionByName(others.select("word", (F.col("n") + 1_000_000).alias("vocab_pos")))
+
+
+@query("deep_tokens_corpus")
+def _(spark, d):
+    return M.deep_tokens(distinct_sources(spark, d), lexicon(), corpus_vocabulary(spark, d))
+
+
+@oracle("deep_tokens_corpus")
+def _():
+    c = Q.Ctes()
+    Q.corpus_vocabulary(c, lexicon())
+    Q.segmented_tokens(c, Q.line_headers(c))
+    return c.sql("SELECT source, array_to_string(toks, '|') AS tokens FROM tokens")
+
+
 def kept_tokens(spark, d):
     return M.tokenise(distinct_sources(spark, d), lexicon()).select("source", F.explode("kept").alias("token"))
 

@@ -395,6 +395,19 @@ def deep_moves(c: Ctes) -> None:
 def deep_tokens(c: Ctes, headers: str, lexicon: Lexicon) -> None:
     """``tokens`` by walking the moves."""
     lexicon_tables(c, lexicon)
+    segmented_tokens(c, headers)
+
+
+def corpus_vocabulary(c: Ctes, lexicon: Lexicon) -> None:
+    """``vocab``: the lexicon's words, then all others of the documents by text."""
+    c.add("base_words(word, pos)", "VALUES " + values([(w, i) for i, w in enumerate(lexicon.vocabulary)]))
+    c.add("doc_words", "SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM documents")
+    c.add("vocab", """SELECT word, pos FROM base_words UNION ALL SELECT word, 1000000 + row_number() OVER (ORDER BY word)
+      FROM doc_words WHERE word NOT IN (SELECT word FROM base_words)""")
+
+
+def segmented_tokens(c: Ctes, headers: str) -> None:
+    """``tokens`` by walking the moves of ``vocab``."""
     placed_words(c, headers, False)
     deep_moves(c)
     c.add("seg_walk", """
