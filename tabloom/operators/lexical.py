@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as X
-from .common import computed_here, salted_lookup, stored
+from .common import computed_here, range_rank, salted_lookup, stored
 
 
 def alias_keys(aliases: DataFrame) -> DataFrame:
@@ -111,7 +111,11 @@ def bm25_search(sources: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
     """(source, doc_id, target_id, score, place): best ``k`` documents per header; weights are summed in word order."""
     distinct = sources.select("source").distinct()
     words = distinct.select("source", F.posexplode(X.search_tokens(F.col("source"))).alias("word_pos", "token"))
-    hits = words.join(index, "token").groupBy("source", "doc_id", "target_id").agg(
+    return _placed(words.join(index, "token"), k)
+
+
+def _placed(weights: DataFrame, k: int) -> DataFrame:
+    hits = weights.groupBy("source", "doc_id", "target_id").agg(
         F.array_sort(F.collect_list(F.struct("word_pos", "weight"))).alias("w"))
     scored = hits.select("source", "doc_id", "target_id", F.aggregate(
         "w", F.lit(0.0), lambda s, x: s + x["weight"]).alias("score"))
@@ -119,6 +123,55 @@ def bm25_search(sources: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+#: Postings in a block.
+BLOCK = 128
+
+
+def bm25_blocks(index: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The index with ``block``: each word's postings by falling weight, ``size`` to a block; written once.
+
+    Ranks come from ranges of (word, weight), so a word that stands in very many documents is spread over tasks.
+    """
+    ranked = range_rank(index, ["token"], [F.desc("weight"), F.asc("doc_id")], "rank")
+    return stored(ranked.withColumn("block", F.floor((F.col("rank") - 1) / size).cast("long")).drop("rank"), "bm25-blocks")
+
+
+def open_blocks(terms: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(source, token, block): the blocks of a header's words that can hold one of its best ``k`` documents.
+
+    ``terms`` is (source, token, times). The first blocks alone give each header ``k`` documents with a score they reach at
+    least; the last of these scores is its bar. A header's words are put in order of what they can add, the most first, and a
+    document is looked for by the first of them it holds: it scores at most the best weight of that block and the best weights
+    of the words after it. Where that is below the bar, the block is closed; of the most frequent words often all are.
+    """
+    spread = F.xxhash64("source")
+    tops = stored(blocks.groupBy("token", "block").agg(F.max("weight").alias("top")), "block-tops")
+    most = tops.where("block = 0").select("token", F.col("top").alias("most"))
+    known = stored(salted_lookup(terms, most, "token", spread, "inner"), "known-terms")
+    first = salted_lookup(known, blocks.where("block = 0").select("token", "doc_id", "weight"), "token", spread, "inner")
+    partial = first.groupBy("source", "doc_id").agg(F.sum(F.col("times") * F.col("weight")).alias("s"))
+    placed = partial.withColumn("place", F.row_number().over(W.partitionBy("source").orderBy(F.desc("s")))).where(F.col("place") <= k)
+    bar = placed.groupBy("source").agg(F.when(F.count(F.lit(1)) == k, F.min("s")).otherwise(F.lit(0.0)).alias("bar"))
+    adds = F.col("times") * F.col("most")
+    later = W.partitionBy("source").orderBy(F.desc(adds), "token").rowsBetween(1, W.unboundedFollowing)  # the words of one header
+    weighed = known.withColumn("later", F.coalesce(F.sum(adds).over(later), F.lit(0.0))).join(bar, "source")
+    reach = F.col("times") * F.col("top") + F.col("later")
+    return salted_lookup(weighed, tops, "token", spread, "inner").where(reach >= F.col("bar") * (1 - 1e-9)).select("source", "token", "block")
+
+
+def bm25_search_blocks(sources: DataFrame, blocks: DataFrame, k: int = 10) -> DataFrame:
+    """What ``bm25_search`` gives, from the blocks that can matter; only documents met there are scored in full."""
+    words = stored(sources.select("source").distinct().select("source", F.posexplode(X.search_tokens(F.col("source"))).alias("word_pos", "token")),
+                   "search-words")
+    terms = words.groupBy("source", "token").agg(F.count(F.lit(1)).alias("times"))
+    opened = open_blocks(terms, blocks, k)
+    met = opened.join(blocks.select("token", "block", "doc_id"), ["token", "block"]).select("source", "doc_id").distinct()
+    asked = words.groupBy("source").agg(F.collect_list(F.struct("word_pos", "token")).alias("asked"))
+    pairs = salted_lookup(met, asked, "source", F.xxhash64("doc_id"), "inner").select("source", "doc_id", F.explode("asked").alias("a"))
+    weights = pairs.select("source", "doc_id", "a.word_pos", "a.token").join(blocks.drop("block"), ["token", "doc_id"])
+    return _placed(weights, k)
+
+
 def alias_match(sources: DataFrame, aliases: DataFrame, min_similarity: float = 0.5, k1: float = 1.2,
                 b: float = 0.75) -> DataFrame:
     """Two passes over distinct headers, which are written once for all branches: (source, target_id, method, score, bm25_target_id, bm25_score).

@@ -947,13 +947,19 @@ def _():
     return trigram_ctes(alias_ctes(), "src").sql("SELECT source, target_id, alias, round(similarity, 6) AS similarity FROM trigram")
 
 
+SEARCH_TOKENS = "list_filter(list_transform(regexp_split_to_array(lower({v}), '\\s+'), lambda t: regexp_replace(t, '[^a-z0-9]', '', 'g')), lambda t: t <> '')"
+
+
 def bm25_ctes(c, sources, per_alias):
-    toks = "list_filter(list_transform(regexp_split_to_array(lower({v}), '\\s+'), lambda t: regexp_replace(t, '[^a-z0-9]', '', 'g')), lambda t: t <> '')"
     if per_alias:
-        c.add("docs", f"SELECT target_id || '#' || alias_pos AS doc_id, target_id, {toks.format(v='alias')} AS toks FROM alias")
-    else:
-        c.add("docs", f"SELECT target_id AS doc_id, target_id, {toks.format(v='text')} AS toks FROM "
-                      "(SELECT target_id, string_agg(alias, ' ' ORDER BY alias_pos) AS text FROM alias GROUP BY target_id)")
+        return bm25_tables(c, sources, "SELECT target_id || '#' || alias_pos AS doc_id, target_id, {toks} AS toks FROM alias", "alias")
+    return bm25_tables(c, sources, "SELECT target_id AS doc_id, target_id, {toks} AS toks FROM "
+                       "(SELECT target_id, string_agg(alias, ' ' ORDER BY alias_pos) AS text FROM alias GROUP BY target_id)", "text")
+
+
+def bm25_tables(c, sources, documents, text):
+    toks = SEARCH_TOKENS
+    c.add("docs", documents.format(toks=toks.format(v=text)))
     c.add("terms", "SELECT doc_id, target_id, len(toks) AS n, unnest(toks) AS token FROM docs")
     c.add("tf", "SELECT token, doc_id, target_id, n, count(*) AS tf FROM terms GROUP BY ALL")
     c.add("idx", """SELECT token, doc_id, target_id, ln(1 + (nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * (1.2::DOUBLE + 1)
@@ -981,6 +987,22 @@ _bm25("bm25_top", False, 3)
 _bm25("bm25_top_alias", True, 3)
 
 
+@query("bm25_documents_top")
+def _(spark, d):
+    """The five best documents for each benchmark text, over whole documents, through blocks."""
+    docs = I.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("target_id"),
+                                                 X.search_tokens(F.col("text")).alias("tokens"))
+    asked = I.table(spark, d, "benchmark").select(F.col("text").alias("source"))
+    return L.bm25_search_blocks(asked, L.bm25_blocks(L.bm25_index(docs)), 5).select("source", "doc_id", "target_id", F.round("score", 4).alias("score"))
+
+
+@oracle("bm25_documents_top")
+def _():
+    c = Q.Ctes()
+    bm25_tables(c, "(SELECT DISTINCT text AS source FROM benchmark)", "SELECT doc_id::VARCHAR AS doc_id, source AS target_id, {toks} AS toks FROM documents", "text")
+    return c.sql("SELECT source, doc_id, target_id, round(score, 4) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) <= 5")
+
+
 @query("alias_match")
 def _(spark, d):
     return L.alias_match(I.line_headers(spark, d), lexicon().alias_table(spark)).withColumn("bm25_score", F.round("bm25_score", 4))

@@ -94,7 +94,7 @@ def test_fallback_fills_only_gaps(header_rows, lexicon):
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
 @pytest.mark.parametrize("name", ["detect_headers", "map_standard", "apply_edits", "reshape", "bm25_top", "stream_detect", "stream_status",
-                                  "deep_tokens_corpus"])
+                                  "deep_tokens_corpus", "bm25_documents_top"])
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
