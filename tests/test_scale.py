@@ -67,3 +67,14 @@ def test_short_rows_are_read_for_no_series(spark):
     scores = contextual.contextual_scores(grid)
     assert [r.is_series for r in scores.orderBy("row_idx").collect()] == [False, True, False, True]
     assert re.search(r"numeric_cells#?\S* >= 3", plan(scores))
+
+
+def test_ranked_search_makes_no_row_per_word_of_a_pair(spark):
+    docs = spark.createDataFrame([("d1", "t", ["a", "b", "b"]), ("d2", "t", ["b", "c"]), ("d2", "u", ["c"]), ("d3", "t", ["z"])],
+                                 "doc_id string, target_id string, tokens array<string>")
+    index = lexical.bm25_index(docs)
+    asked = spark.createDataFrame([("b a b",), ("c y",), (None,), ("b a b",)], "source string")
+    found = lexical.bm25_search_blocks(asked, lexical.bm25_blocks(index, 1), 5)
+    key = ["source", "doc_id", "target_id", "score"]
+    assert sorted(found.select(key).collect()) == sorted(lexical.bm25_search(asked, index, 5).select(key).collect())
+    assert "Generate explode(asked" not in plan(found)
