@@ -103,3 +103,14 @@ def test_a_half_written_status_batch_is_unseen(spark, tmp_path):
     rows.withColumn("batch_id", F.lit(3).cast("long")).write.parquet(f"{out}/changes/slot=3")
     assert {r.file_id: r.status for r in A.current_status(spark, out).collect()} == before
     assert A.current_status(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_rows_are_told_apart_by_the_names_that_are_not_new(spark, tmp_path, lexicon):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k, files in enumerate([["a", "b"], ["b", "c", None]]):
+        put(spark, path, k, files)
+        run(spark, path, out, lexicon)
+    known = {r._name.file_id for k in (0, 1) for r in spark.read.parquet(f"{out}/known/slot={k}").collect()}
+    assert known == {"b"}
+    assert counts(A.committed(spark, out, "late")) == {"b": 6}
+    assert counts(A.committed(spark, out, "detected")) == {"a": 1, "b": 1, "c": 1, None: 1}
