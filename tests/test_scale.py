@@ -78,3 +78,16 @@ def test_ranked_search_makes_no_row_per_word_of_a_pair(spark):
     key = ["source", "doc_id", "target_id", "score"]
     assert sorted(found.select(key).collect()) == sorted(lexical.bm25_search(asked, index, 5).select(key).collect())
     assert "Generate explode(asked" not in plan(found)
+
+
+def test_trigrams_cleanse_and_meet_once(spark):
+    texts = [(" Vendör  Name ",), ("ab",), ("",), (None,), ("aaaa",)]
+    rows = spark.createDataFrame(texts, "source string")
+    grams = rows.select("source", X.trigrams(X.cleanse(F.col("source"))).alias("g"))
+    assert plan(grams).count("translate(") == 1
+    want = {s[0]: None if s[0] is None else list(dict.fromkeys(p[i:i + 3] for p in [f"  {c}  "] for i in range(len(p) - 2)))
+            for s, c in zip(texts, ["vendor_name", "ab", "", None, "aaaa"], strict=True)}
+    assert {r.source: r.g for r in grams.collect()} == want
+    aliases = spark.createDataFrame([(0, "a b", 0, "vendor name"), (1, "c", 0, "vendors")], "key_pos int, target_key string, alias_pos int, alias string")
+    found = lexical.trigram_matches(rows, aliases, (0.5,))
+    assert {r.source: (r.target_id, r.similarity) for r in found.collect()} == {" Vendör  Name ": ("a_b", 1.0)}
