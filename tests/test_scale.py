@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.functions import text as X
-from tabloom.operators import contextual, lexical, matching as M
+from tabloom.functions import cells as C
+from tabloom.operators import contextual, lexical, matching as M, reshape as R, structure as S
 from tabloom.operators.review import apply_edits
 
 
@@ -91,3 +92,28 @@ def test_trigrams_cleanse_and_meet_once(spark):
     aliases = spark.createDataFrame([(0, "a b", 0, "vendor name"), (1, "c", 0, "vendors")], "key_pos int, target_key string, alias_pos int, alias string")
     found = lexical.trigram_matches(rows, aliases, (0.5,))
     assert {r.source: (r.target_id, r.similarity) for r in found.collect()} == {" Vendör  Name ": ("a_b", 1.0)}
+
+
+def test_cells_with_clean_ends_are_not_searched(spark):
+    cells = ["a b", " a", "a\u3000", "", " ", None, "\ufeff\u00a0x y\n", "é", "\u2003", "\u200b"]
+    rows = spark.createDataFrame([(c,) for c in cells], "v string")
+    got = rows.select("v", C.clean(F.col("v")).alias("c"), F.btrim("v", F.lit(C.WHITE_SPACE)).alias("all"))
+    assert all(r.c == r["all"] for r in got.collect()) and "CASE WHEN" in plan(got)
+
+
+def test_context_takes_one_window(spark, grid_of):
+    rows = S.with_context(S.typed_rows(grid_of({"f": [["a", "b"], ["1", None], [None]], "g": [["x"]]})))
+    assert len(re.findall(r"(?m)^[ :+-]*Window ", plan(rows))) == 1
+    assert [(r.width, r.last_row, r.data_below) for r in rows.orderBy("file_id", "row_idx").collect()] == [
+        (2, 2, True), (2, 2, False), (2, 2, False), (1, 0, False)]
+
+
+def test_rows_carry_only_the_targets_their_file_fills(spark, lexicon, grid_of):
+    ids = lexicon.target_ids
+    slots = [([1], " ") if t == "currency" else ([0, 7, 1], "/") if t == "supplier_name" else ([], " ") for t in ids]
+    frame = spark.createDataFrame([("f", 0, slots), ("g", 0, [([], " ")] * len(ids))],
+                                  "file_id string, header_row_index int, plan array<struct<columns:array<int>,separator:string>>")
+    values = R.source_values(grid_of({"f": [["h", "i"], [" a ", "b"], [" ", None]], "g": [["h"], ["z"]]}), frame, lexicon)
+    got = {(r.file_id, r.row_idx): {t: r[t] for t in ids if r[t] is not None} for r in values.collect()}
+    assert got == {("f", 1): {"currency": "b", "supplier_name": "a/b"}, ("f", 2): {}, ("g", 1): {}}
+    assert "at#" in plan(values) and not re.search(r"array_position|slots", plan(values).split("Join")[0])
