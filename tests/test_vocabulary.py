@@ -42,6 +42,38 @@ def test_best_words_equal_all_pairs(spark):
     assert got == by_all_pairs(pieces, known) and len(got) > 500
 
 
+def test_keys_asked_for_often_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(V, "HOT", 3)
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.choice([3, 6, 9, 12, 34]))) for _ in range(150)})
+    pieces, known = frames(spark, words, sorted({edited(rng, rng.choice(words), "ab") for _ in range(400)} - {""}))
+    got = {tuple(r) for r in V.best_words(pieces, known).collect()}
+    assert got == by_all_pairs(pieces, known) and len(got) > 100
+
+
+def test_slices_with_foreign_letters_ask_for_nothing(spark):
+    """Numbers against letters: no slice is in reach, and no near one is lost."""
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abcé𐐀") for _ in range(rng.choice([3, 5, 7, 10, 13, 40]))) for _ in range(150)})
+    numbers = [str(10**k + rng.randrange(10**k)) for k in range(2, 9) for _ in range(20)]
+    near = {edited(rng, rng.choice(words), "ab12𐐀") for _ in range(500)}
+    pieces, known = frames(spark, words, sorted({*near, *numbers} - {""}))
+    kept = V.in_reach(pieces, known)
+    assert not {r.piece for r in kept.collect()} & set(numbers)
+    got = {tuple(r) for r in V.best_words(kept, known).collect()}
+    assert got == by_all_pairs(pieces, known) and len(got) > 100
+
+
+def test_few_slices_leave_the_vocabulary_in_place(spark):
+    """The keys of the vocabulary's words are not shuffled where little is asked for."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(4, 12))) for _ in range(50_000)})
+    pieces, known = frames(spark, words, ["suppliernumber", words[7]])
+    moved = V.near_pairs(pieces, V.stored(known, "words"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in moved and "hashpartitioning" not in moved
+
+
 def test_large_vocabulary(spark):
     """100,000 words: same best words as all pairs, from few of the pairs."""
     rng = random.Random(5)
