@@ -78,8 +78,8 @@ def fresh(seed: int = 11) -> Model:
 
 def by_group(group: np.ndarray):
     """Rows of each group that has some, group by group."""
-    order = np.argsort(group, kind="stable")
-    edge = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    order = np.argsort(group.astype(np.uint8), kind="stable")  # small integers are sorted by their digits
+    edge = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
     for g in range(GROUPS):
         if edge[g + 1] > edge[g]:
             yield g, order[edge[g]:edge[g + 1]]
@@ -97,48 +97,78 @@ def windows(ids: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarr
     return stream[at], stream[at + 1], counts
 
 
-_MASK = np.triu(np.full((CONTEXT, CONTEXT), -1e4, np.float32), 1)
 _SEEN = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
+#: Values up to this size need no shift before exp.
+_PLAIN = 60.0
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(-1, keepdims=True))
-    return e / e.sum(-1, keepdims=True)
+def _softmax(z: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+    """Softmax of the last axis, in the place of ``z``; of the places in ``seen`` alone if given."""
+    if not (z.max(initial=0) < _PLAIN and z.min(initial=0) > -_PLAIN):
+        if seen is not None:
+            z += (seen - 1) * np.float32(1e4)
+        z -= z.max(-1, keepdims=True)
+    np.exp(z, out=z)
+    if seen is not None:
+        z *= seen
+    z /= z @ np.ones((z.shape[-1], 1), np.float32)
+    return z
 
 
 def gradients(m: Model, ids: np.ndarray, counted: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Ids used, and the gradient of each parameter (of the embeddings: the rows of those ids); ``target``: the classes."""
     d = WIDTH
     weight = (counted.reshape(-1, 1) / max(counted.sum(), 1)).astype(np.float32)
-    x = m.embed[ids] + m.place
-    q, k, v = np.split((x.reshape(-1, d) @ m.qkv).reshape(len(x), CONTEXT, 3 * d), 3, axis=2)
-    p = _softmax(np.matmul(q, k.transpose(0, 2, 1)) * np.float32(d ** -0.5) + _MASK)
+    scale = np.concatenate([np.full(d, d ** -0.5, np.float32), np.ones(2 * d, np.float32)])  # of the queries, kept in their weights
+    qkv = m.qkv * scale
+    x = m.embed[ids]
+    x += m.place
+    q, k, v = np.split((x.reshape(-1, d) @ qkv).reshape(len(x), CONTEXT, 3 * d), 3, axis=2)
+    p = _softmax(np.matmul(q, k.transpose(0, 2, 1)), _SEEN)
     a = np.matmul(p, v)
-    h = (x + (a.reshape(-1, d) @ m.out).reshape(x.shape)).reshape(-1, d)
+    h = a.reshape(-1, d) @ m.out
+    h += x.reshape(-1, d)
+    # Places of one group of the next id side by side, from here to the gradient of the states.
+    of_group = target // IN_GROUP
+    order = np.argsort(of_group.astype(np.uint8), kind="stable")
+    edge = np.concatenate([[0], np.cumsum(np.bincount(of_group, minlength=GROUPS))]).tolist()
+    h, goal, weight, place = h[order], (target % IN_GROUP)[order], weight[order], np.arange(len(h))
     g = _softmax(h @ m.top + m.top_bias)
-    g[np.arange(len(g)), target // IN_GROUP] -= 1
+    g[place, of_group[order]] -= 1
     g *= weight
-    g_top, g_top_bias, g_h = h.T @ g, g.sum(0), g @ m.top.T
+    g_top, g_top_bias, g_sorted = h.T @ g, g.sum(0), g @ m.top.T
     g_read, g_bias = np.zeros_like(m.read), np.zeros_like(m.bias)
-    for group, rows in by_group(target // IN_GROUP):
-        e = _softmax(h[rows] @ m.read[group] + m.bias[group])
-        e[np.arange(len(rows)), target[rows] % IN_GROUP] -= 1
-        e *= weight[rows]
-        g_read[group], g_bias[group] = h[rows].T @ e, e.sum(0)
-        g_h[rows] += e @ m.read[group].T
+    for group in range(GROUPS):
+        rows = slice(edge[group], edge[group + 1])
+        if rows.start < rows.stop:
+            e = h[rows] @ m.read[group]
+            e += m.bias[group]
+            e = _softmax(e)
+            e[place[:len(e)], goal[rows]] -= 1
+            e *= weight[rows]
+            g_read[group], g_bias[group] = h[rows].T @ e, e.sum(0)
+            g_sorted[rows] += e @ m.read[group].T
+    g_h = np.empty_like(g_sorted)
+    g_h[order] = g_sorted
     g_out = a.reshape(-1, d).T @ g_h
     g_a = (g_h @ m.out.T).reshape(x.shape)
-    g_v = np.matmul(p.transpose(0, 2, 1), g_a)
-    g_p = np.matmul(g_a, v.transpose(0, 2, 1))
-    g_s = p * (g_p - (g_p * p).sum(2, keepdims=True)) * np.float32(d ** -0.5)
-    g_all = np.concatenate([np.matmul(g_s, k), np.matmul(g_s.transpose(0, 2, 1), q), g_v], 2).reshape(-1, 3 * d)
-    g_qkv = x.reshape(-1, d).T @ g_all
-    g_x = g_h + g_all @ m.qkv.T
+    g_all = np.empty((len(x), CONTEXT, 3 * d), np.float32)
+    np.matmul(p.transpose(0, 2, 1), g_a, out=g_all[:, :, 2 * d:])
+    g_s = np.matmul(g_a, v.transpose(0, 2, 1))
+    g_s -= np.einsum("ijk,ijk->ij", g_a, a)[:, :, None]  # the mean of g_s by p, as a is that of v
+    g_s *= p
+    np.matmul(g_s, k, out=g_all[:, :, :d])
+    np.matmul(g_s.transpose(0, 2, 1), q, out=g_all[:, :, d:2 * d])
+    g_all = g_all.reshape(-1, 3 * d)
+    g_qkv = (x.reshape(-1, d).T @ g_all) * scale
+    g_x = g_all @ qkv.T
+    g_x += g_h
     flat = ids.reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+    order = np.argsort(flat.astype(np.uint16), kind="stable")
+    flat = flat[order]
+    edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     g_embed = np.add.reduceat(g_x[order], edge, axis=0)
-    return flat[order][edge], [g_embed, g_x.reshape(x.shape).sum(0), g_qkv, g_out, g_top, g_top_bias, g_read, g_bias]
+    return flat[edge], [g_embed, g_x.reshape(x.shape).sum(0), g_qkv, g_out, g_top, g_top_bias, g_read, g_bias]
 
 
 class _Adam:

@@ -249,6 +249,43 @@ def test_training_lowers_the_loss():
     assert long > short and long > -30  # 161 ids, next to certain
 
 
+@pytest.mark.parametrize("size", [1, 400])
+def test_shares_are_worked_out_in_place(size):
+    """Plain and very large values, all places and those seen alone; no copy is made."""
+    z = (np.random.default_rng(8).standard_normal((3, attention.CONTEXT, attention.CONTEXT)) * size).astype(np.float32)
+    for seen in (None, np.tril(np.ones(z.shape[1:], np.float32))):
+        e = np.exp(z.astype(float) - z.max(-1, keepdims=True) if seen is None else np.where(seen > 0, z, -np.inf) - np.where(seen > 0, z, -np.inf).max(-1, keepdims=True))
+        given = z.copy()
+        got = attention._softmax(given, seen) if seen is not None else attention._softmax(given)
+        assert np.shares_memory(got, given) and np.abs(got - e / e.sum(-1, keepdims=True)).max() < 1e-5
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(9)
+    m = attention.fresh()
+    m.group, _ = attention.classes(rng.integers(0, 50, attention.VOCABULARY).astype(float))
+    ids, use = rng.integers(0, 60, (6, attention.CONTEXT)), rng.random((6, attention.CONTEXT)) < 0.8
+    goal = m.group[rng.integers(0, attention.VOCABULARY, ids.shape)].reshape(-1)
+
+    def loss(embed, place, qkv, out, top, top_bias, read, bias):
+        x = embed[ids] + place
+        q, k, v = np.split(x @ qkv, 3, axis=2)
+        z = np.where(np.tril(np.ones((attention.CONTEXT,) * 2)) > 0, q @ k.transpose(0, 2, 1) * attention.WIDTH ** -0.5, -np.inf)
+        p = np.exp(z) / np.exp(z).sum(-1, keepdims=True)
+        h = (x + p @ v @ out).reshape(-1, attention.WIDTH)
+        first, second = h @ top + top_bias, np.einsum("ij,ijk->ik", h, read[goal // attention.IN_GROUP]) + bias[goal // attention.IN_GROUP]
+        each = sum(z[np.arange(len(z)), at] - np.log(np.exp(z).sum(1)) for z, at in ((first, goal // attention.IN_GROUP), (second, goal % attention.IN_GROUP)))
+        return -each[use.reshape(-1)].mean()
+
+    used, grads = attention.gradients(m, ids, use, goal)
+    params = [p.astype(float) for p in m.parameters()]
+    for i, grad in enumerate(grads):
+        way = rng.standard_normal(params[i].shape)
+        along = [[p + s * 1e-4 * way if j == i else p for j, p in enumerate(params)] for s in (1, -1)]
+        want = (loss(*along[0]) - loss(*along[1])) / 2e-4
+        assert abs((grad * (way[used] if i == 0 else way)).sum() - want) < 1e-4 + 1e-3 * abs(want)
+
+
 def test_scores_match_brute_force(docs, no_docs, corpus_rows, monkeypatch):
     monkeypatch.setattr(attention, "STEPS", 5)
     monkeypatch.setattr(scoring, "OWNER_BYTES", 40_000)
