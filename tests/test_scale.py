@@ -117,3 +117,44 @@ def test_rows_carry_only_the_targets_their_file_fills(spark, lexicon, grid_of):
     got = {(r.file_id, r.row_idx): {t: r[t] for t in ids if r[t] is not None} for r in values.collect()}
     assert got == {("f", 1): {"currency": "b", "supplier_name": "a/b"}, ("f", 2): {}, ("g", 1): {}}
     assert "at#" in plan(values) and not re.search(r"array_position|slots", plan(values).split("Join")[0])
+
+
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return sum(blocks.apply(i).isShuffle() for i in range(blocks.size()))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from tabloom.operators.common import stored
+    before = shuffle_files(spark)
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert sorted(r["count"] for r in stored(counted, "counted").collect()) == [142] * 1 + [143] * 6
+    assert shuffle_files(spark) <= before
+
+
+def test_headers_move_by_text_and_by_file(spark, lexicon, header_rows):
+    headers = header_rows({"a": ["Currency", "Supplier Name", "Supplier Name"], "b": ["x", "Country"], "c": []})
+    mapping = M.assign(headers, M.score_sources(headers, lexicon), lexicon, 0.4, flags=True)
+    assert not re.search(r"hashpartitioning\(file_id#\d+, s", plan(mapping, "executedPlan"))
+    got = {r.target_id: (r.sources, r.ambiguous) for r in mapping.where("file_id = 'a' AND size(sources) > 0").collect()}
+    assert got["supplier_name"] == (["Supplier Name"], True) and mapping.where("file_id = 'b'").count() == 26
+    filled = spark.createDataFrame([("a", ["supplier_name"])], "file_id string, filled array<string>")
+    left = M.assign(headers, M.score_sources(headers, lexicon), lexicon, 0.4, filled).where("size(sources) > 0").collect()
+    assert {"currency", "country"} <= {r.target_id for r in left} and "supplier_name" not in {r.target_id for r in left}
+
+
+def test_a_file_is_one_row_between_matchers(spark, lexicon, header_rows, monkeypatch):
+    from tabloom.plans import mapping as P
+    rows, plain = {}, P.stored
+
+    def counted(frame, name):
+        kept = plain(frame, name)
+        rows[name] = kept.count()
+        return kept
+    monkeypatch.setattr(P, "stored", counted)
+    files = {"a": ["Supplier ID", "totalamountx", None], "b": ["Currency"], "c": [None], "d": [t.label for t in lexicon.targets]}
+    got = P.map_with_fallback(header_rows(files), lexicon, ("standard", "deep"), 0.4, 0.75, ambiguous=True).collect()
+    assert len(got) == 4 * 26 and rows["mapping"] == 4
+    by = {(r.file_id, r.target_id): (r.sources, r.matcher) for r in got}
+    assert by[("a", "supplier_id")] == (["Supplier ID"], "standard") and by[("c", "currency")] == ([], None)
+    assert sum(r.file_id == "d" and r.matcher is not None for r in got) == 26
