@@ -114,3 +114,40 @@ def test_rows_are_told_apart_by_the_names_that_are_not_new(spark, tmp_path, lexi
     assert known == {"b"}
     assert counts(A.committed(spark, out, "late")) == {"b": 6}
     assert counts(A.committed(spark, out, "detected")) == {"a": 1, "b": 1, "c": 1, None: 1}
+
+
+def test_names_that_came_before_do_not_fill_the_driver(spark, tmp_path, monkeypatch):
+    came = spark.createDataFrame([(f"f{i % 9}", i, "x") for i in range(60)] + [(None, 60, "x")], "file_id string, row_idx long, arrival string")
+    came = came.withColumn("_name", F.struct("file_id", "arrival"))
+    want = {(r.file_id, r.row_idx) for r in came.collect()}
+    for names, few in (([], 5), (["f1", "f2"], 5), (["f1", "f2"], 1)):
+        monkeypatch.setattr(A, "FEW_NAMES", few)
+        spark.createDataFrame([((n, "x"),) for n in names], "_name struct<file_id:string,arrival:string>").write.parquet(str(tmp_path / f"{len(names)}-{few}"))
+        old = spark.read.parquet(str(tmp_path / f"{len(names)}-{few}"))
+        late, fresh = A.late_and_fresh(came, old, F.col("row_idx"))
+        assert {r.file_id for r in late.collect()} == set(names)
+        assert {(r.file_id, r.row_idx) for x in (late, fresh) for r in x.collect()} == want and late.count() + fresh.count() == 61
+        joins = [x._jdf.queryExecution().executedPlan().toString() for x in (late, fresh)]
+        assert all(("BroadcastHashJoin" in j, "SortMergeJoin" in j) == (0 < len(names) <= few, len(names) > few) for j in joins)
+
+
+def test_a_query_of_errors_takes_whole_files(spark, tmp_path):
+    """Events whose numbers lie far apart: the rows of a user come in one arrival, so none is late and all are scored."""
+    from tabloom.workload.queries import QUERIES
+    from tabloom.workload import edges
+    n = 1 << 14  # a range of row numbers
+    events = spark.range(40).select((F.col("id") * n).alias("event_id"), (F.col("id") % 2 * 4).alias("user_id"), F.timestamp_seconds("id").alias("ts"),
+                                    F.lit("click").alias("event_type"), F.col("id").cast("double").alias("value"), F.lit('{"k": 1}').alias("props"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    seen, plain = [], edges.A.run_arrivals
+
+    def run_and_keep(stream, out, *more, **options):
+        seen.append(out)
+        return plain(stream, out, *more, **options)
+    edges.A.run_arrivals = run_and_keep
+    try:
+        got = {r.file_id: r.error for r in QUERIES["stream_errors"](spark, str(tmp_path)).collect()}
+    finally:
+        edges.A.run_arrivals = plain
+    assert got == {"u0": "", "u4": "", "x0": "no header row found", "x4": "no header row found"}
+    assert A.committed(spark, seen[0], "late").count() == 0
