@@ -158,3 +158,16 @@ def test_a_file_is_one_row_between_matchers(spark, lexicon, header_rows, monkeyp
     by = {(r.file_id, r.target_id): (r.sources, r.matcher) for r in got}
     assert by[("a", "supplier_id")] == (["Supplier ID"], "standard") and by[("c", "currency")] == ([], None)
     assert sum(r.file_id == "d" and r.matcher is not None for r in got) == 26
+
+
+def test_completed_mapping_moves_a_row_per_file(spark, lexicon, header_rows):
+    from tabloom.operators.review import complete_mapping
+    files = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "file_id string")
+    rows = [("a", 0, "supplier_id", ["A"], 0.5), ("a", 0, "supplier_id", ["B"], None), ("a", 9, "no_target", ["C"], 1.0),
+            ("z", 0, "supplier_id", ["D"], 1.0), (None, 0, "supplier_id", ["E"], 1.0)]
+    mapping = spark.createDataFrame(rows, "file_id string, target_pos int, target_id string, sources array<string>, confidence double")
+    got = complete_mapping(mapping, files, lexicon)
+    assert "hashpartitioning(file_id" in plan(got, "executedPlan")
+    assert not re.search(r"hashpartitioning\(file_id#\d+, target_id", plan(got, "executedPlan"))
+    kept = sorted((r.file_id or "", r.sources, r.confidence) for r in got.collect() if r.sources)
+    assert kept == [("a", ["A"], 0.5), ("a", ["B"], 0.0)] and got.count() == 3 * 26 + 1
