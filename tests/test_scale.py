@@ -171,3 +171,11 @@ def test_completed_mapping_moves_a_row_per_file(spark, lexicon, header_rows):
     assert not re.search(r"hashpartitioning\(file_id#\d+, target_id", plan(got, "executedPlan"))
     kept = sorted((r.file_id or "", r.sources, r.confidence) for r in got.collect() if r.sources)
     assert kept == [("a", ["A"], 0.5), ("a", ["B"], 0.0)] and got.count() == 3 * 26 + 1
+
+
+def test_rows_with_what_follows_move_once(spark, grid_of):
+    grid = grid_of({"f": [["a", "b"], ["1", "x"], [None]] + [["2", "y"]] * 2000, "g": [["x"]]})
+    scores = contextual.contextual_scores(grid)
+    assert len(re.findall(r"Exchange hashpartitioning", plan(scores, "executedPlan"))) == 1
+    got = {(r.file_id, r.row_idx): (r.following, r.data_below) for r in scores.collect()}
+    assert len(got) == 2004 and got[("f", 1999)] == (3, True) and got[("f", 2002)] == got[("g", 0)] == (0, False) and got[("f", 0)] == (5, True)
