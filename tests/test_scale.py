@@ -179,3 +179,20 @@ def test_rows_with_what_follows_move_once(spark, grid_of):
     assert len(re.findall(r"Exchange hashpartitioning", plan(scores, "executedPlan"))) == 1
     got = {(r.file_id, r.row_idx): (r.following, r.data_below) for r in scores.collect()}
     assert len(got) == 2004 and got[("f", 1999)] == (3, True) and got[("f", 2002)] == got[("g", 0)] == (0, False) and got[("f", 0)] == (5, True)
+
+
+def test_clicks_and_held_sources_move_once(spark, lexicon, header_rows):
+    headers = header_rows({"f": ["Supplier ID", "Country"], "g": ["Currency"], "h": ["Country", None]})
+    clicks = [("f", 1, "remove", "country", "Country"), ("f", 9000, "add", "city_state", "Country"), ("g", 3, "clear", None, None),
+              ("g", 4, "add", "tax_id", "Currency"), ("h", None, "remove", "country", "Country"), (None, 1, "add", "tax_id", "x")]
+    edits = spark.createDataFrame(clicks, "file_id string, seq long, action string, target_id string, source string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("4", "16"):  # without salts and with two
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = apply_edits(M.assign(headers, M.score_sources(headers, lexicon), lexicon, 0.4), edits, lexicon)
+            assert {(r.file_id, r.target_id): r.sources for r in got.collect() if r.sources} == {
+                ("f", "supplier_id"): ["Supplier ID"], ("f", "city_state"): ["Country"], ("g", "tax_id"): ["Currency"]}
+            assert got.count() == 3 * 26 and not re.search(r"hashpartitioning\(file_id#\d+, source", plan(got, "executedPlan"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
