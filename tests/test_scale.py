@@ -196,3 +196,14 @@ def test_clicks_and_held_sources_move_once(spark, lexicon, header_rows):
             assert got.count() == 3 * 26 and not re.search(r"hashpartitioning\(file_id#\d+, source", plan(got, "executedPlan"))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_pairs_move_once_to_their_candidates(spark, lexicon, header_rows):
+    headers = header_rows({"a": ["Currency", "Country", "Country"], "b": ["Currency", None]})
+    pairs = M.pair_rows(headers, M.score_sources(headers, lexicon), lexicon)
+    assert not re.search(r"hashpartitioning\(file_id", plan(pairs, "executedPlan"))
+    best = {(r.file_id, r.source, r.src_pos, r.repeats) for r in pairs.where("score > 0.99").collect()}
+    assert best == {("a", "Currency", 0, 1), ("a", "Country", 1, 2), ("b", "Currency", 0, 1)}
+    left = shuffle_files(spark)
+    ranked = M.pair_ranks(pairs)
+    assert shuffle_files(spark) <= left and {r["rank"] for r in ranked.where("file_id = 'b'").collect()} == set(range(1, pairs.where("file_id = 'b'").count() + 1))
