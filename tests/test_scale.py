@@ -207,3 +207,18 @@ def test_pairs_move_once_to_their_candidates(spark, lexicon, header_rows):
     left = shuffle_files(spark)
     ranked = M.pair_ranks(pairs)
     assert shuffle_files(spark) <= left and {r["rank"] for r in ranked.where("file_id = 'b'").collect()} == set(range(1, pairs.where("file_id = 'b'").count() + 1))
+
+
+def test_words_are_counted_where_documents_meet(spark):
+    docs = spark.createDataFrame([("d1", "t", ["a", "b", "b"]), ("d1", "u", ["b"]), ("d2", "t", []), (None, "t", ["b"]), ("d3", "t", None)],
+                                 "doc_id string, target_id string, tokens array<string>")
+    index = lexical.bm25_index(docs)
+    assert "Exchange" in plan(index, "executedPlan") and not re.search(r"hashpartitioning\(token#\d+, doc_id", plan(index, "executedPlan"))
+    got = {(r.token, r.doc_id, r.target_id): round(r.weight, 6) for r in index.collect()}
+    lengths = [4, 0, 1] + [r.n for r in docs.where("doc_id = 'd3'").select(F.size("tokens").alias("n")).collect() if r.n is not None]
+    mean = sum(lengths) / len(lengths)
+
+    def weight(tf, df, n_docs=4, k1=1.2, b=0.75):
+        import math
+        return round(math.log(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * 4 / mean)), 6)
+    assert got == {("a", "d1", "t"): weight(1, 1), ("b", "d1", "t"): weight(2, 3), ("b", "d1", "u"): weight(1, 3)}
